@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairforge.llm import copies
+from pairforge.llm import copies, mixing, packing
 from pairforge.registry import Registry, table
 
 LLM = Registry()
@@ -38,3 +38,78 @@ UNION ALL SELECT rec_id, 1 AS n_copies FROM keys WHERE k IS NULL""",
 )
 def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapse(table(spark, sf_dir, "normalised"))
+
+
+#: The plan of the mix in closed form: sources by limit / weight; those that the water level passes are clamped.
+_QUOTAS = """
+WITH conf AS (
+  SELECT trim(file) AS source,
+         max(CASE WHEN NOT isnan(dataset_share) AND dataset_share >= 0 THEN dataset_share END) AS share,
+         max(least(1.0, greatest(0.0, coalesce(CASE WHEN isnan(sample_ratio) THEN 0.0 ELSE sample_ratio END, 0.0)))
+             * greatest(0, coalesce(total_lines, 0))) AS upstream,
+         max(greatest(0, coalesce(max_repeats, 1))) AS max_repeats
+  FROM sampling_config WHERE coalesce(trim(file), '') <> '' GROUP BY 1
+), avail AS (SELECT trim(source) AS source, count(*) AS available FROM normalised GROUP BY 1
+), shares AS (
+  SELECT source, max_repeats, coalesce(available, 0) AS available, coalesce(share, upstream / (SELECT sum(upstream) FROM conf)) AS share
+  FROM conf LEFT JOIN avail USING (source)
+), base AS (
+  SELECT source, max_repeats, available, share / sum(share) OVER () AS weight, available * max_repeats AS cap,
+         sum(available) OVER () AS wanted
+  FROM shares
+), live AS (
+  SELECT *, least(wanted, sum(cap) OVER ()) AS size,
+         coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+         sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_on
+  FROM base WHERE weight > 0 AND cap > 0
+), flagged AS (SELECT *, (size - cap_before) * weight / weight_on >= cap AS clamped FROM live
+), amounts AS (
+  SELECT *, CASE WHEN clamped THEN cap ELSE (size - coalesce(sum(cap) FILTER (clamped) OVER (), 0)) * weight / sum(weight) FILTER (NOT clamped) OVER () END AS amount
+  FROM flagged
+), whole AS (
+  SELECT *, CAST(floor(amount) AS BIGINT) AS lo, row_number() OVER (ORDER BY amount - floor(amount) DESC, source) AS pos,
+         size - sum(floor(amount)) OVER () AS rest
+  FROM amounts
+), quotas AS (SELECT source, available, lo + CASE WHEN pos <= rest THEN 1 ELSE 0 END AS n FROM whole
+), ranked AS (
+  SELECT rec_id, q.source, q.n // q.available AS reps, q.n % q.available AS part,
+         row_number() OVER (PARTITION BY q.source ORDER BY md5(concat_ws('|', '22', 'mix', CAST(rec_id AS VARCHAR))), rec_id) AS rk
+  FROM normalised r JOIN quotas q ON trim(r.source) = q.source
+), mixed AS (
+  SELECT rec_id, source, unnest(range(1, CAST(reps + CASE WHEN rk <= part THEN 1 ELSE 0 END + 1 AS BIGINT))) AS repeat_no FROM ranked
+)"""
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mixing.Quota]]:
+    records = table(spark, sf_dir, "normalised")
+    quotas = mixing.plan_mix(records, table(spark, sf_dir, "sampling_config"))
+    return mixing.mix(records, quotas), quotas
+
+
+@LLM.query("p4_mix", oracle=f"{_QUOTAS} SELECT rec_id, source, CAST(repeat_no AS INTEGER) AS repeat_no FROM mixed")
+def p4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+@LLM.query(
+    "p4_report",
+    oracle=f"""{_QUOTAS}, got AS (
+  SELECT source, count(*) AS n_mixed, count(*) FILTER (repeat_no = 1) AS n_distinct, CAST(max(repeat_no) AS INTEGER) AS most_repeats FROM mixed GROUP BY 1)
+SELECT source, floor(weight * 1e6 + 0.5) / 1e6 AS target_share, available, max_repeats, coalesce(n_mixed, 0) AS n_mixed,
+       coalesce(n_distinct, 0) AS n_distinct, coalesce(most_repeats, 0) AS most_repeats,
+       floor(coalesce(n_mixed, 0) / (SELECT sum(n_mixed) FROM got) * 1e6 + 0.5) / 1e6 AS actual_share
+FROM base LEFT JOIN got USING (source)""",
+)
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(*_mix(spark, sf_dir))
+
+
+@LLM.query("p5_packed")
+def p5_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(packing.items_of(table(spark, sf_dir, "normalised")))
+    return packed.withColumnRenamed("id", "rec_id")
+
+
+@LLM.query("p5_report")
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(packing.pack(packing.items_of(table(spark, sf_dir, "normalised"))))
