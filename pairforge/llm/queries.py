@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairforge.llm import copies, mixing, packing
+from pairforge.llm import copies, leaks, mixing, packing
 from pairforge.registry import Registry, table
 
 LLM = Registry()
@@ -113,3 +113,35 @@ def p5_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.query("p5_report")
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(packing.pack(packing.items_of(table(spark, sf_dir, "normalised"))))
+
+
+_LEAKS = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w, regexp_replace(lower(text), '[^\pL\pN]+', '', 'g') AS c FROM documents
+), icut AS (
+  SELECT item_id, lower(coalesce(lang, '')) = 'zh' AS zh, regexp_extract_all(lower(text), '[\pL\pN]+') AS w,
+         regexp_replace(lower(text), '[^\pL\pN]+', '', 'g') AS c FROM eval_items
+), iw AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM icut WHERE NOT zh)
+), ic AS (SELECT DISTINCT item_id, substr(c, i, 24) AS g FROM (SELECT item_id, c, unnest(range(1, len(c) - 22)) AS i FROM icut WHERE zh)
+), dw AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM cut)
+), dc AS (SELECT doc_id, substr(c, i, 24) AS g FROM (SELECT doc_id, c, unnest(range(1, len(c) - 22)) AS i FROM cut)
+), found AS (
+  SELECT DISTINCT doc_id, item_id FROM iw JOIN dw USING (g)
+  UNION SELECT DISTINCT doc_id, item_id FROM ic JOIN dc USING (g)
+)"""
+
+
+@LLM.query("p7_found", oracle=f"{_LEAKS} SELECT doc_id, item_id FROM found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+@LLM.query("p7_matches")
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@LLM.query("p7_clean", oracle=f"{_LEAKS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)")
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return leaks.remove_leaked(documents, leaks.find_matches(documents, table(spark, sf_dir, "eval_items"))).select("doc_id")
