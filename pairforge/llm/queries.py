@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairforge.llm import copies, leaks, mixing, packing
+from pairforge.llm import bpe, copies, leaks, mixing, packing, splitting
 from pairforge.registry import Registry, table
 
 LLM = Registry()
@@ -145,3 +145,13 @@ def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return leaks.remove_leaked(documents, leaks.find_matches(documents, table(spark, sf_dir, "eval_items"))).select("doc_id")
+
+
+@LLM.query("p6_ids")
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@LLM.query("p8_pieces")
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_documents(table(spark, sf_dir, "documents"))
