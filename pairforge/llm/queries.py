@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, copies, leaks, mixing, packing, splitting
+from pairforge.llm import bpe, copies, leaks, mixing, neighbours, packing, splitting
 from pairforge.registry import Registry, table
 
 LLM = Registry()
@@ -155,3 +156,28 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.query("p8_pieces")
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "documents"))
+
+
+@LLM.query(
+    "p3_found",
+    oracle="""
+WITH v AS (
+  SELECT vec_id, CAST(vector AS DOUBLE[]) AS x FROM text_vectors
+  WHERE vector IS NOT NULL AND len(list_filter(vector, lambda a: a <> 0)) > 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.x, b.x), 9) DESC, b.vec_id) AS nth
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM s WHERE nth <= 5""",
+)
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_pairs(table(spark, sf_dir, "text_vectors"))
+
+
+@LLM.query("p3_search")
+def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "text_vectors")
+    graph = neighbours.build_graph(vectors)
+    queries = graph.members.filter("id % 50 = 0").join(graph.nodes.withColumnRenamed("id", "class"), "class").select(F.col("id").alias("query_id"), "vector")
+    return neighbours.greedy_search(queries, graph)
