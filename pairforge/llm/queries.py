@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, copies, leaks, mixing, neighbours, packing, splitting
+from pairforge.llm import bpe, copies, leaks, mixing, neighbours, packing, pairs, splitting
 from pairforge.registry import Registry, table
 
 LLM = Registry()
@@ -181,3 +181,8 @@ def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = neighbours.build_graph(vectors)
     queries = graph.members.filter("id % 50 = 0").join(graph.nodes.withColumnRenamed("id", "class"), "class").select(F.col("id").alias("query_id"), "vector")
     return neighbours.greedy_search(queries, graph)
+
+
+@LLM.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.find_defects(table(spark, sf_dir, "normalised"), table(spark, sf_dir, "source_tasks"))
