@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("curate", "sampling")
+MODULES = ("curate", "sampling", "batching")
 
 
 def load() -> None:
