@@ -124,9 +124,10 @@ class Ivf:
         """(query_id, id, dist, rank) from each query's nearest lists, by an equi-join on lists; large lists in salted parts."""
         probes = min(probes or min(self.n_lists, 32), len(self.centres))
         asked = queries.select(F.col("query_id").alias("id"), "vector").mapInPandas(_assigner(self.centres, probes), "id BIGINT, vector ARRAY<FLOAT>, list_id INT")
-        parts = F.broadcast(self.entries.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / list_rows).alias("parts")))  # 4,096 rows at most
-        entries = self.entries.join(parts, "list_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        asked = asked.join(parts, "list_id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        rows = self.entries.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("parts")).collect()  # 4,096 at most
+        n_parts = F.try_element_at(F.create_map(*[F.lit(int(x)) for r in rows for x in r]), F.col("list_id")) if rows else F.lit(1)
+        entries = self.entries.withColumn("part", F.pmod(F.xxhash64("id"), n_parts).cast("int"))
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(n_parts, F.lit(1)) - 1)))
         found = asked.groupBy("list_id", "part").cogroup(entries.groupBy("list_id", "part")).applyInPandas(_probe(k), "query_id BIGINT, id BIGINT, dist DOUBLE")
         return rank(found, k)
 

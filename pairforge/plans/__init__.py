@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("curate", "sampling", "batching")
+MODULES = ("vectors", "curate", "sampling", "batching", "evaluate")
 
 
 def load() -> None:
