@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("vectors", "curate", "sampling", "batching", "evaluate")
+MODULES = ("vectors", "curate", "sampling", "batching", "evaluate", "files", "streams")
 
 
 def load() -> None:
