@@ -18,10 +18,15 @@ def _ints(*values: Column) -> Column:
     return F.array(*values).cast("array<int>")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def left_pad(ids: Column, n: Column | int, pad: int = PAD) -> Column:
     """F50."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.concat(F.array_repeat(F.lit(pad), F.greatest(F.lit(0), n - F.size(ids))), ids)
+    return _let(ids, lambda x: F.concat(F.array_repeat(F.lit(pad), F.greatest(F.lit(0), n - F.size(x))), x))
 
 
 def last(ids: Column, n: Column) -> Column:
@@ -50,8 +55,8 @@ def eos_pretrain(ids: Column, ctx: int, chunk: int | None = None) -> Column:
     """struct(ids, eos_mask). The last tokens that fit; short texts are repeated before every end."""
     chunk = chunk if chunk and chunk > 0 else ctx
     n_eos = ctx // chunk
-    own = last(ids, F.lit(max(0, ctx - n_eos)))
-    body = F.when(F.size(own) >= chunk, spread(own, F.lit(n_eos))).otherwise(repeated(own, F.lit(n_eos)))
+    cut = lambda own: F.when(F.size(own) >= chunk, spread(own, F.lit(n_eos))).otherwise(repeated(own, F.lit(n_eos)))
+    body = _let(last(ids, F.lit(max(0, ctx - n_eos))), cut)
     return F.struct(left_pad(body, ctx).alias("ids"), flags(F.lit(0), F.lit(n_eos)).alias("eos_mask"))
 
 
@@ -59,30 +64,28 @@ def eos_sft(ids: Column, ctx: int, chunk: int | None = None) -> Column:
     """struct(ids, eos_mask). Unused ends come first and are masked; an empty text is all masked."""
     chunk = chunk if chunk and chunk > 0 else ctx
     most = -(-ctx // chunk)
-    own = last(ids, F.lit(ctx - most))
-    size = F.size(own)
+    size = F.least(F.size(ids), F.lit(ctx - most))
     wanted = F.greatest(F.lit(1), F.ceil(size / chunk).cast("int"))
     per = F.greatest(F.lit(1), F.ceil(size / wanted).cast("int"))
     n_on = F.ceil(size / per).cast("int")  # chunks that hold a token
     n_off = F.when(size > 0, most - wanted).otherwise(most)
-    body = F.concat(F.array_repeat(F.lit(EOS), n_off), F.when(size > 0, spread(own, n_on)).otherwise(_ints()))
+    body = F.concat(F.array_repeat(F.lit(EOS), n_off), F.when(size > 0, _let(last(ids, F.lit(ctx - most)), lambda own: spread(own, n_on))).otherwise(_ints()))
     return F.struct(left_pad(body, ctx).alias("ids"), flags(n_off, n_on).alias("eos_mask"))
 
 
 def eos_eval(ids: Column, ctx: int, chunk: int, most: int = 8) -> Column:
     """struct(ids, eos_mask), not yet padded. At most `most` contexts; long texts are split into contexts of equal size."""
     n_eos = ctx // chunk
-    own = F.slice(ids, 1, ctx * most)
-    size = F.size(own)
-    splits = F.ceil(size / ctx).cast("int")
+    size = F.least(F.size(ids), F.lit(ctx * most))
+    splits = F.greatest(F.lit(1), F.ceil(size / ctx).cast("int"))
     per = F.ceil(size / splits).cast("int")
-    long = F.flatten(F.transform(F.sequence(F.lit(0), splits - 1), lambda i: spread(F.slice(own, i * per + 1, per), F.lit(n_eos))))
     is_long = size > ctx - n_eos
-    body = (
-        F.when(size < chunk, repeated(own, F.lit(n_eos)))
-        .when(is_long, long)
-        .otherwise(spread(own, F.lit(n_eos)))
-    )
+
+    def cut(own: Column) -> Column:
+        long = F.flatten(F.transform(F.sequence(F.lit(0), splits - 1), lambda i: _let(F.slice(own, i * per + 1, per), lambda x: spread(x, F.lit(n_eos)))))
+        return F.when(size < chunk, repeated(own, F.lit(n_eos))).when(is_long, long).otherwise(spread(own, F.lit(n_eos)))
+
+    body = _let(F.slice(ids, 1, ctx * most), cut)
     return F.struct(body.alias("ids"), flags(F.lit(0), F.when(is_long & (size >= chunk), splits * n_eos).otherwise(F.lit(n_eos))).alias("eos_mask"))
 
 

@@ -126,14 +126,15 @@ def round_robin_groups(rows: DataFrame, size: int = 64) -> DataFrame:
     )
 
 
-def plan_bins(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int]]:
-    """Best fit, longest first, on the histogram of group lengths: (length, first, last, bin of the first) runs.
+def plan_bins(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
+    """Best fit, longest first, on the histogram of group lengths: runs (length, first, last, bin, each).
 
-    Run (length, a, b, bin) puts the groups a..b-1 of that length into bins bin, bin + 1, ... Bins with equal room are
-    alike, so they are kept as ranges. Only bins that end up exactly full appear.
+    A run puts the groups first..last-1 of that length, `each` at a time, into bin, bin + 1, ... Bins with equal room are
+    alike, so they are kept as ranges; one that was begun is the best fit until no further group of the length fits. Only
+    bins that end up exactly full appear.
     """
     rooms: dict[int, list[tuple[int, int]]] = {}
-    runs: list[tuple[int, int, int, int]] = []
+    runs: list[tuple[int, int, int, int, int]] = []
     bins = 0
     for length in sorted(histogram, reverse=True):
         at, n = 0, histogram[length]
@@ -142,37 +143,31 @@ def plan_bins(histogram: dict[int, int], size: int) -> list[tuple[int, int, int,
         while n:
             fit = min((r for r in rooms if r >= length), default=None)
             if fit is None:
-                fit, each = size, size // length
-                new = -(-n // each) if each else n
+                fit, new = size, -(-n // (size // length))
                 rooms[size] = [(bins, bins + new)]
                 bins += new
             a, b = rooms[fit].pop()
             if not rooms[fit]:
                 del rooms[fit]
-            # The first bin takes groups until it is too full for another one; so do all alike.
-            times = fit // length
-            whole = min(b - a, n // times)
-            for k in range(times):
-                if whole:
-                    runs.append((length, at + k * whole, at + (k + 1) * whole, a))
-            at, n = at + times * whole, n - times * whole
+            each = fit // length
+            whole = min(b - a, n // each)
             if whole:
-                rooms.setdefault(fit - times * length, []).append((a, a + whole))
-            if whole < b - a and n:
-                for k in range(min(n, times)):
-                    runs.append((length, at + k, at + k + 1, a + whole))
-                used = min(n, times)
-                rooms.setdefault(fit - used * length, []).append((a + whole, a + whole + 1))
-                at, n, whole = at + used, n - used, whole + 1
+                runs.append((length, at, at + whole * each, a, each))
+                rooms.setdefault(fit - each * length, []).append((a, a + whole))
+                at, n = at + whole * each, n - whole * each
+            if whole < b - a and n:  # fewer than `each` are left
+                runs.append((length, at, at + n, a + whole, n))
+                rooms.setdefault(fit - n * length, []).append((a + whole, a + whole + 1))
+                n, whole = 0, whole + 1
             if whole < b - a:
                 rooms.setdefault(fit, []).append((a + whole, b))
     full = sorted(rooms.get(0, []))
     out = []
-    for length, first, last, bin_ in runs:  # the parts of the runs whose bins are full
+    for length, first, last, bin_, each in runs:  # the parts of the runs whose bins are full
         for a, b in full:
-            lo, hi = max(a, bin_), min(b, bin_ + last - first)
+            lo, hi = max(a, bin_), min(b, bin_ + (last - first) // each)
             if lo < hi:
-                out.append((length, first + lo - bin_, first + hi - bin_, lo))
+                out.append((length, first + (lo - bin_) * each, first + (hi - bin_) * each, lo, each))
     return out
 
 
@@ -188,11 +183,11 @@ def pack_groups(groups: DataFrame, size: int = 64, seed: int = 22) -> DataFrame:
     counts = g.groupBy("len", "_salt").agg(F.count(F.lit(1)).alias("_c"))
     histogram = {r[0]: r[1] for r in counts.groupBy("len").agg(F.sum("_c")).collect()}  # at most `size` rows
     plan = plan_bins(histogram, size)
-    runs = spark.createDataFrame(plan, "len INT, first BIGINT, last BIGINT, bin0 BIGINT").groupBy("len").agg(F.collect_list(F.struct("first", "last", "bin0")).alias("_runs"))
+    runs = spark.createDataFrame(plan, "len INT, first BIGINT, last BIGINT, bin0 BIGINT, each BIGINT").groupBy("len").agg(F.collect_list(F.struct("first", "last", "bin0", "each")).alias("_runs"))
     before = counts.withColumn("_before", F.expr("coalesce(sum(_c) OVER (PARTITION BY len ORDER BY _salt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")).join(F.broadcast(runs), "len").drop("_c")
     ranked = g.withColumn("_in", F.expr("row_number() OVER (PARTITION BY len, _salt ORDER BY _key, group_id) - 1")).join(before, ["len", "_salt"])
     ranked = ranked.withColumn("_place", F.col("_before") + F.col("_in")).withColumn("_run", F.expr("get(filter(_runs, r -> r.first <= _place AND _place < r.last), 0)")).filter(F.col("_run").isNotNull())
-    return ranked.select("group_id", "len", (F.col("_run.bin0") + F.col("_place") - F.col("_run.first")).alias("bin"))
+    return ranked.select("group_id", "len", (F.col("_run.bin0") + F.expr("(_place - _run.first) div _run.each")).alias("bin"))
 
 
 def bin_statistics(packed: DataFrame) -> DataFrame:

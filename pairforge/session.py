@@ -53,6 +53,18 @@ def staged(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
 
 
+def spread(df: DataFrame, small_bytes: int = 16 << 20) -> DataFrame:
+    """df for work that is slow for each row: an input of few, small files is dealt out to all cores.
+
+    A Parquet file of one row group is one task, however many cores there are. Where every core gets a file or
+    `small_bytes` of input anyway, nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) >= small_bytes * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table that nothing reads any more."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
