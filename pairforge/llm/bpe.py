@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pairforge.session import spread
+
 #: Splits text before the merges (the published pattern of this vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words that a worker remembers; beyond, it starts anew.
@@ -157,4 +159,4 @@ def _encoder(byte_ids: np.ndarray, merges: np.ndarray, pattern: str):
 def encode_corpus(documents: DataFrame, tokenizer: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, ids) of documents (doc_id, text)."""
     byte_ids, merges = read_merges(tokenizer or default_tokenizer())
-    return documents.select("doc_id", "text").mapInArrow(_encoder(byte_ids, merges, pattern), "doc_id BIGINT, ids ARRAY<INT>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_encoder(byte_ids, merges, pattern), "doc_id BIGINT, ids ARRAY<INT>")

@@ -44,8 +44,10 @@ class CopyLedger:
     A version is immutable; merge() writes the next one and removes the one before it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
-        self.spark, self.path, self.buckets, self.version = spark, path, buckets, 0
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """buckets: by default as many as the shuffle has partitions; fixed for the ledger's life."""
+        self.spark, self.path, self.version = spark, path, 0
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"ledger_{uuid.uuid4().hex}"
         self.table: DataFrame | None = None
 
@@ -83,7 +85,7 @@ def keyed(records: DataFrame, id_col: str = "rec_id") -> DataFrame:
     return records.select(F.col(id_col).alias("id"), canonical_key(F.col("query"), F.col("pos")).alias("key"))
 
 
-def build_ledger(keys: DataFrame, path: str, batches: int = 3, buckets: int = 32) -> CopyLedger:
+def build_ledger(keys: DataFrame, path: str, batches: int = 3, buckets: int | None = None) -> CopyLedger:
     """Feeds the keys to a ledger in batches of consecutive ids, as loads would bring them."""
     ledger = CopyLedger(keys.sparkSession, path, buckets)
     low, high = keys.agg(F.min("id"), F.max("id")).first()
@@ -98,13 +100,13 @@ def build_ledger(keys: DataFrame, path: str, batches: int = 3, buckets: int = 32
     return ledger
 
 
-def _ledger_of(records: DataFrame, batches: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+def _ledger_of(records: DataFrame, batches: int, buckets: int | None) -> tuple[DataFrame, DataFrame]:
     path = work_dir(records.sparkSession)
     keys = staged(keyed(records), f"{path}/keys")
     return keys, build_ledger(keys, path, batches, buckets).table
 
 
-def find_copies(records: DataFrame, batches: int = 3, buckets: int = 32) -> DataFrame:
+def find_copies(records: DataFrame, batches: int = 3, buckets: int | None = None) -> DataFrame:
     """(rec_a, rec_b): in each set of copies the smallest id with each other member."""
     keys, table = _ledger_of(records, batches, buckets)
     keys = keys.filter(F.col("key").isNotNull())
@@ -119,7 +121,7 @@ def find_copies(records: DataFrame, batches: int = 3, buckets: int = 32) -> Data
     return members.filter(F.col("id") != F.col("first_id")).select(F.col("first_id").alias("rec_a"), F.col("id").alias("rec_b"))
 
 
-def collapse(records: DataFrame, batches: int = 3, buckets: int = 32) -> DataFrame:
+def collapse(records: DataFrame, batches: int = 3, buckets: int | None = None) -> DataFrame:
     """(rec_id, n_copies): each set of copies as its earliest record; a record without a key stands for itself."""
     keys, table = _ledger_of(records, batches, buckets)
     alone = keys.filter(F.col("key").isNull()).select(F.col("id").alias("rec_id"), F.lit(1).cast("bigint").alias("n_copies"))

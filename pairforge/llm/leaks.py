@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.session import spread
+
 LEAST_WORDS = 12
 LEAST_CHARS = 24
 #: Characters of all items together that a broadcast may hold.
@@ -173,7 +175,7 @@ def find_matches(documents: DataFrame, items: DataFrame, least_words: int = LEAS
     if size > MAX_ITEM_CHARS:
         raise ValueError(f"the items have {size} characters, over {MAX_ITEM_CHARS}; search them in blocks")
     rows = items.filter(F.length("text") > 0).select("item_id", F.lower(F.coalesce("lang", F.lit(""))), "text").collect()
-    return documents.select("doc_id", "text").mapInPandas(
+    return spread(documents.select("doc_id", "text")).mapInPandas(
         _scanner([tuple(r) for r in rows], least_words, least_chars, shard_units),
         "doc_id BIGINT, item_id BIGINT, matched INT, item_pos INT, doc_pos INT",
     )

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from pairforge.llm.bpe import PATTERN
+from pairforge.session import spread
 
 LIMIT, OVERLAP = 512, 64
 #: Sentences of a block, and the hashed vocabulary in which blocks are compared.
@@ -163,7 +164,7 @@ def split_documents(documents: DataFrame, tokenizer: str | None = None, pattern:
     if not 0 <= overlap < limit // 4:
         raise ValueError("the overlap must be below a quarter of the limit")
     ranks = read_ranks(tokenizer or default_tokenizer())  # a fixed vocabulary
-    return documents.select("doc_id", "text").mapInPandas(
+    return spread(documents.select("doc_id", "text")).mapInPandas(
         _splitter(ranks, pattern, limit, overlap),
         "doc_id BIGINT, piece_no INT, token_start INT, token_end INT, n_tokens INT, text STRING",
     )
