@@ -60,7 +60,7 @@ def spread(df: DataFrame, small_bytes: int = 16 << 20) -> DataFrame:
     `small_bytes` of input anyway, nothing is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) >= small_bytes * cores or len(df.inputFiles()) >= cores:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= small_bytes * cores or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)
 
