@@ -67,9 +67,15 @@ def filter_task_types(scores: DataFrame, types: list[str]) -> DataFrame:
     return kept
 
 
-def task_instruction(tasks: DataFrame, by_type: dict[str, str], overrides: dict[str, str]) -> DataFrame:
-    """The instruction of a task (task_name, task_type): by its name without version, else by its type."""
-    from pairforge.functions.text import stem
+def task_instruction(tasks: DataFrame, by_type: dict[str, str] | None = None, by_task: dict[tuple[str, str], str] | None = None) -> DataFrame:
+    """Adds `instruction`, a template, to tasks (task_name, task_type): by type and name without version, else by
+    type; an unknown type has the empty one.
+    """
+    from pairforge.functions.instructions import BY_TASK, BY_TYPE
+    from pairforge.functions.text import instruction_template, stem
 
+    by_type, by_task = BY_TYPE if by_type is None else by_type, BY_TASK if by_task is None else by_task
     as_map = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) if m else F.create_map().cast("map<string,string>")
-    return tasks.withColumn("instruction", F.coalesce(as_map(overrides)[stem(F.col("task_name"))], as_map(by_type)[F.col("task_type")]))
+    own = as_map({f"{t}|{n}": i for (t, n), i in by_task.items()})[F.concat_ws("|", "task_type", stem(F.col("task_name")))]
+    told = F.coalesce(own, as_map(by_type)[F.col("task_type")])
+    return tasks.withColumn("instruction", F.when(told.isNull(), "").otherwise(instruction_template(told)))

@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DoubleType
+
 from pairforge.functions.rand import det_key
+from pairforge.functions.vectors import dot
 
 #: Queries of one block; a block of vectors goes to every executor (at 1,024 dimensions 32 MB).
 BLOCK = 4096
@@ -193,6 +196,26 @@ def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, score: Call
     return pairs.join(left, "query_id").join(right, "id").select("query_id", "id", score(F.col("q"), F.col("d")).alias("score"))
 
 
+def cross_features(q: Column, d: Column, size: int) -> Column:
+    """Of two states of `heads` matrices size x size (flattened row by row): for each pair of rows the dot product over all heads."""
+    heads = F.floor(F.size(q) / (size * size)).cast("int")
+    row = lambda v, s: F.flatten(F.transform(F.sequence(F.lit(0), heads - 1), lambda h: F.slice(v, h * size * size + s * size + 1, size)))
+    each = lambda f: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), f)
+    return F.flatten(each(lambda s: each(lambda t: dot(row(q, s), row(d, t)))))
+
+
+def ranking_head(hidden: np.ndarray, out: np.ndarray, gain: np.ndarray, bias: np.ndarray, eps: float = 1e-5):
+    """An Arrow function from cross features to scores: layer norm, hidden layer, positive part, output."""
+
+    @F.pandas_udf(DoubleType())
+    def score(features: pd.Series) -> pd.Series:
+        x = _matrix(features)
+        x = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + eps) * gain + bias
+        return pd.Series(np.maximum(x @ hidden.T, 0) @ out)
+
+    return score
+
+
 def rerank(scored: DataFrame, k: int = 100) -> DataFrame:
     """The k best by score (to nine digits, ties by id), ranked anew."""
     ranked = scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1e9) DESC, id)"))

@@ -142,7 +142,7 @@ def cross_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query(
-    "token_totals", "A24", "S23", "S24", "S25",
+    "token_totals", "A24",
     oracle="SELECT source, sum(coalesce(octet_length(encode(text)), 0)) AS tokens, max(coalesce(octet_length(encode(text)), 0)) AS longest FROM documents GROUP BY source",
 )
 def token_totals(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions import maths, text, vectors as vx
+from pairforge.functions.rand import sql_key
 from pairforge.operators import enrich, evaluate, params
 from pairforge.registry import CORE, table
 
@@ -34,12 +35,13 @@ def macro_average_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @CORE.query(
     "filter_task_types", "P22", "P23", "P24", "P25",
-    oracle=SCORES + """ SELECT task_name, CASE task_type WHEN 'STS' THEN '[STS]' ELSE '[RETR]' END AS tag, CASE WHEN task_name = 'Brand#11.v1' THEN 'own' WHEN task_type = 'STS' THEN 'compare' END AS instruction,
+    oracle=SCORES + """ SELECT task_name, CASE task_type WHEN 'STS' THEN '[STS]' ELSE '[RETR]' END AS tag, CASE WHEN task_name = 'Brand#11.v1' AND task_type = 'STS' THEN E'Instruct: own\\nQuery: {query}' WHEN task_type = 'STS' THEN E'Instruct: Retrieve semantically similar text\\nQuery: {query}'
+        ELSE E'Instruct: Given a query, retrieve documents that answer the query\\nQuery: {query}' END AS instruction,
       regexp_replace(task_name, '\\.[^.]*$', '') AS name FROM scores WHERE task_type IN ('STS', 'Retrieval')""",
 )
 def filter_task_types(spark: SparkSession, sf: str) -> DataFrame:
     kept = enrich.filter_task_types(_scores(spark, sf), ["STS", "Retrieval"])
-    told = enrich.task_instruction(kept, {"STS": "compare"}, {"Brand#11": "own"})
+    told = enrich.task_instruction(kept, by_task={("STS", "Brand#11"): "own"})
     return told.select("task_name", text.task_tag(F.col("task_type")).alias("tag"), "instruction", text.stem(F.col("task_name")).alias("name"))
 
 
@@ -191,3 +193,30 @@ def parse_specs(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(
         F.col("p_partkey").alias("id"), r["lo"].alias("lo"), r["hi"].alias("hi"), text.parse_indices(F.lit("0, 5,-1"), F.lit(12)).alias("layers"), text.stem(F.concat("p_name", F.lit("/"), "p_type", F.lit(".bin"))).alias("stem")
     )
+
+
+@CORE.query(
+    "benchmark_aliases", "S26",
+    oracle="SELECT p_partkey AS id, ['BEIR_NL', 'MTEB_CODE_V1', 'VN_MTEB_VIE_V1', 'RAR_B'][1 + p_partkey % 4] AS alias, ['BEIR-NL', 'MTEB(Code, v1)', 'VN-MTEB (vie, v1)', 'RAR-b'][1 + p_partkey % 4] AS name FROM part",
+)
+def benchmark_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    from pairforge.functions.instructions import BENCHMARKS, alias
+
+    known = spark.createDataFrame([(alias(b), b) for b in BENCHMARKS], "alias STRING, name STRING")
+    asked = F.array(*[F.lit(a) for a in ("BEIR_NL", "MTEB_CODE_V1", "VN_MTEB_VIE_V1", "RAR_B")])
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.get(asked, (F.col("p_partkey") % 4).cast("int")).alias("alias"))
+    return rows.join(F.broadcast(known), "alias").select("id", "alias", "name")  # a fixed table
+
+
+@CORE.query(
+    "synthetic_batch", "S23", "S24", "S25",
+    oracle=f"""WITH b AS (SELECT b.range AS id, i.range AS i, 1 + CAST('0x' || substr({sql_key(7, 'batch', 'b.range', 'i.range')}, 1, 8) AS BIGINT) % 65528 AS t FROM range(64) b, range(1, 512) i)
+    SELECT id, list_append(list(CAST(t AS INTEGER) ORDER BY i), 65535) AS ids, list_transform(range(512), lambda i: 1) AS mask FROM b GROUP BY id""",
+)
+def synthetic_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Token batches for benches: reproducible ids with an end, and an attention mask."""
+    from pairforge.functions.rand import det_key, key_int
+
+    one = lambda i: (1 + key_int(det_key(7, "batch", F.col("id"), i)) % 65528).cast("int")
+    ids = F.array_append(F.transform(F.sequence(F.lit(1), F.lit(511)), one), 65535)
+    return spark.range(64).select("id", ids.alias("ids"), F.array_repeat(F.lit(1), 512).alias("mask"))

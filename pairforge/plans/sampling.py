@@ -137,7 +137,7 @@ def _balance(strategy: str):
 
 
 for _s, _id in (("range", "B13"), ("median", "B14"), ("probability", "B15")):
-    CORE.query(f"balance_{_s}", _id, "A07", "A08", "B10", "B11", "B12", "B16", oracle=_balance_sql(_s))(_balance(_s))
+    CORE.query(f"balance_{_s}", _id, "A07", "A08", "B10", "B11", "B12", "B16", "B24", oracle=_balance_sql(_s))(_balance(_s))
 
 
 @CORE.query(

@@ -185,7 +185,7 @@ def infonce_symmetric(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query(
-    "infonce_source_masked", "V21", "J13", "V24",
+    "infonce_source_masked", "V21", "J13",
     oracle=_PAIRS + """, l AS (SELECT batch_id, qi, di, weight, ln(sum(exp(logit - 20)) OVER (PARTITION BY batch_id, qi)) + 20 - logit AS a FROM s WHERE qs = ds)
     SELECT batch_id, floor(sum(a * weight) / sum(weight) * 1e6 + 0.5) / 1e6 AS loss FROM l WHERE qi = di GROUP BY 1""",
 )
@@ -236,3 +236,33 @@ def fold_states(spark: SparkSession, sf: str) -> DataFrame:
         return state
 
     return retrieval.fold_states(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tk.byte_ids(F.col("text")).alias("ids")), step, 8)
+
+
+@CORE.query(
+    "state_cross_features", "V11", "V12",
+    oracle=E + """ SELECT a.id AS query_id, b.id AS id, flatten(list_transform(range(4), lambda s: list_transform(range(4), lambda t:
+      floor(list_sum(list_transform(range(4), lambda h: list_dot_product(a.x[CAST(h * 16 + s * 4 + 1 AS BIGINT) : CAST(h * 16 + s * 4 + 4 AS BIGINT)], b.x[CAST(h * 16 + t * 4 + 1 AS BIGINT) : CAST(h * 16 + t * 4 + 4 AS BIGINT)]))) * 1e6 + 0.5) / 1e6))) AS features
+    FROM e a JOIN e b ON b.id = a.id + 1""",
+)
+def state_cross_features(spark: SparkSession, sf: str) -> DataFrame:
+    states = _corpus(spark, sf).select("id", "vector")
+    pairs = states.select(F.col("id").alias("query_id"), (F.col("id") + 1).alias("id"))
+    score = lambda q, d: F.transform(retrieval.cross_features(q, d, 4), vx.round6)
+    return retrieval.pair_scores(pairs, states.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), states.select("id", F.col("vector").alias("d")), score).withColumnRenamed("score", "features")
+
+
+@CORE.query(
+    "text_vector_lookup", "J05",
+    oracle="""WITH t AS (SELECT CASE side WHEN 'query' THEN query WHEN 'pos' THEN pos[item_no + 1] ELSE neg[item_no + 1] END AS text, vec_id FROM text_vectors JOIN normalised USING (rec_id)
+    ), v AS (SELECT text, min(vec_id) AS vec_id FROM t WHERE text IS NOT NULL GROUP BY 1
+    ), p AS (SELECT rec_id, i - 1 AS pos_no, pos[i] AS text FROM (SELECT rec_id, pos, unnest(range(1, len(pos) + 1)) AS i FROM normalised))
+    SELECT rec_id, pos_no, vec_id FROM p JOIN v USING (text)""",
+)
+def text_vector_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of positives by their text; texts are joined by digests, whatever their length."""
+    records = table(spark, sf, "normalised")
+    at = F.col("item_no").cast("int")
+    own = F.when(F.col("side") == "query", F.col("query")).when(F.col("side") == "pos", F.get("pos", at)).otherwise(F.get("neg", at))
+    known = table(spark, sf, "text_vectors").join(records, "rec_id").select(F.md5(own).alias("key"), "vec_id").filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("vec_id"))
+    asked = records.select("rec_id", F.posexplode("pos").alias("pos_no", "text")).select("rec_id", F.col("pos_no").cast("bigint").alias("pos_no"), F.md5("text").alias("key"))
+    return asked.join(known, "key").select("rec_id", "pos_no", "vec_id")

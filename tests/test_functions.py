@@ -282,3 +282,25 @@ def test_state_fold_in_pieces(spark):
     step = lambda s, t: s * 0.5 + t
     df = spark.createDataFrame([(1, [1, 2, 3])], "id BIGINT, ids ARRAY<INT>")
     assert retrieval.fold_states(df, step, 1).first().state == [0.5 * (0.5 * 1 + 2) + 3]
+
+
+def test_ranking_head(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    hidden, out, gain, bias = rng.normal(size=(3, 4)), rng.normal(size=3), rng.normal(size=4), rng.normal(size=4)
+    x = rng.normal(size=4)
+    df = spark.createDataFrame([(x.tolist(),)], "f ARRAY<DOUBLE>").select(retrieval.ranking_head(hidden, out, gain, bias)("f").alias("s"))
+    n = (x - x.mean()) / np.sqrt(x.var() + 1e-5) * gain + bias
+    assert df.first().s == pytest.approx(float(np.maximum(hidden @ n, 0) @ out))
+
+
+def test_instructions(spark):
+    from pairforge.functions.instructions import BENCHMARKS, alias, benchmark
+
+    assert len({alias(b) for b in BENCHMARKS}) == 43 and benchmark("mteb_eng_v2") == "MTEB(eng, v2)" and alias("BRIGHT (long)") == "BRIGHT_LONG"
+    with pytest.raises(ValueError):
+        benchmark("none")
+    tasks = spark.createDataFrame([("Banking77Classification.v2", "Classification"), ("x", "STS"), ("x", "Other")], "task_name STRING, task_type STRING")
+    got = [r.instruction for r in enrich.task_instruction(tasks).collect()]
+    assert got[0].startswith("Instruct: Given a online banking query") and got[1] == "Instruct: Retrieve semantically similar text\nQuery: {query}" and got[2] == ""
