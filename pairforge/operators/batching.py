@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.rand import det_key
+from pairforge.operators.enrich import small
+from pairforge.operators.order import place_in_group
 from pairforge.operators.sampling import whole_percentile
 
 _CHUNK_FIELDS = ("query", "query_image", "pos", "pos_image")
@@ -94,7 +96,7 @@ def chunkify(rows: DataFrame, size: int = 64, look_ahead: int = 3, split_rows: i
     extra = {"query_image": F.lit(None).cast("string"), "pos_image": F.array().cast("array<string>")}
     full = rows.withColumns({c: v for c, v in extra.items() if c not in rows.columns})
     sizes = full.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / split_rows).alias("_parts"))
-    full = full.join(sizes, "domain").withColumn("part", F.pmod(F.xxhash64("ord"), F.col("_parts")))
+    full = full.join(small(sizes), "domain").withColumn("part", F.pmod(F.xxhash64("ord"), F.col("_parts")))
     cut = full.select("domain", "part", "ord", *_CHUNK_FIELDS).repartition("domain", "part").sortWithinPartitions("domain", "part", "ord")
     return cut.mapInPandas(_chunker(size, look_ahead), "domain STRING, part BIGINT, chunk_no BIGINT, place INT, ord BIGINT")
 
@@ -112,16 +114,15 @@ def round_robin_groups(rows: DataFrame, size: int = 64) -> DataFrame:
     every `size` rows.
     """
     own = rows.filter(F.coalesce("label", F.lit("")) != "")
-    ranked = own.withColumn("slice", F.expr("row_number() OVER (PARTITION BY domain, label ORDER BY ord) - 1"))
     labels = own.groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
     depth = labels.groupBy("domain").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), whole_percentile("n", 0.8).alias("p80"))
     depth = depth.select("domain", F.when(F.col("k").isin(2, 3), F.col("least")).otherwise(F.col("p80")).alias("depth"))
-    placed = ranked.join(labels.select("domain", "label", "first"), ["domain", "label"]).join(F.broadcast(depth), "domain").filter(F.col("slice") < F.col("depth"))  # a row for each domain
-    placed = placed.withColumns({
-        "rn": F.expr("row_number() OVER (PARTITION BY domain, slice ORDER BY first, label) - 1"),
-        "in_slice": F.expr("count(1) OVER (PARTITION BY domain, slice)"),
-    })
-    return placed.filter(F.col("in_slice") >= 2).select(
+    ranked = place_in_group(own.select("domain", "label", "ord"), ["domain", "label"], "ord", [], "slice").join(small(depth), "domain").filter(F.col("slice") < F.col("depth"))
+    # At most `depth` rows of each label are left.
+    placed = ranked.join(labels.select("domain", "label", "first"), ["domain", "label"]).select("domain", "label", "ord", "slice", "first")
+    placed = place_in_group(placed, ["domain", "slice"], "first", ["label"], "rn")
+    in_slice = placed.groupBy("domain", "slice").agg(F.count(F.lit(1)).alias("in_slice")).filter(F.col("in_slice") >= 2)
+    return placed.join(in_slice, ["domain", "slice"]).select(
         "domain", F.col("slice").cast("bigint"), F.floor(F.col("rn") / size).alias("sub"), F.pmod("rn", F.lit(size)).cast("bigint").alias("place"), "ord", "label"
     )
 

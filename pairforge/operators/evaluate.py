@@ -77,6 +77,35 @@ def bce_with_logits(x: Column, y: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
 
 
+def running_mean(rows: DataFrame, group: str, by: str, tie: str, value: str, scale: int = 10_000, out: str = "mean") -> DataFrame:
+    """The mean of all values up to each row, by the whole number `by`, then tie. Nulls do not count.
+
+    Values are added as whole numbers of 1 / scale, so that no order of additions shows. A group is cut into buckets of
+    ranges of `by`, whose sums are carried over, so that no task holds a whole group.
+    """
+    from pairforge.operators.order import number_buckets
+
+    cut = rows.withColumn("_b", number_buckets(rows, by)).withColumn("_v", F.round(F.col(value) * scale).cast("bigint"))
+    sums = cut.groupBy(group, "_b").agg(F.coalesce(F.sum("_v"), F.lit(0)).alias("_s"), F.count("_v").alias("_c"))
+    past = f"OVER (PARTITION BY {group} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carried = sums.select(group, "_b", F.expr(f"coalesce(sum(_s) {past}, 0)").alias("_s0"), F.expr(f"coalesce(sum(_c) {past}, 0)").alias("_c0"))
+    here = f"OVER (PARTITION BY {group}, _b ORDER BY {by}, {tie} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    own = cut.withColumns({"_s1": F.expr(f"coalesce(sum(_v) {here}, 0)"), "_c1": F.expr(f"count(_v) {here}")}).join(carried, [group, "_b"])
+    n = F.col("_c0") + F.col("_c1")
+    return own.withColumn(out, F.when(n > 0, (F.col("_s0") + F.col("_s1")) / (F.lit(float(scale)) * n))).select(*rows.columns, out)
+
+
+def previous(rows: DataFrame, group: str, by: str, tie: str, out: str = "previous") -> DataFrame:
+    """The value of `by` in the row before, in the order of by and tie; over bucket borders the largest of the buckets before."""
+    from pairforge.operators.order import number_buckets
+
+    cut = rows.withColumn("_b", number_buckets(rows, by))
+    tops = cut.groupBy(group, "_b").agg(F.max(by).alias("_top"))
+    carried = tops.select(group, "_b", F.expr(f"max(_top) OVER (PARTITION BY {group} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").alias("_last"))
+    own = cut.withColumn("_lag", F.expr(f"lag({by}) OVER (PARTITION BY {group}, _b ORDER BY {by}, {tie})")).join(carried, [group, "_b"])
+    return own.withColumn(out, F.coalesce("_lag", "_last")).select(*rows.columns, out)
+
+
 def top_k_top_p(rows: DataFrame, k: int, p: float, temperature: float = 1.0) -> DataFrame:
     """(dist_id, token, prob) of (dist_id, token, logit): softmax, the k largest, then the smallest head whose sum reaches p."""
     top = F.expr("max(logit) OVER (PARTITION BY dist_id)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.functions.rand import det_key
+from pairforge.functions.rand import det_key, key_int
 from pairforge.session import staged, work_dir
 
 #: Bits of monotonically_increasing_id that count rows within a partition.
@@ -30,6 +30,30 @@ def with_ordinal(df: DataFrame, *order: str | Column, name: str = "ord0") -> Dat
     return ranged.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + local).drop("_place", "_part", "_first")
 
 
+def number_buckets(df: DataFrame, by: str) -> Column:
+    """A bucket from 0 for each row by equal ranges of the number `by`, as many as the shuffle has partitions."""
+    lo, hi = df.agg(F.min(by), F.max(by)).first()
+    if lo is None:
+        return F.lit(0)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return F.floor((F.col(by) - F.lit(lo)) / F.lit(hi - lo + 1) * n).cast("int")
+
+
+def place_in_group(df: DataFrame, group: list[str], by: str, tie: list[str], name: str = "place") -> DataFrame:
+    """The row's place, from 0, within its group by the whole number `by`, then the tie columns.
+
+    A group of any size is counted in buckets of ranges of `by`: the sizes of the buckets before, which are few rows for
+    each group, and the place within the bucket. No task holds a whole group.
+    """
+    cut = df.withColumn("_b", number_buckets(df, by))
+    keys = ", ".join([*group, "_b"])
+    sizes = cut.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(*group, "_b", F.expr(f"coalesce(sum(_n) OVER (PARTITION BY {', '.join(group)} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_before"))
+    own = cut.withColumn("_in", F.expr(f"row_number() OVER (PARTITION BY {keys} ORDER BY {', '.join([by, *tie])}) - 1"))
+    on = [own[c].eqNullSafe(before[c]) for c in group] + [own["_b"] == before["_b"]]
+    return own.join(before, on).select(*[own[c] for c in df.columns], (F.col("_before") + F.col("_in")).alias(name))
+
+
 def shuffled(df: DataFrame, seed: int, id_col: str) -> DataFrame:
     """A seeded total order, by a digest of seed and id."""
     return df.orderBy(det_key(seed, "shuffle", id_col), id_col)
@@ -42,7 +66,8 @@ def shuffled_ordinal(df: DataFrame, seed: int, id_col: str, name: str = "ord0")
 
 def shuffled_in_shards(df: DataFrame, seed: int, shard: str, id_col: str) -> DataFrame:
     """The place of each row within its shard; rows of all inputs that share the shard's name are mixed."""
-    return df.withColumn("_key", det_key(seed, "shard", shard, id_col)).withColumn("place", F.expr(f"row_number() OVER (PARTITION BY {shard} ORDER BY _key, {id_col}) - 1")).drop("_key")
+    keyed = df.withColumn("_key", det_key(seed, "shard", shard, id_col)).withColumn("_k", key_int(F.col("_key")))
+    return place_in_group(keyed, [shard], "_k", ["_key", id_col]).drop("_key", "_k")
 
 
 def contiguous_shard(ordinal: Column, total: Column, n: int) -> Column:

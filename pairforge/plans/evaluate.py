@@ -69,10 +69,8 @@ def throughput_speedup(spark: SparkSession, sf: str) -> DataFrame:
     oracle="SELECT event_id, user_id, sum(CAST(round(value * 1e4) AS BIGINT)) OVER w / (1e4 * count(value) OVER w) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
 )
 def running_mean_loss(spark: SparkSession, sf: str) -> DataFrame:
-    # Whole numbers are summed, so that the order of additions cannot show.
-    w = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    mean = F.expr(f"sum(CAST(round(value * 1e4) AS BIGINT)) {w} / (1e4D * count(value) {w})")
-    return table(spark, sf, "events").select("event_id", "user_id", mean.alias("mean"))
+    e = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return evaluate.running_mean(e.select("event_id", "user_id", "us", "value"), "user_id", "us", "event_id", "value").select("event_id", "user_id", "mean")
 
 
 @CORE.query(
@@ -81,8 +79,8 @@ def running_mean_loss(spark: SparkSession, sf: str) -> DataFrame:
 )
 def step_rate(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    gap = F.col("us") - F.expr("lag(us) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
-    return e.select("event_id", vx.round6(F.when(gap != 0, 1e6 / gap)).alias("rate"))
+    gap = F.col("us") - F.col("previous")
+    return evaluate.previous(e.select("event_id", "user_id", "us"), "user_id", "us", "event_id").select("event_id", vx.round6(F.when(gap != 0, 1e6 / gap)).alias("rate"))
 
 
 @CORE.query(
