@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.operators.skew import hot_join
 from pairforge.session import drop_dir, staged, work_dir
 
 K = 5
@@ -106,7 +107,7 @@ def classes_of(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     rows = vectors.select(F.col("vec_id").alias("id"), F.transform("vector", lambda x: x + F.lit(0.0).cast("float")).alias("vector")).filter(good)
     keyed = rows.withColumn("key", F.struct(F.xxhash64(F.lit(1), "vector"), F.xxhash64(F.lit(2), "vector")))
     first = keyed.groupBy("key").agg(F.min("id").alias("class"), F.min_by("vector", "id").alias("vector"))
-    return first.select(F.col("class").alias("id"), "vector"), keyed.select("id", "key").join(first.select("key", "class"), "key").select("id", "class")
+    return first.select(F.col("class").alias("id"), "vector"), hot_join(keyed.select("id", "key"), first.select("key", "class"), "key").select("id", "class")
 
 
 def _forest(nodes: DataFrame, n: int, block: int, trees: int, seed: int) -> list[Tree]:
@@ -281,7 +282,7 @@ def nearest(vectors: DataFrame, k: int = K, **how: int) -> DataFrame:
         .agg(F.flatten(F.collect_list(F.transform("first", lambda x: F.struct((-F.col("sim")).alias("far"), x.alias("nbr"))))).alias("all"))
         .select("class", F.slice(F.array_sort("all"), 1, k + 1).alias("all"))
     )
-    mine = graph.members.join(candidates, "class").select("id", F.slice(F.filter("all", lambda x: x["nbr"] != F.col("id")), 1, k).alias("all"))
+    mine = hot_join(graph.members, candidates, "class").select("id", F.slice(F.filter("all", lambda x: x["nbr"] != F.col("id")), 1, k).alias("all"))
     return mine.select("id", F.posexplode("all").alias("rank", "x")).select(
         "id", F.col("x.nbr").alias("nbr"), (-F.col("x.far")).alias("sim"), (F.col("rank") + 1).alias("rank")
     )
