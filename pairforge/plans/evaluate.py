@@ -136,9 +136,9 @@ def best_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Three checkpoints of a parameter table, from a closed formula over the suppliers' keys.
-PARAMS = """WITH keys AS (SELECT unnest(['model.rwkv.blocks.0.att.w', 'model.rwkv.blocks.1.att.w', 'model.rwkv.blocks.2.att.w', 'model.rwkv.blocks.3.att.w', 'model.rwkv.ln_out.w', 'head.w']) AS key
+PARAMS = """WITH keys AS (SELECT unnest(['model.core.blocks.0.att.w', 'model.core.blocks.1.att.w', 'model.core.blocks.2.att.w', 'model.core.blocks.3.att.w', 'model.core.ln_out.w', 'head.w']) AS key
 ), params AS (SELECT 'c' || c AS ckpt, key, [4, 2] AS shape, list_transform(range(8), lambda i: (c + 1) * (i + 1) / 7.0 + length(key) / 3.0) AS vals FROM keys, range(3) t(c))"""
-_KEYS = [*(f"model.rwkv.blocks.{i}.att.w" for i in range(4)), "model.rwkv.ln_out.w", "head.w"]
+_KEYS = [*(f"model.core.blocks.{i}.att.w" for i in range(4)), "model.core.ln_out.w", "head.w"]
 
 
 def _params(spark: SparkSession) -> DataFrame:
@@ -156,9 +156,9 @@ def ckpt_average(spark: SparkSession, sf: str) -> DataFrame:
     return params.average(_params(spark), exclude="c2").withColumn("vals", F.transform("vals", vx.round6))
 
 
-@CORE.query("extract_module_segment", "F71", "F70", "F75", oracle=PARAMS + " SELECT ckpt, regexp_extract(key, '^(?:[^.]+\\.)*?rwkv\\.(.+)$', 1) AS key FROM params WHERE regexp_matches(key, '(^|\\.)rwkv\\..')")
+@CORE.query("extract_module_segment", "F71", "F70", "F75", oracle=PARAMS + " SELECT ckpt, regexp_extract(key, '^(?:[^.]+\\.)*?core\\.(.+)$', 1) AS key FROM params WHERE regexp_matches(key, '(^|\\.)core\\..')")
 def extract_module_segment(spark: SparkSession, sf: str) -> DataFrame:
-    return params.extract(_params(spark), "rwkv").select("ckpt", "key")
+    return params.extract(_params(spark), "core").select("ckpt", "key")
 
 
 @CORE.query("extract_module_prefix", "F72", "F70", oracle=PARAMS + " SELECT ckpt, substr(key, 7) AS key FROM params WHERE starts_with(key, 'model.')")
@@ -176,7 +176,7 @@ def remap_layers(spark: SparkSession, sf: str) -> DataFrame:
     return params.remap_blocks(p, [1, 3]).select("ckpt", "key").crossJoin(F.broadcast(params.layer_count(p)))  # one row
 
 
-@CORE.query("compress_names", "A21", oracle="SELECT unnest(['model.rwkv.blocks.{0,1,2,3}.att.w', 'model.rwkv.ln_out.w', 'head.w']) AS name")
+@CORE.query("compress_names", "A21", oracle="SELECT unnest(['model.core.blocks.{0,1,2,3}.att.w', 'model.core.ln_out.w', 'head.w']) AS name")
 def compress_names(spark: SparkSession, sf: str) -> DataFrame:
     return params.compress_names(_params(spark))
 

@@ -50,7 +50,7 @@ def pending_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @CORE.query("image_rows", "P15", "P16", "S27", "K10", oracle="SELECT 't2vd_colpali_' || source || '_' || doc_id AS id, 'images/' || regexp_replace(source, '\\..*$', '') || '/' || doc_id || '.jpg' AS image FROM documents")
 def image_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of an image data set as retrieval records: ids and paths by rule; pixels stay outside of the engine."""
+    """Rows of an image data set as retrieval records: ids (their prefix is a fixed value) and paths by rule; pixels stay outside of the engine."""
     docs = table(spark, sf, "documents")
     folder = F.regexp_replace("source", r"\..*$", "")
     return docs.select(F.concat(F.lit("t2vd_colpali_"), "source", F.lit("_"), "doc_id").alias("id"), F.concat(F.lit("images/"), folder, F.lit("/"), "doc_id", F.lit(".jpg")).alias("image"))

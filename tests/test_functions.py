@@ -254,8 +254,8 @@ def test_macro(spark):
 def test_params(spark):
     p = spark.createDataFrame([("c", k, [1], [1.0]) for k in ("blocks.0.att.w", "blocks.1.att.w", "head.w")], "ckpt STRING, key STRING, shape ARRAY<INT>, vals ARRAY<DOUBLE>")
     assert {r.name for r in params.compress_names(p).collect()} == {"blocks.{0,1}.att.w", "head.w"}
-    k = F.lit("model.rwkv.blocks.0.x")
-    assert one(spark, params.segment_suffix(k, "rwkv")) == "blocks.0.x" and one(spark, params.prefix_suffix(k, "rwkv")) is None
+    k = F.lit("model.core.blocks.0.x")
+    assert one(spark, params.segment_suffix(k, "core")) == "blocks.0.x" and one(spark, params.prefix_suffix(k, "core")) is None
     with pytest.raises(ValueError):
         params.extract(p, "none")
     with pytest.raises(KeyError):
