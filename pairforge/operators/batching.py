@@ -12,6 +12,7 @@ from pairforge.functions.rand import det_key
 from pairforge.operators.enrich import small
 from pairforge.operators.order import place_in_group
 from pairforge.operators.sampling import whole_percentile
+from pairforge.session import staged, work_dir
 
 _CHUNK_FIELDS = ("query", "query_image", "pos", "pos_image")
 
@@ -114,12 +115,13 @@ def round_robin_groups(rows: DataFrame, size: int = 64) -> DataFrame:
     every `size` rows.
     """
     own = rows.filter(F.coalesce("label", F.lit("")) != "")
-    labels = own.groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    path = work_dir(rows.sparkSession)
+    labels = staged(own.groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")), f"{path}/labels")
     depth = labels.groupBy("domain").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), whole_percentile("n", 0.8).alias("p80"))
     depth = depth.select("domain", F.when(F.col("k").isin(2, 3), F.col("least")).otherwise(F.col("p80")).alias("depth"))
     ranked = place_in_group(own.select("domain", "label", "ord"), ["domain", "label"], "ord", [], "slice").join(small(depth), "domain").filter(F.col("slice") < F.col("depth"))
     # At most `depth` rows of each label are left.
-    placed = ranked.join(labels.select("domain", "label", "first"), ["domain", "label"]).select("domain", "label", "ord", "slice", "first")
+    placed = staged(ranked.join(labels.select("domain", "label", "first"), ["domain", "label"]).select("domain", "label", "ord", "slice", "first"), f"{path}/slices")
     placed = place_in_group(placed, ["domain", "slice"], "first", ["label"], "rn")
     in_slice = placed.groupBy("domain", "slice").agg(F.count(F.lit(1)).alias("in_slice")).filter(F.col("in_slice") >= 2)
     return placed.join(in_slice, ["domain", "slice"]).select(

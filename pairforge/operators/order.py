@@ -42,16 +42,29 @@ def number_buckets(df: DataFrame, by: str) -> Column:
 def place_in_group(df: DataFrame, group: list[str], by: str, tie: list[str], name: str = "place") -> DataFrame:
     """The row's place, from 0, within its group by the whole number `by`, then the tie columns.
 
-    A group of any size is counted in buckets of ranges of `by`: the sizes of the buckets before, which are few rows for
-    each group, and the place within the bucket. No task holds a whole group.
+    A group of more than a shuffle partition's share of all rows (there are at most as many as partitions) is counted in
+    buckets of ranges of `by`: the sizes of the buckets before, and the place within the bucket. So no task holds it whole.
     """
-    cut = df.withColumn("_b", number_buckets(df, by))
-    keys = ", ".join([*group, "_b"])
-    sizes = cut.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(*group, "_b", F.expr(f"coalesce(sum(_n) OVER (PARTITION BY {', '.join(group)} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_before"))
-    own = cut.withColumn("_in", F.expr(f"row_number() OVER (PARTITION BY {keys} ORDER BY {', '.join([by, *tie])}) - 1"))
-    on = [own[c].eqNullSafe(before[c]) for c in group] + [own["_b"] == before["_b"]]
-    return own.join(before, on).select(*[own[c] for c in df.columns], (F.col("_before") + F.col("_in")).alias(name))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order_by = ", ".join([by, *tie])
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    hot = sizes.filter(F.col("_n") > max(total // parts, 1)).select(*group)
+    if hot.isEmpty():
+        return df.withColumn(name, F.expr(f"row_number() OVER (PARTITION BY {', '.join(group)} ORDER BY {order_by}) - 1").cast("bigint"))
+
+    def named(small: DataFrame, cols: list[str]) -> tuple[DataFrame, list[Column]]:
+        """The small side under names of its own, and the null-safe conditions on it."""
+        return small.withColumnsRenamed({c: f"_of_{c}" for c in cols}), [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cols]
+
+    marks, on = named(hot.withColumn("_hot", F.lit(True)), group)
+    cut = df.join(F.broadcast(marks), on, "left").select(*df.columns, F.when(F.col("_hot"), number_buckets(df, by)).otherwise(-1).alias("_b"))
+    counts = cut.filter(F.col("_b") >= 0).groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    past = f"OVER (PARTITION BY {', '.join(group)} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    before, on = named(counts.select(*group, "_b", F.expr(f"coalesce(sum(_n) {past}, 0)").alias("_before")), [*group, "_b"])
+    own = cut.withColumn("_in", F.expr(f"row_number() OVER (PARTITION BY {', '.join([*group, '_b'])} ORDER BY {order_by}) - 1"))
+    joined = own.join(F.broadcast(before), on, "left")  # partitions squared at most
+    return joined.select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.col("_in")).cast("bigint").alias(name))
 
 
 def shuffled(df: DataFrame, seed: int, id_col: str) -> DataFrame:

@@ -304,3 +304,25 @@ def test_instructions(spark):
     tasks = spark.createDataFrame([("Banking77Classification.v2", "Classification"), ("x", "STS"), ("x", "Other")], "task_name STRING, task_type STRING")
     got = [r.instruction for r in enrich.task_instruction(tasks).collect()]
     assert got[0].startswith("Instruct: Given a online banking query") and got[1] == "Instruct: Retrieve semantically similar text\nQuery: {query}" and got[2] == ""
+
+
+def test_places_in_hot_groups(spark):
+    rows = [("hot" if i % 2 else f"g{i % 10}", i * 7 % 1000, i) for i in range(1000)] + [(None, 5, 2000), (None, 5, 1999)]
+    df = spark.createDataFrame(rows, "g STRING, k BIGINT, id BIGINT")
+    want = {}
+    for g in {g for g, _, _ in rows}:
+        for place, (_, i) in enumerate(sorted((k, i) for h, k, i in rows if h == g)):
+            want[i] = place
+    assert {r.id: r.place for r in order.place_in_group(df, ["g"], "k", ["id"]).collect()} == want
+    few = df.filter("g <> 'hot'")
+    assert {r.id for r in order.place_in_group(few.filter("id < 3"), ["id"], "k", ["id"]).filter("place = 0").collect()} == {0, 2}
+    assert order.place_in_group(df.limit(0), ["g"], "k", ["id"]).count() == 0
+
+
+def test_hot_join(spark):
+    from pairforge.operators.skew import hot_join
+
+    left = spark.range(1000).select((F.col("id") % 3 * F.col("id") % 50).alias("k"), "id")
+    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert sorted(map(tuple, hot_join(left, right, "k").collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    assert hot_join(left.limit(0), right, "k").count() == 0
