@@ -299,17 +299,48 @@ def _dot(a: str, b: str) -> Column:
     return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 9)
 
 
+def _block_doors(entries: int):
+    def score(nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """The `entries` nodes of a block that are nearest to each query."""
+        out = [pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "id": np.zeros(0, dtype=np.int64)})]
+        if len(nodes) and len(asked):
+            nodes = nodes.sort_values("id", kind="stable")
+            ids, x, queries, y = nodes["id"].to_numpy(), _half(nodes["vec"]), asked["query_id"].to_numpy(), _half(asked["vec"])
+            for a in range(0, len(queries), 512):
+                best = np.argsort(-(y[a : a + 512] @ x.T), axis=1, kind="stable")[:, :entries]
+                out.append(pd.DataFrame({"query_id": np.repeat(queries[a : a + 512], best.shape[1]), "id": ids[best].ravel()}))
+        return pd.concat(out)
+
+    return score
+
+
+def _doors(q: DataFrame, graph: Graph, entries: int) -> DataFrame:
+    """(query_id, id): where queries (query_id, q_vec) enter the graph. In every tree all nodes of the query's leaf are scored.
+
+    A leaf of over twice the block's size is scored in parts, and so are its queries; each part gives its best nodes.
+    """
+    placed = q.select(F.col("query_id").alias("id"), F.col("q_vec").alias("vector")).mapInPandas(_placer(graph.trees), "id BIGINT, vec BINARY, leaves ARRAY<INT>")
+    asked = placed.select(F.col("id").alias("query_id"), "vec", F.posexplode("leaves").alias("tree", "leaf"))
+    nodes = graph.lists.select("id", "vec", F.posexplode("leaves").alias("tree", "leaf"))
+    at, parts = ["tree", "leaf"], F.ceil(F.count(F.lit(1)) / (2.0 * graph.block))
+    sizes = F.broadcast(nodes.groupBy(at).agg(parts.alias("parts")).join(asked.groupBy(at).agg(parts.alias("shares")), at))  # a row for each leaf
+    part, share = F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("shares")).alias("share")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    nodes = nodes.join(sizes, at).select(*at, "id", "vec", part, each("shares").alias("share"))
+    asked = asked.join(sizes, at).select(*at, "query_id", "vec", share, each("parts").alias("part"))
+    block = [*at, "part", "share"]
+    return nodes.groupBy(block).cogroup(asked.groupBy(block)).applyInPandas(_block_doors(entries), "query_id BIGINT, id BIGINT").distinct()
+
+
 def greedy_search(queries: DataFrame, graph: Graph, k: int = K, beam: int = 12, hops: int = 6, entries: int = 4) -> DataFrame:
     """(query_id, nbr, sim, rank) of queries (query_id, vector): classes near any vector, by walking the graph.
 
-    A query enters at some nodes of its leaf in the first tree. Each hop joins the nodes of its beam that were not yet
+    A query enters at the best nodes of its leaf in each tree. Each hop joins the nodes of its beam that were not yet
     opened to their lists, measures the new nodes, and keeps the best; it ends when no query has an unopened node left.
     """
     spark, path = queries.sparkSession, work_dir(queries.sparkSession)
     q = staged(queries.select("query_id", F.col("vector").alias("q_vec")), f"{path}/queries")
-    placed = q.select(F.col("query_id").alias("id"), F.col("q_vec").alias("vector")).mapInPandas(_placer(graph.trees[:1]), "id BIGINT, vec BINARY, leaves ARRAY<INT>")
-    doors = graph.lists.select(F.element_at("leaves", 1).alias("leaf"), "id").withColumn("nth", F.row_number().over(_by("leaf", F.xxhash64("id"), "id"))).filter(F.col("nth") <= entries)
-    start = placed.select(F.col("id").alias("query_id"), F.col("leaves")[0].alias("leaf")).join(doors, "leaf").select("query_id", "id")
+    start = _doors(q, graph, entries)
 
     def measure(pairs: DataFrame) -> DataFrame:
         return pairs.join(q, "query_id").join(graph.nodes, "id").select("query_id", "id", _dot("q_vec", "vector").alias("sim"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import unicodedata
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -218,6 +219,20 @@ def test_greedy_search_recall(spark, sf):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_greedy_search_recall_of_many(spark, sf):
+    """With the parameters of p3_search on a table whose graph is in separate parts."""
+    graph = neighbours.build_graph(spark.read.parquet(str(Path(sf).parent / "sf0.1" / "text_vectors.parquet")))
+    data = [(r.id, np.array(r.vector, dtype=np.float64)) for r in graph.nodes.collect()]
+    ids, x = np.array([i for i, _ in data]), np.stack([a / np.linalg.norm(a) for _, a in data])
+    queries = graph.nodes.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    got = {(r.query_id, r.nbr) for r in neighbours.greedy_search(queries, graph).collect()}
+    want = set()
+    for i in np.nonzero(ids % 50 == 0)[0]:
+        s = np.round(x @ x[i], 9)
+        want |= {(int(ids[i]), int(ids[j])) for j in np.lexsort((ids, -s))[:5]}
+    assert len(want) > 500 and len(got & want) / len(want) >= 0.99
+
+
 # 4. Mixing
 
 
