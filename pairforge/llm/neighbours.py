@@ -267,6 +267,11 @@ def nearest(vectors: DataFrame, k: int = K, **how: int) -> DataFrame:
     if graph is None:
         return vectors.sparkSession.createDataFrame([], "id BIGINT, nbr BIGINT, sim DOUBLE, rank INT")
     near = exact_lists(graph, k).select(F.col("id").alias("class"), F.col("nbr").alias("of"), "sim")
+    return _expand(graph, near, graph.nodes.select(F.col("id").alias("class")), graph.members, k)
+
+
+def _expand(graph: Graph, near: DataFrame, own: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(id, nbr, sim, rank) of the members asked (id, class), of the classes own (class), from near (class, of, sim): k other classes."""
     # The k + 1 smallest ids of each class; the limit is applied before the shuffle too.
     first = (
         graph.members.withColumn("nth", F.row_number().over(_by("class", "id")))
@@ -274,7 +279,7 @@ def nearest(vectors: DataFrame, k: int = K, **how: int) -> DataFrame:
         .groupBy("class").agg(F.sort_array(F.collect_list("id")).alias("first"))
     )
     one = F.lit(1.0).alias("sim")
-    lists = near.unionByName(graph.nodes.select(F.col("id").alias("class"), F.col("id").alias("of"), one))
+    lists = near.unionByName(own.select("class", F.col("class").alias("of"), one))
     # For each class: the first ids of itself and of its nearest classes, in order, k + 1 of them (one may be the member itself).
     candidates = (
         lists.join(first.withColumnRenamed("class", "of"), "of")
@@ -282,7 +287,7 @@ def nearest(vectors: DataFrame, k: int = K, **how: int) -> DataFrame:
         .agg(F.flatten(F.collect_list(F.transform("first", lambda x: F.struct((-F.col("sim")).alias("far"), x.alias("nbr"))))).alias("all"))
         .select("class", F.slice(F.array_sort("all"), 1, k + 1).alias("all"))
     )
-    mine = hot_join(graph.members, candidates, "class").select("id", F.slice(F.filter("all", lambda x: x["nbr"] != F.col("id")), 1, k).alias("all"))
+    mine = hot_join(asked, candidates, "class").select("id", F.slice(F.filter("all", lambda x: x["nbr"] != F.col("id")), 1, k).alias("all"))
     return mine.select("id", F.posexplode("all").alias("rank", "x")).select(
         "id", F.col("x.nbr").alias("nbr"), (-F.col("x.far")).alias("sim"), (F.col("rank") + 1).alias("rank")
     )
@@ -357,3 +362,12 @@ def greedy_search(queries: DataFrame, graph: Graph, k: int = K, beam: int = 12,
         seen = staged(best.withColumn("opened", F.lit(True)).unionByName(new), f"{path}/hop{hop + 1}")
     ranked = seen.withColumn("rank", F.row_number().over(_by("query_id", F.desc("sim"), "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("id").alias("nbr"), "sim", "rank")
+
+
+def search_members(graph: Graph, asked: DataFrame, k: int = K, **how: int) -> DataFrame:
+    """(query_id, nbr, sim, rank): by greedy search, the k nearest others of members asked (id, class). Equal vectors are searched for once."""
+    own = asked.select("class").distinct()
+    queries = own.join(graph.nodes.withColumnRenamed("id", "class"), "class").withColumnRenamed("class", "query_id")
+    # One class more, as the query's own may be among them.
+    near = greedy_search(queries, graph, k + 1, **how).select(F.col("query_id").alias("class"), F.col("nbr").alias("of"), "sim").filter(F.col("class") != F.col("of"))
+    return _expand(graph, near, own, asked, k).withColumnRenamed("id", "query_id")

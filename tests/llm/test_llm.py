@@ -233,6 +233,30 @@ def test_greedy_search_recall_of_many(spark, sf):
     assert len(want) > 500 and len(got & want) / len(want) >= 0.99
 
 
+def test_search_leaves_out_the_query_alone(spark, tmp_path):
+    x = [[1.0, 0.0]] * 3 + [[0.0, 1.0]] * 7 + [[1.0, 1.0]] * 2
+    vectors(spark, x * 9).write.parquet(str(tmp_path / "text_vectors.parquet"))
+    got = {(r.query_id, r.nbr) for r in LLM.runs["p3_search"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a, b in brute_lists(np.arange(108), np.array(x * 9), 5) if a % 50 == 0}
+    few = neighbours.build_graph(vectors(spark, x[2:4]))
+    assert rows(neighbours.search_members(few, few.members)) == [(0, 1, 0.0, 1), (1, 0, 0.0, 1)]
+    assert rows(neighbours.search_members(few, few.members.filter("id > 9"))) == []
+
+
+def test_search_recall(spark, sf):
+    path = str(Path(sf).parent / "sf0.1")
+    data = [(r.id, r.vector) for r in spark.read.parquet(f"{path}/text_vectors.parquet").selectExpr("vec_id AS id", "vector").collect() if r.vector is not None and any(r.vector)]
+    got = {(r.query_id, r.nbr) for r in LLM.runs["p3_search"](spark, path).collect()}
+    ids, x = np.array([i for i, _ in data]), np.array([v for _, v in data], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for i in np.nonzero(ids % 50 == 0)[0]:
+        s = np.round(x @ x[i], 9)
+        s[i] = -9
+        want |= {(int(ids[i]), int(ids[j])) for j in np.lexsort((ids, -s))[:5]}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.99
+
+
 # 4. Mixing
 
 
