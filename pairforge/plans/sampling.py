@@ -192,6 +192,13 @@ def easy_medium_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return mixed_negatives(table(spark, sf, "normalised"), n_medium=3, n_hard=2, seed=SEED)
 
 
+@CORE.query("easy_medium_hard_topped", "B22", "J09", "J10")
+def easy_medium_hard_topped(spark: SparkSession, sf: str) -> DataFrame:
+    from pairforge.operators.mining import topped_negatives
+
+    return topped_negatives(table(spark, sf, "normalised"), n_easy=5, n_medium=3, n_hard=2, seed=SEED)
+
+
 @CORE.query("shuffle_deterministic", "O01", "O02", "O05", "O06", "W10", oracle=f"SELECT doc_id, row_number() OVER (ORDER BY {sql_key(1337, 'shuffle', 'doc_id')}, doc_id) - 1 AS ord0 FROM documents")
 def shuffle_deterministic(spark: SparkSession, sf: str) -> DataFrame:
     return order.shuffled_ordinal(table(spark, sf, "documents").select("doc_id"), 1337, "doc_id")
