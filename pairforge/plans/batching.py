@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions import tokens as tk
@@ -120,10 +120,25 @@ def _batched(spark: SparkSession, sf: str, size: int) -> DataFrame:
 def batch_pad(spark: SparkSession, sf: str) -> DataFrame:
     b = _batched(spark, sf, 32)
     w = b.groupBy("batch_id").agg(F.max(F.size("x.ids")).alias("longest"), F.max(F.size("x.eos_mask")).alias("most"))
-    full = b.join(w, "batch_id").select("batch_id", "doc_id", tk.batch_pad(F.col("x.ids"), F.col("x.eos_mask"), F.col("most"), F.col("longest")).alias("p"))
+    return _padded(b.join(w, "batch_id"))
+
+
+def _padded(b: DataFrame) -> DataFrame:
+    full = b.select("batch_id", "doc_id", tk.batch_pad(F.col("x.ids"), F.col("x.eos_mask"), F.col("most"), F.col("longest")).alias("p"))
     return full.select("batch_id", "doc_id", F.size("p.ids").alias("n_ids"), F.size("p.eos_mask").alias("n_eos"), F.size(F.filter("p.eos_mask", lambda m: m)).alias("n_on"))
 
 
+@CORE.query("batch_pad_all", "F61", "A28")
+def batch_pad_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches as an evaluation makes them: the last one may be smaller, and no document is left out."""
+    # Texts are numbered and moved, not their tokens, which are several times as large.
+    docs = order.with_ordinal(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").withColumn("batch_id", F.floor(F.col("ord0") / 32))
+    x = docs.repartition("batch_id").select("batch_id", "doc_id", tk.byte_ids(F.col("text")).alias("ids"))
+    b = x.select("batch_id", "doc_id", tk.eos_eval(F.col("ids"), CTX, CHUNK).alias("x"))
+    batch = Window.partitionBy("batch_id")  # 32 rows at most
+    return _padded(b.withColumns({"longest": F.max(F.size("x.ids")).over(batch), "most": F.max(F.size("x.eos_mask")).over(batch)}))
+
+
 @CORE.query(
     "microbatch_drop_last", "C06", "W11",
     oracle="SELECT doc_id, batch_id FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 48 AS batch_id, count(*) OVER () AS n FROM documents) WHERE (batch_id + 1) * 48 <= n",

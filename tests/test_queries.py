@@ -52,6 +52,20 @@ def test_negatives_of_a_hot_query(spark):
             assert set(r.medium) <= {f"p{i % 95}" for i in range(90, 100)}
 
 
+def test_batches_of_an_evaluation_are_whole(spark, sf, tmp_path):
+    """Every document, in batches of 32 and a rest; full batches as in batch_pad."""
+    for n in (100, 5):
+        docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(n)
+        docs.write.parquet(str(tmp_path / f"{n}" / "documents.parquet"))
+        got = CORE.runs["batch_pad_all"](spark, str(tmp_path / f"{n}")).collect()
+        ids = sorted(r.doc_id for r in docs.collect())
+        assert {r.doc_id: r.batch_id for r in got} == {d: i // 32 for i, d in enumerate(ids)} and len(got) == len(ids)
+        full = {tuple(r) for r in CORE.runs["batch_pad"](spark, str(tmp_path / f"{n}")).collect()}
+        assert {tuple(r) for r in got if r.batch_id < len(ids) // 32} == full
+        for b in {r.batch_id for r in got}:
+            assert len({(r.n_ids, r.n_eos) for r in got if r.batch_id == b}) == 1
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
