@@ -3,15 +3,23 @@
 Equal vectors form a class, and the graph is built over classes: of a class, only its k + 1 smallest ids can be among
 anyone's k nearest, so a vector that fills a third of the table costs one node and one short list.
 
-A forest of random-projection trees, fitted on a bounded sample, gives every node a leaf in each tree. Each round of the
-descent takes the leaves of the next tree as blocks. A block gathers, by joins, its own nodes, their neighbours, and the
-nodes that have them as neighbours; so for each node the neighbours of its neighbours meet in some block. There the
-similarities are computed as one matrix product, and each node's candidates that are better than its list go out as
-updates, which are merged into the graph. Rounds end when few entries change. Vectors travel as half-precision floats;
-the final lists, of more than k entries, are ordered by similarities from the full vectors in double precision.
+Start: random-projection trees, fitted on a bounded sample, cut the nodes into blocks, once for each tree. A node travels
+with its list from block to block; in a block each node's list takes the best of the block. Blocks below what the sample
+can resolve are cut further by random planes through their sample mean.
 
-Approximate by nature: reverse neighbours are sampled (REVERSE for a node and round, other ones each round), blocks of
-over twice the size are split by a hash. Recall against brute force is measured in tests and in the README.
+Descent: every node has a home, its block in the last tree. In each round a home gathers, by joins, the vectors of its
+nodes' neighbours and of those that name its nodes as neighbours, and compares for each of its nodes the neighbours and
+reverse neighbours with each other, if one of the two is new in that relation. Pairs that shared a block have been
+compared already and are left out. What beats the end of a list goes to that node's home as an update. Lists and vectors
+are kept apart: vectors are written once, lists each round. Only nodes that changed, or were named in an update, are
+centres of the next round; the descent goes on until fewer than ENOUGH of all entries change, without a limit of rounds
+(lists only ever improve, so it ends). A table of one block is compared whole and needs no descent.
+
+The final lists, of more than k entries, are ordered by similarities from the full vectors in double precision; entries
+that half precision tells apart from the k-th place for certain are not measured again.
+
+Approximate by nature: reverse neighbours are sampled (REVERSE for a node and round, new ones first, others each round).
+Recall against brute force is measured in tests and in the README.
 
 Defined results: null vectors, those with null or non-finite entries, and zero vectors take no part; vectors of another
 length than the first are an error of the table and raise; similarities that agree to nine digits are equal and the
@@ -26,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,23 +44,41 @@ from pairforge.session import drop_dir, staged, work_dir
 K = 5
 #: Entries of a node's list while the graph is built.
 WIDTH = 16
-REVERSE = 10
-BLOCK = 800
-#: Rounds at most, each with its own tree; below this share of changed entries no further one.
-ROUNDS, ENOUGH = 6, 0.002
+#: Reverse neighbours of a node that take part in a round.
+REVERSE = 16
+#: Nodes of a block, about; a block is compared whole.
+BLOCK = 12_800
+TREES = 6
+#: Below this share of changed entries there is no further round.
+ENOUGH = 0.002
 #: Vectors on which the trees are fitted (held by the driver).
 SAMPLE = 16_384
 LEAST_LEAF = 16
+#: Trees in whose blocks queries look for their entries.
+DOORS = 3
+#: By how much a similarity of half-precision unit vectors may be off.
+HALF_ERROR = 0.001
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Node i splits at planes[i] . x > cuts[i] into left[i] and right[i]; left[i] < 0: a leaf."""
+    """Node i splits at planes[i] . x > cuts[i] into left[i] and right[i]; left[i] < 0: a leaf.
+
+    A leaf that stands for more than a block is cut into 2 ** bits[i] parts by planes through its mean.
+    """
 
     planes: np.ndarray
     cuts: np.ndarray
     left: np.ndarray
     right: np.ndarray
+    means: np.ndarray
+    bits: np.ndarray
+    first: np.ndarray
+    across: np.ndarray
+
+    @property
+    def blocks(self) -> int:
+        return int(self.first[-1])
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), dtype=np.int64)
@@ -61,10 +88,20 @@ class Tree:
             node[inner] = np.where(above, self.right[at], self.left[at])
         return node
 
+    def block_of(self, x: np.ndarray) -> np.ndarray:
+        """Blocks are numbered from 0 without gaps."""
+        leaf = self.leaf_of(x)
+        code = np.zeros(len(x), dtype=np.int64)
+        if len(self.across):
+            sides = (x - self.means[leaf]) @ self.across.T > 0
+            for b in range(len(self.across)):
+                code += (sides[:, b] & (b < self.bits[leaf])).astype(np.int64) << b
+        return (self.first[leaf] + code).astype(np.int32)
+
 
 def fit_tree(x: np.ndarray, scale: float, block: int, rng: np.random.Generator) -> Tree:
     """A tree over sample vectors, each of which stands for `scale` of the table."""
-    planes, cuts, left, right = [], [], [], []
+    planes, cuts, left, right, means, bits = [], [], [], [], [], []
 
     def grow(own: np.ndarray) -> int:
         i = len(cuts)
@@ -72,9 +109,11 @@ def fit_tree(x: np.ndarray, scale: float, block: int, rng: np.random.Generator)
         cuts.append(0.0)
         left.append(-1)
         right.append(-1)
-        if len(own) * scale <= block or len(own) < 2 * LEAST_LEAF:
+        means.append(x[own].mean(axis=0))
+        bits.append(0)
+        if len(own) * scale <= block:
             return i
-        for _ in range(4):
+        for _ in range(4 if len(own) >= 2 * LEAST_LEAF else 0):
             a, b = x[rng.choice(own, 2, replace=False)]
             side = x[own] @ (a - b)
             cut = float(np.median(side))
@@ -83,15 +122,18 @@ def fit_tree(x: np.ndarray, scale: float, block: int, rng: np.random.Generator)
                 planes[i], cuts[i] = a - b, cut
                 left[i] = grow(own[~above])
                 right[i] = grow(own[above])
-                break
+                return i
+        bits[i] = int(np.ceil(np.log2(len(own) * scale / block)))
         return i
 
     grow(np.arange(len(x)))
-    return Tree(np.array(planes), np.array(cuts), np.array(left), np.array(right))
+    sizes = np.where(np.array(left) < 0, 1 << np.array(bits), 0)
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    return Tree(np.array(planes), np.array(cuts), np.array(left), np.array(right), np.array(means), np.array(bits), first, rng.normal(size=(max(bits), x.shape[1])))
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.array(vectors.tolist(), dtype=np.float64)
+def _unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
+    x = np.array(vectors.tolist(), dtype=np.float64) if isinstance(vectors, pd.Series) else vectors.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # tiny and huge vectors keep their direction
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -111,11 +153,70 @@ def classes_of(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _forest(nodes: DataFrame, n: int, block: int, trees: int, seed: int) -> list[Tree]:
-    sample = nodes.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE).select("vector").toPandas()["vector"]
-    if sample.map(len).nunique() > 1:
+    """Fitted on about SAMPLE vectors, those with the smallest digests of their ids."""
+    picked = nodes.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)) < SAMPLE).select("vector").toPandas()["vector"] if n > SAMPLE else nodes.select("vector").toPandas()["vector"]
+    if picked.map(len).nunique() > 1:
         raise ValueError("vectors of different lengths")
-    x, rng = _unit(sample), np.random.default_rng(seed)
-    return [fit_tree(x, n / len(x), block, rng) for _ in range(trees)]
+    x, rng = _unit(picked), np.random.default_rng(seed)
+    return [fit_tree(x, n / len(x), block, rng) for _ in range(trees if n > block else 1)]
+
+
+# Rows travel as fixed-width binary columns, which are read and written without a step for each row.
+
+
+def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
+    """A binary column of equally long entries as rows of a matrix."""
+    if not len(column):
+        return np.zeros((0, 0), dtype=dtype)
+    width = len(column[0].as_py())
+    offset = int(np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset])
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offset : offset + width * len(column)].view(dtype).reshape(len(column), -1)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    ends = (np.arange(len(rows) + 1) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _batch(**columns: pa.Array | np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of equal keys of a stream that is sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[0].column(key)[0].as_py() != keys[a]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    c = table.column(name)
+    return c.chunk(0) if c.num_chunks == 1 else pa.array([], type=c.type) if not c.num_chunks else pa.concat_arrays(c.chunks)
+
+
+def _dealt(rows: DataFrame, blocks: int, key: str, *order: Column | str) -> DataFrame:
+    """Whole blocks to tasks, one each up to a number of partitions, then in turn; sorted by block."""
+    spark = rows.sparkSession
+    most = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = max(1, min(blocks, most))
+    return rows.repartitionById(parts, F.pmod(F.col(key), F.lit(parts)).cast("int")).sortWithinPartitions(key, *order)
+
+
+_PLACED = "id BIGINT, block INT, blocks BINARY, vec BINARY"
+_NODE = _PLACED + ", codes BINARY, nbrs BINARY, sims BINARY, homes BINARY"
+_LISTS = "id BIGINT, home INT, nbrs BINARY, sims BINARY, homes BINARY, fresh BINARY, active BOOLEAN, changed INT"
 
 
 def _placer(trees: list[Tree]):
@@ -123,81 +224,273 @@ def _placer(trees: list[Tree]):
         for batch in batches:
             if len(batch):
                 x = _unit(batch["vector"])
-                leaves = np.stack([t.leaf_of(x) for t in trees], axis=1)
-                yield pd.DataFrame({"id": batch["id"], "vec": [r.tobytes() for r in x.astype(np.float16)], "leaves": list(leaves.astype(np.int32))})
+                blocks = np.stack([t.block_of(x) for t in trees], axis=1)
+                yield pd.DataFrame({"id": batch["id"], "block": blocks[:, 0], "blocks": [r.tobytes() for r in blocks], "vec": [r.tobytes() for r in x.astype(np.float16)]})
 
     return place
 
 
-def _block_join(width: int):
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        """All of a block against each other: for each node the best `width` that are not in its list but better than its last."""
-        rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
-        ids, x = rows["id"].to_numpy(), _half(rows["vec"])
-        worst = rows["worst"].to_numpy(dtype=np.float32)
-        known = rows["nbrs"].tolist()
-        sizes = np.array([len(a) for a in known])
-        flat = np.concatenate(known) if sizes.sum() else np.zeros(0, dtype=np.int64)
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        here = ids[at] == flat
-        owner, at = owner[here], at[here]
-        out = []
-        for a in range(0, len(ids), 512):
-            b = min(a + 512, len(ids))
-            s = x[a:b] @ x.T
-            s[np.arange(b - a), np.arange(a, b)] = -3
-            mine = (owner >= a) & (owner < b)
-            s[owner[mine] - a, at[mine]] = -3
-            best = np.argpartition(-s, min(width, len(ids) - 1), axis=1)[:, :width] if len(ids) > width else np.tile(np.arange(len(ids)), (b - a, 1))
-            sims = np.take_along_axis(s, best, axis=1)
-            i, j = np.nonzero(sims > np.maximum(worst[a:b, None], -2))
-            out.append(pd.DataFrame({"id": ids[a + i], "nbr": ids[best[i, j]], "sim": sims[i, j]}))
-        return pd.concat(out)
+def _best(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, n: int, width: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each of n owners the first `width` different ids by similarity (earlier rows of an id win), as padded matrices (-1, -3)."""
+    order = np.lexsort((np.arange(len(ids)), ids, owner))
+    o, i = owner[order], ids[order]
+    order = order[np.concatenate(([True], (o[1:] != o[:-1]) | (i[1:] != i[:-1])))] if len(order) else order
+    order = order[np.lexsort((ids[order], -sims[order], owner[order]))]
+    o = owner[order]
+    place = np.arange(len(o)) - np.searchsorted(o, np.arange(n))[o]
+    order, o, place = order[place < width], o[place < width], place[place < width]
+    out = []
+    for values, fill in ((ids, -1), (sims, -3), *((m, -1) for m in more)):
+        a = np.full((n, width), fill, dtype=values.dtype)
+        a[o, place] = values[order]
+        out.append(a)
+    return tuple(out)
+
+
+def _compare_block(ids, x, nbrs, sims, homes, home, width):
+    """The lists of a block's nodes after each node has met all others of the block."""
+    n = len(ids)
+    worst = sims[:, -1].copy()
+    if n > 1 and (worst < -2).any():  # a first bound from some columns
+        some = x[:: max(1, n // 800)]
+        for a in range(0, n, 1024):
+            s = x[a : a + 1024] @ some.T
+            m = min(width + 1, s.shape[1])
+            bound = -np.partition(-s, m - 1, axis=1)[:, m - 1] if m > width else np.full(len(s), -3.0)  # one may be the node itself
+            worst[a : a + 1024] = np.maximum(worst[a : a + 1024], bound)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, n, 256):
+        s = x[a : a + 256] @ x.T
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = -4
+        i, j = np.nonzero(s >= worst[a : a + 256, None])
+        own, got, place = (m.reshape(len(s), -1) for m in _best(i, ids[j], s[i, j], len(s), width, j))
+        kept = own >= 0
+        found.append((np.nonzero(kept)[0] + a, place[kept], got[kept]))
+    i, j, s = (np.concatenate(c) for c in zip(*found))
+    have = nbrs >= 0
+    owner = np.concatenate((np.nonzero(have)[0], i))
+    return _best(owner, np.concatenate((nbrs[have], ids[j])), np.concatenate((sims[have], s)), n, width, np.concatenate((homes[have], home[j])))
+
+
+def _tree_step(t: int, trees: int, width: int, block: int):
+    """All nodes of each block of tree t; a block that is much larger than planned is taken in parts, in the order of a digest."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "block"):
+            parts = -(-group.num_rows // (3 * block))
+            size = -(-group.num_rows // parts)
+            for part in range(parts):
+                rows = group.slice(part * size, size).combine_chunks()
+                if not rows.num_rows:
+                    continue
+                ids, n = _column(rows, "id").to_numpy(), rows.num_rows
+                x = _matrix(_column(rows, "vec"), np.float16).astype(np.float32)
+                blocks = _matrix(_column(rows, "blocks"), np.int32)
+                if t:
+                    codes, nbrs, sims, homes = (_matrix(_column(rows, c), d) for c, d in (("codes", np.int32), ("nbrs", np.int64), ("sims", np.float32), ("homes", np.int32)))
+                    codes = codes.copy()
+                else:
+                    codes, nbrs = np.full((n, trees), -1, dtype=np.int32), np.full((n, width), -1, dtype=np.int64)
+                    sims, homes = np.full((n, width), -3, dtype=np.float32), np.full((n, width), -1, dtype=np.int32)
+                codes[:, t] = (int(blocks[0, t]) * 64 + part) & 0x7FFFFFFF
+                nbrs, sims, homes = _compare_block(ids, x, nbrs, sims, homes, blocks[:, -1], width)
+                following = blocks[:, t + 1] if t + 1 < trees else blocks[:, t]
+                yield _batch(id=ids, block=following, blocks=_binary(blocks), vec=_column(rows, "vec"), codes=_binary(codes), nbrs=_binary(nbrs), sims=_binary(sims), homes=_binary(homes))
+
+    return step
+
+
+def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(home, id): the neighbours, at home elsewhere, whose vectors the homes of active nodes need."""
+    for b in batches:
+        on = np.flatnonzero(b.column("active").to_numpy(zero_copy_only=False))
+        if len(on):
+            nbrs, homes, home = _matrix(b.column("nbrs"), np.int64)[on], _matrix(b.column("homes"), np.int32)[on], b.column("home").to_numpy()[on]
+            i, j = np.nonzero((nbrs >= 0) & (homes != home[:, None]))
+            pairs = np.unique(np.stack((home[i].astype(np.int64), nbrs[i, j])), axis=1)
+            yield _batch(home=pairs[0].astype(np.int32), id=pairs[1])
+
+
+def _backward(reverse: int, seed: int):
+    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(home, id, centre, fresh): edges id -> centre to the homes of centres elsewhere.
+
+        Of the edges of a batch to one centre, `reverse` at most are sent: new ones first, then by a digest.
+        """
+        for b in batches:
+            if not b.num_rows:
+                continue
+            nbrs, homes, fresh = (_matrix(b.column(c), d) for c, d in (("nbrs", np.int64), ("homes", np.int32), ("fresh", np.int8)))
+            i, j = np.nonzero((nbrs >= 0) & (homes != b.column("home").to_numpy()[:, None]))
+            own, to, is_fresh = b.column("id").to_numpy()[i], nbrs[i, j], fresh[i, j]
+            kept = _sampled(to, own, is_fresh, reverse, seed)
+            yield _batch(home=homes[i, j][kept], id=own[kept], centre=to[kept], fresh=is_fresh[kept].astype(bool))
+
+    return backward
+
+
+def _sampled(to: np.ndarray, own: np.ndarray, fresh: np.ndarray, reverse: int, seed: int) -> np.ndarray:
+    """Places of `reverse` edges at most for each `to`."""
+    mixed = ((own.astype(np.uint64) ^ (to.astype(np.uint64) << np.uint64(21)) ^ np.uint64(seed)) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.lexsort((own, mixed ^ (mixed >> np.uint64(29)), -fresh.astype(np.int8), to))
+    sorted_to = to[order]
+    starts = np.concatenate(([True], sorted_to[1:] != sorted_to[:-1])) if len(to) else np.zeros(0, dtype=bool)
+    first = np.maximum.accumulate(np.where(starts, np.arange(len(to)), 0)) if len(to) else np.zeros(0, dtype=np.int64)
+    return order[np.arange(len(to)) - first < reverse]
+
+
+_OWN, _GUEST, _EDGE = 0, 1, 2
+
+
+def _local_join(width: int, reverse: int, seed: int):
+    """Neighbours and reverse neighbours of each active node of a home against each other: (home, id, nbr, sim, nbr_home) as updates.
+
+    A pair is compared if one of the two is new to the node and they never shared a block. An update with nbr -1 says that
+    a pair of this node went to its other end, so that it is a centre of the next round.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "home"):
+            kind, id_ = _column(rows, "kind").to_numpy(), _column(rows, "id").to_numpy()
+            n_nodes = int((kind < _EDGE).sum())  # sorted by kind: own, guests, edges
+            n_own = int((kind == _OWN).sum())
+            if not n_own:
+                continue
+            home = rows.column("home")[0].as_py()
+            order = np.argsort(id_[:n_nodes], kind="stable")
+            ids = id_[:n_nodes][order]
+            at = np.empty(n_nodes, dtype=np.int64)
+            at[order] = np.arange(n_nodes)
+            part = rows.slice(0, n_nodes).combine_chunks()
+            x = _matrix(_column(part, "vec"), np.float16).astype(np.float32)[order]
+            codes, worst = _matrix(_column(part, "codes"), np.int32)[order], _column(part, "worst").to_numpy()[order]
+            own_home = _column(part, "own_home").to_numpy()[order]
+            own = rows.slice(0, n_own).combine_chunks()
+            nbrs, fresh, active = _matrix(_column(own, "nbrs"), np.int64), _matrix(_column(own, "fresh"), np.int8), _column(own, "active").to_numpy(zero_copy_only=False).astype(bool)
+
+            def find(wanted: np.ndarray) -> np.ndarray:
+                """Places among all nodes; -1: not here."""
+                place = np.minimum(np.searchsorted(ids, wanted), n_nodes - 1)
+                return np.where(ids[place] == wanted, place, -1)
+
+            members = np.full((n_own, width + reverse), -1, dtype=np.int64)
+            is_new = np.zeros((n_own, width + reverse), dtype=bool)
+            members[:, :width] = np.where(nbrs >= 0, find(nbrs), -1)
+            is_new[:, :width] = fresh > 0
+            # Edges to nodes of this home: from nodes of this home, and those that were sent.
+            inside = np.full(n_nodes, -1, dtype=np.int64)
+            inside[at[:n_own]] = np.arange(n_own)
+            i, j = np.nonzero(members[:, :width] >= 0)
+            to = inside[members[i, j]]
+            i, j, to = i[to >= 0], j[to >= 0], to[to >= 0]
+            edges = rows.slice(n_nodes).combine_chunks() if n_nodes < rows.num_rows else None
+            sent = find(_column(edges, "centre").to_numpy().astype(np.int64)) if edges is not None else np.zeros(0, dtype=np.int64)
+            sent_to = np.where(sent >= 0, inside[sent], -1)
+            sent_from = find(id_[n_nodes:])
+            good = (sent_to >= 0) & (sent_from >= 0)
+            sent_fresh = _column(edges, "is_new").to_numpy(zero_copy_only=False).astype(bool) if edges is not None else np.zeros(0, dtype=bool)
+            to, source = np.concatenate((to, sent_to[good])), np.concatenate((at[i], sent_from[good]))
+            new = np.concatenate((fresh[i, j] > 0, sent_fresh[good]))
+            kept = _sampled(to, source, new, reverse, seed)
+            to, source, new = to[kept], source[kept], new[kept]
+            place = width + np.arange(len(to)) - np.searchsorted(to, np.arange(n_own))[to] if len(to) else to
+            members[to, place], is_new[to, place] = source, new
+            centres = np.flatnonzero(active & (is_new & (members >= 0)).any(axis=1))
+            keys = [np.zeros(0, dtype=np.int64)]
+            values = [np.zeros(0, dtype=np.float32)]
+            for a in range(0, len(centres), 1000):
+                c = centres[a : a + 1000]
+                m, f = members[c], is_new[c]
+                v = x[m]
+                s = v @ v.transpose(0, 2, 1)
+                ok = (s > worst[m][:, :, None]) & (f[:, :, None] | f[:, None, :]) & (m[:, :, None] >= 0) & (m[:, None, :] >= 0)
+                z, p, q = np.nonzero(ok)
+                l, r = m[z, p], m[z, q]
+                away = (l != r) & (codes[l] != codes[r]).all(axis=1)
+                keys.append(l[away] * n_nodes + r[away])
+                values.append(s[z, p, q][away])
+            key, one = np.unique(np.concatenate(keys), return_index=True)
+            sim, l, r = np.concatenate(values)[one], key // n_nodes, key % n_nodes
+            known = np.sort((np.repeat(at[:n_own], width) * n_nodes + members[:, :width].ravel())[members[:, :width].ravel() >= 0])
+            if len(known):
+                there = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+                l, r, sim = l[~there], r[~there], sim[~there]
+            touched = np.unique(r)
+            none = np.full(len(touched), -1)
+            yield _batch(
+                home=np.concatenate((own_home[l], own_home[touched])).astype(np.int32), id=np.concatenate((ids[l], ids[touched])), nbr=np.concatenate((ids[r], none)),
+                sim=np.concatenate((sim, none)).astype(np.float32), nbr_home=np.concatenate((own_home[r], none)).astype(np.int32),
+            )
 
     return join
 
 
-def _homes(graph: DataFrame, t: int, block: int) -> DataFrame:
-    """The graph with each node's block in round t."""
-    leaf = F.element_at("leaves", t + 1)
-    sizes = graph.groupBy(leaf.alias("leaf")).agg(F.ceil(F.count(F.lit(1)) / (2.0 * block)).alias("parts"))  # a row for each leaf of a tree
-    sub = F.pmod(F.xxhash64(F.lit(t), "id"), F.col("parts"))
-    return graph.withColumn("leaf", leaf).join(F.broadcast(sizes), "leaf").withColumn("home", F.col("leaf") * F.lit(1 << 32) + sub).drop("leaf", "parts")
-
-
-def _round(graph: DataFrame, t: int, block: int, width: int, reverse: int) -> DataFrame:
-    homed = _homes(graph, t, block)
-    own = homed.select("home", "id")
-    edges = homed.select("home", F.col("id").alias("from"), F.explode("nbrs").alias("to"))
-    # A sample of those that point at a node, another one each round; the limit is applied before the shuffle too.
-    back = (
-        edges.withColumn("nth", F.row_number().over(_by("to", F.xxhash64(F.lit(t), "from", "to"), "from")))
-        .filter(F.col("nth") <= reverse)
-        .join(own.select(F.col("home").alias("home_to"), F.col("id").alias("to")), "to")
-        .select(F.col("home_to").alias("home"), F.col("from").alias("id"))
-    )
-    need = own.unionByName(edges.select("home", F.col("to").alias("id"))).unionByName(back).distinct()
-    worst = F.when(F.size("nbrs") >= width, F.element_at("sims", -1)).otherwise(-2.0).cast("float").alias("worst")
-    gathered = need.join(graph.select("id", "vec", "nbrs", worst), "id")
-    found = gathered.groupBy("home").applyInPandas(_block_join(width), "id BIGINT, nbr BIGINT, sim FLOAT")
-    best = (
-        found.groupBy("id", "nbr").agg(F.max("sim").alias("sim"))
-        .withColumn("nth", F.row_number().over(_by("id", F.desc("sim"), "nbr")))
-        .filter(F.col("nth") <= width)
-        .groupBy("id").agg(F.collect_list(F.struct((-F.col("sim")).alias("far"), "nbr")).alias("more"))  # width rows at most
-    )
-    old = F.transform(F.arrays_zip("sims", "nbrs"), lambda x: F.struct((-x["sims"]).alias("far"), x["nbrs"].alias("nbr")))
-    # A pair may come back with another last bit; the old entry stands.
-    news = F.filter(F.coalesce("more", F.array().cast("array<struct<far:float,nbr:bigint>>")), lambda x: ~F.array_contains("nbrs", x["nbr"]))
-    merged = graph.join(best, "id", "left").withColumn("all", F.slice(F.array_sort(F.concat(old, news)), 1, width))
-    kept = F.size(F.array_intersect(F.transform("all", lambda x: x["nbr"]), "nbrs"))
-    return merged.select(
-        "id", "vec", "leaves",
-        F.transform("all", lambda x: x["nbr"]).alias("nbrs"),
-        F.transform("all", lambda x: -x["far"]).alias("sims"),
-        (F.size("all") - kept).alias("changed"),
-    )
+def _merge(width: int):
+    """The lists of a home with the updates for its nodes; taken entries are new, all others have been joined."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "home"):
+            news = _column(rows, "is_update").to_numpy(zero_copy_only=False).astype(bool)  # sorted: lists first
+            n = int((~news).sum())
+            if not n:
+                continue
+            own = rows.slice(0, n).combine_chunks()
+            ids, home = _column(own, "id").to_numpy(), _column(own, "home").to_numpy()
+            nbrs, sims, homes = (_matrix(_column(own, c), d) for c, d in (("nbrs", np.int64), ("sims", np.float32), ("homes", np.int32)))
+            up_id, up_nbr, up_sim, up_home = (np.zeros(0, d) for d in (np.int64, np.int64, np.float32, np.int32))
+            if n < rows.num_rows:
+                up = rows.slice(n).combine_chunks()
+                up_id, up_nbr, up_sim, up_home = (_column(up, c).to_numpy() for c in ("id", "nbr", "sim", "nbr_home"))
+            order = np.argsort(ids, kind="stable")
+            owner = order[np.minimum(np.searchsorted(ids, up_id, sorter=order), n - 1)]
+            active = np.zeros(n, dtype=bool)
+            active[owner] = True
+            real = up_nbr >= 0
+            have = nbrs >= 0
+            flags = np.concatenate((np.zeros(have.sum(), dtype=np.int8), np.ones(real.sum(), dtype=np.int8)))
+            nbrs, sims, homes, fresh = _best(
+                np.concatenate((np.nonzero(have)[0], owner[real])), np.concatenate((nbrs[have], up_nbr[real])), np.concatenate((sims[have], up_sim[real])), n, width,
+                np.concatenate((homes[have], up_home[real])), flags,
+            )
+            fresh = np.maximum(fresh, 0)
+            yield _batch(id=ids, home=home, nbrs=_binary(nbrs), sims=_binary(sims), homes=_binary(homes), fresh=_binary(fresh), active=active, changed=fresh.sum(axis=1).astype(np.int32))
+
+    return merge
+
+
+def _first_lists(width: int):
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            yield _batch(
+                id=b.column("id"), home=b.column("block"), nbrs=b.column("nbrs"), sims=b.column("sims"), homes=b.column("homes"),
+                fresh=_binary(np.ones((n, width), dtype=np.int8)), active=np.ones(n, dtype=bool), changed=np.zeros(n, dtype=np.int32),
+            )
+
+    return lists
+
+
+def _worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            yield _batch(id=b.column("id"), worst=_matrix(b.column("sims"), np.float32)[:, -1].copy())
+
+
+def _round(nodes: DataFrame, lists: DataFrame, t: int, homes: int, width: int, reverse: int) -> DataFrame:
+    """The lists after a round of the descent. nodes: (id, own_home, vec, codes)."""
+    forward = lists.mapInArrow(_forward, "home INT, id BIGINT")
+    edges = lists.mapInArrow(_backward(reverse, t), "home INT, id BIGINT, centre BIGINT, fresh BOOLEAN")
+    if t:  # only edges to active centres
+        edges = edges.join(lists.filter("active").select(F.col("id").alias("centre")), "centre", "left_semi")
+    wanted = forward.unionByName(edges.select("home", "id")).distinct()
+    known = nodes.join(lists.mapInArrow(_worst, "id BIGINT, worst FLOAT"), "id")
+    guests = wanted.join(known, "id").select("home", F.lit(_GUEST).alias("kind"), "id", "own_home", "vec", "codes", "worst")
+    own = known.join(lists.select("id", "nbrs", "fresh", "active"), "id").select(F.col("own_home").alias("home"), F.lit(_OWN).alias("kind"), "id", "own_home", "vec", "codes", "worst", "nbrs", "fresh", "active")
+    sent = edges.select("home", F.lit(_EDGE).alias("kind"), "id", "centre", F.col("fresh").alias("is_new"))
+    rows = own.unionByName(guests, allowMissingColumns=True).unionByName(sent, allowMissingColumns=True)
+    updates = _dealt(rows, homes, "home", "kind", "id").mapInArrow(_local_join(width, reverse, t), "home INT, id BIGINT, nbr BIGINT, sim FLOAT, nbr_home INT")
+    both = lists.select("home", F.lit(False).alias("is_update"), "id", "nbrs", "sims", "homes").unionByName(updates.withColumn("is_update", F.lit(True)), allowMissingColumns=True)
+    return _dealt(both, homes, "home", "is_update", "id").mapInArrow(_merge(width), _LISTS)
 
 
 def _by(key: str, *order):
@@ -208,57 +501,97 @@ def _by(key: str, *order):
 
 @dataclass
 class Graph:
-    """nodes: (id, vector) of the classes; members: (id, class); lists: (id, vec, leaves, nbrs, sims)."""
+    """vectors: (id, vector) of the classes; members: (id, class); placed: (id, own_home, blocks, vec); lists: (id, home, nbrs, sims) as binary."""
 
     nodes: DataFrame
     members: DataFrame
+    placed: DataFrame
     lists: DataFrame
     trees: list[Tree]
     block: int
 
+    def edges(self) -> DataFrame:
+        """(id, nbr)."""
+
+        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    nbrs = _matrix(b.column("nbrs"), np.int64)
+                    i, j = np.nonzero(nbrs >= 0)
+                    yield _batch(id=b.column("id").to_numpy()[i], nbr=nbrs[i, j])
+
+        return self.lists.select("id", "nbrs").mapInArrow(explode, "id BIGINT, nbr BIGINT")
+
 
-def build_graph(vectors: DataFrame, k: int = K, width: int = WIDTH, block: int = BLOCK, rounds: int = ROUNDS, reverse: int = REVERSE, seed: int = 22) -> Graph | None:
+def build_graph(vectors: DataFrame, k: int = K, width: int = WIDTH, block: int = BLOCK, trees: int = TREES, reverse: int = REVERSE, seed: int = 22) -> Graph | None:
     """The neighbour graph of vectors (vec_id, vector); None if none takes part."""
-    spark, path = vectors.sparkSession, work_dir(vectors.sparkSession)
+    spark, path, width = vectors.sparkSession, work_dir(vectors.sparkSession), max(width, 2 * k)
     nodes, members = classes_of(vectors, k)
     nodes, members = staged(nodes, f"{path}/nodes"), staged(members, f"{path}/members")
     n = nodes.count()
     if not n:
         return None
-    trees = _forest(nodes, n, block, rounds, seed)
-    empty = nodes.mapInPandas(_placer(trees), "id BIGINT, vec BINARY, leaves ARRAY<INT>").select(
-        "*", F.array().cast("array<bigint>").alias("nbrs"), F.array().cast("array<float>").alias("sims"), F.lit(0).alias("changed")
-    )
-    graph = staged(empty, f"{path}/round0")
-    for t in range(rounds):
-        graph = staged(_round(graph, t, block, width, reverse), f"{path}/round{t + 1}")
-        drop_dir(spark, f"{path}/round{t}")
-        if graph.agg(F.sum("changed")).first()[0] <= ENOUGH * n * width:
+    forest = _forest(nodes, n, block, trees, seed)
+    state = nodes.mapInPandas(_placer(forest), _PLACED)
+    for t, tree in enumerate(forest):
+        digest = F.xxhash64(F.lit(t), "id")
+        state = _dealt(state, tree.blocks, "block", digest).mapInArrow(_tree_step(t, len(forest), width, block), _NODE)
+    state = staged(state, f"{path}/trees")
+    placed = state.select("id", F.col("block").alias("own_home"), "blocks", "vec", "codes")
+    lists = state.mapInArrow(_first_lists(width), _LISTS)
+    homes, t = forest[-1].blocks, 0
+    while len(forest) > 1:
+        lists = staged(_round(placed.drop("blocks"), lists, t, homes, width, reverse), f"{path}/round{t}")
+        if t:
+            drop_dir(spark, f"{path}/round{t - 1}")
+        t += 1
+        if lists.agg(F.sum("changed")).first()[0] <= ENOUGH * n * width:
             break
-    return Graph(nodes, members, graph.drop("changed"), trees, block)
+    return Graph(nodes, members, placed, lists, forest, block)
+
+
+def _asked(k: int):
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(home, id, nbr): entries that may be among the k best, and each node with itself, whose vector its home needs."""
+        for b in batches:
+            if b.num_rows:
+                nbrs, sims = _matrix(b.column("nbrs"), np.int64), _matrix(b.column("sims"), np.float32)
+                ids, home = b.column("id").to_numpy(), b.column("home").to_numpy()
+                i, j = np.nonzero((nbrs >= 0) & (sims >= sims[:, [k - 1]] - 2 * HALF_ERROR))
+                yield _batch(home=np.concatenate((home, home[i])), id=np.concatenate((ids, ids[i])), nbr=np.concatenate((ids, nbrs[i, j])))
+
+    return asked
+
 
+def _rank_exactly(k: int):
+    """The k best of each node of a home, by similarities from the full vectors."""
 
-def _rank_exactly(rows: pd.DataFrame) -> pd.DataFrame:
-    """Similarities of each node of a block to the nodes of its list, from the full vectors."""
-    rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
-    ids, x = rows["id"].to_numpy(), _unit(rows["vector"])
-    own = rows[rows["nbrs"].notna()]
-    sizes = own["nbrs"].map(len).to_numpy()
-    if not sizes.sum():
-        return pd.DataFrame({"id": [], "nbr": [], "sim": []})
-    nbr = np.concatenate(own["nbrs"].tolist())
-    i, j = np.repeat(own.index.to_numpy(), sizes), np.searchsorted(ids, nbr)
-    return pd.DataFrame({"id": ids[i], "nbr": nbr, "sim": np.round(np.einsum("ij,ij->i", x[i], x[j]), 9)})
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "home"):
+            is_pair = _column(rows, "is_pair").to_numpy(zero_copy_only=False).astype(bool)  # sorted: vectors first
+            n = int((~is_pair).sum())
+            ids = _column(rows, "nbr").to_numpy()[:n]
+            pairs = rows.slice(n).combine_chunks()
+            x = _unit(np.stack([np.asarray(v) for v in _column(rows.slice(0, n).combine_chunks(), "vector").to_numpy(zero_copy_only=False)]))
+            own, nbr = _column(pairs, "id").to_numpy(), _column(pairs, "nbr").to_numpy()
+            own, nbr = own[own != nbr], nbr[own != nbr]
+            if not len(own):
+                continue
+            i, j = np.searchsorted(ids, own), np.searchsorted(ids, nbr)
+            sim = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)])
+            best, sims = _best(i, nbr, np.round(sim, 9), n, k)
+            z, place = np.nonzero(best >= 0)
+            yield _batch(id=ids[z], nbr=best[z, place], sim=sims[z, place])
+
+    return rank
 
 
 def exact_lists(graph: Graph, k: int) -> DataFrame:
     """(id, nbr, sim): each class with its k best other classes."""
-    homed = _homes(graph.lists, 0, graph.block)
-    own = homed.select("home", "id", "nbrs")
-    others = own.select("home", F.explode("nbrs").alias("id")).join(own.select("home", "id"), ["home", "id"], "left_anti").distinct()
-    need = own.unionByName(others, allowMissingColumns=True)
-    ranked = need.join(graph.nodes, "id").groupBy("home").applyInPandas(_rank_exactly, "id BIGINT, nbr BIGINT, sim DOUBLE")
-    return ranked.withColumn("nth", F.row_number().over(_by("id", F.desc("sim"), "nbr"))).filter(F.col("nth") <= k).drop("nth")
+    pairs = graph.lists.mapInArrow(_asked(k), "home INT, id BIGINT, nbr BIGINT")
+    wanted = pairs.select("home", "nbr").distinct().join(graph.nodes.withColumnRenamed("id", "nbr"), "nbr").withColumn("is_pair", F.lit(False))
+    rows = wanted.unionByName(pairs.withColumn("is_pair", F.lit(True)), allowMissingColumns=True)
+    return _dealt(rows, graph.trees[-1].blocks, "home", "is_pair", "nbr").mapInArrow(_rank_exactly(k), "id BIGINT, nbr BIGINT, sim DOUBLE")
 
 
 def nearest(vectors: DataFrame, k: int = K, **how: int) -> DataFrame:
@@ -319,16 +652,28 @@ def _block_doors(entries: int):
     return score
 
 
+def _tree_blocks(placed: DataFrame, key: str, trees: int) -> DataFrame:
+    """(key, vec, tree, block): each row once for each of the first trees."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                blocks = _matrix(b.column("blocks"), np.int32)[:, :trees]
+                i = np.repeat(np.arange(b.num_rows), blocks.shape[1])
+                yield _batch(id=b.column("id").to_numpy()[i], vec=b.column("vec").take(pa.array(i)), tree=np.tile(np.arange(blocks.shape[1], dtype=np.int32), b.num_rows), block=blocks.ravel())
+
+    return placed.select("id", "blocks", "vec").mapInArrow(explode, "id BIGINT, vec BINARY, tree INT, block INT").withColumnRenamed("id", key)
+
+
 def _doors(q: DataFrame, graph: Graph, entries: int) -> DataFrame:
-    """(query_id, id): where queries (query_id, q_vec) enter the graph. In every tree all nodes of the query's leaf are scored.
+    """(query_id, id): where queries (query_id, q_vec) enter the graph. In each of the first trees all nodes of the query's block are scored.
 
-    A leaf of over twice the block's size is scored in parts, and so are its queries; each part gives its best nodes.
+    A block of over twice the planned size is scored in parts, and so are its queries; each part gives its best nodes.
     """
-    placed = q.select(F.col("query_id").alias("id"), F.col("q_vec").alias("vector")).mapInPandas(_placer(graph.trees), "id BIGINT, vec BINARY, leaves ARRAY<INT>")
-    asked = placed.select(F.col("id").alias("query_id"), "vec", F.posexplode("leaves").alias("tree", "leaf"))
-    nodes = graph.lists.select("id", "vec", F.posexplode("leaves").alias("tree", "leaf"))
-    at, parts = ["tree", "leaf"], F.ceil(F.count(F.lit(1)) / (2.0 * graph.block))
-    sizes = F.broadcast(nodes.groupBy(at).agg(parts.alias("parts")).join(asked.groupBy(at).agg(parts.alias("shares")), at))  # a row for each leaf
+    placed = q.select(F.col("query_id").alias("id"), F.col("q_vec").alias("vector")).mapInPandas(_placer(graph.trees), _PLACED)
+    asked, nodes = _tree_blocks(placed, "query_id", DOORS), _tree_blocks(graph.placed, "id", DOORS)
+    at, parts = ["tree", "block"], F.ceil(F.count(F.lit(1)) / (2.0 * graph.block))
+    sizes = nodes.groupBy(at).agg(parts.alias("parts")).join(asked.groupBy(at).agg(parts.alias("shares")), at)  # a row for each block
     part, share = F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("shares")).alias("share")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     nodes = nodes.join(sizes, at).select(*at, "id", "vec", part, each("shares").alias("share"))
@@ -337,11 +682,12 @@ def _doors(q: DataFrame, graph: Graph, entries: int) -> DataFrame:
     return nodes.groupBy(block).cogroup(asked.groupBy(block)).applyInPandas(_block_doors(entries), "query_id BIGINT, id BIGINT").distinct()
 
 
-def greedy_search(queries: DataFrame, graph: Graph, k: int = K, beam: int = 12, hops: int = 6, entries: int = 4) -> DataFrame:
+def greedy_search(queries: DataFrame, graph: Graph, k: int = K, beam: int = 12, entries: int = 4) -> DataFrame:
     """(query_id, nbr, sim, rank) of queries (query_id, vector): classes near any vector, by walking the graph.
 
-    A query enters at the best nodes of its leaf in each tree. Each hop joins the nodes of its beam that were not yet
-    opened to their lists, measures the new nodes, and keeps the best; it ends when no query has an unopened node left.
+    A query enters at the best nodes of its blocks. Each hop joins the nodes of its beam that were not yet opened to their
+    lists, measures the new nodes, and keeps the best. The walk ends when no query has an unopened node in its beam; a beam
+    only ever improves, so that comes.
     """
     spark, path = queries.sparkSession, work_dir(queries.sparkSession)
     q = staged(queries.select("query_id", F.col("vector").alias("q_vec")), f"{path}/queries")
@@ -351,15 +697,18 @@ def greedy_search(queries: DataFrame, graph: Graph, k: int = K, beam: int = 12,
         return pairs.join(q, "query_id").join(graph.nodes, "id").select("query_id", "id", _dot("q_vec", "vector").alias("sim"))
 
     seen = staged(measure(start).withColumn("opened", F.lit(False)), f"{path}/hop0")
-    for hop in range(hops):
+    edges, hop = staged(graph.edges(), f"{path}/edges"), 0
+    while True:
         best = seen.withColumn("nth", F.row_number().over(_by("query_id", F.desc("sim"), "id"))).filter(F.col("nth") <= beam)
         best = staged(best.drop("nth"), f"{path}/beam{hop}")
         front = best.filter(~F.col("opened"))
         if front.isEmpty():
             break
-        new = front.join(graph.lists.select("id", "nbrs"), "id").select("query_id", F.explode("nbrs").alias("id")).distinct()
+        new = front.join(edges, "id").select("query_id", F.col("nbr").alias("id")).distinct()
         new = measure(new.join(best, ["query_id", "id"], "left_anti")).withColumn("opened", F.lit(False))
         seen = staged(best.withColumn("opened", F.lit(True)).unionByName(new), f"{path}/hop{hop + 1}")
+        drop_dir(spark, f"{path}/hop{hop}")
+        hop += 1
     ranked = seen.withColumn("rank", F.row_number().over(_by("query_id", F.desc("sim"), "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("id").alias("nbr"), "sim", "rank")
 
