@@ -33,13 +33,15 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra
 def work_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (tests on one machine) is a local temporary folder taken instead, and set,
-    so that later calls and DataFrame.checkpoint() use the same place.
+    Only where that setting is absent and all executors are on this machine (master local) is a local temporary folder
+    taken instead, and set, so that later calls and DataFrame.checkpoint() use the same place. On a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="pairforge-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/pairforge-{uuid.uuid4().hex}"
@@ -65,6 +67,11 @@ def spread(df: DataFrame, small_bytes: int = 16 << 20) -> DataFrame:
     return df.repartition(cores)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table that nothing reads any more."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
