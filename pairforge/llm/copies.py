@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.session import drop_dir, staged, work_dir
+from pairforge.session import drop_dir, path_exists, staged, work_dir
 
 #: Left out of every text: white space of any kind (no-break and zero-width included) and Unicode punctuation.
 IGNORED = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}\x{180e}\x{200b}-\x{200d}\x{2060}\x{feff}\p{P}]+"
@@ -41,20 +41,45 @@ def canonical_key(query: Column, pos: Column) -> Column:
 class CopyLedger:
     """(key BINARY, n_copies BIGINT, first_id BIGINT), one row for each key, bucketed by key in a shared folder.
 
-    A version is immutable; merge() writes the next one and removes the one before it.
+    A version is immutable; merge() writes the next one, then the marker that names it, and removes the one before. A ledger
+    lives on in its folder: a later session opens it and merges its own batch, and reads nothing of the days before but the
+    ledger. If a merge fails, the marker still names the version before, and the merge can be repeated.
     """
 
+    COLUMNS = "key BINARY, n_copies BIGINT, first_id BIGINT"
+
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        """buckets: by default as many as the shuffle has partitions; fixed for the ledger's life."""
+        """A new ledger. buckets: by default as many as the shuffle has partitions; fixed for the ledger's life."""
         self.spark, self.path, self.version = spark, path, 0
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"ledger_{uuid.uuid4().hex}"
         self.table: DataFrame | None = None
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> CopyLedger:
+        """The ledger of an earlier session; FileNotFoundError if there is none."""
+        if not path_exists(spark, f"{path}/marker"):
+            raise FileNotFoundError(f"no ledger in {path}")
+        ledger = cls(spark, path)
+        ledger.version, ledger.buckets = spark.read.schema("version INT, buckets INT").parquet(f"{path}/marker").orderBy(F.desc("version")).first()
+        name = f"{ledger.name}_{ledger.version}"
+        spark.sql(f"CREATE TABLE {name} ({cls.COLUMNS}) USING parquet CLUSTERED BY (key) INTO {ledger.buckets} BUCKETS LOCATION '{path}/v{ledger.version}'")
+        ledger.table = spark.table(name)
+        return ledger
+
+    def close(self) -> DataFrame:
+        """Takes the ledger out of the session's catalog; its rows, read from the folder, are returned."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{self.version}")  # external: the files stay
+        self.table = None
+        return self.spark.read.schema(self.COLUMNS).parquet(f"{self.path}/v{self.version}")
+
     def _write(self, df: DataFrame) -> None:
         old, self.version = self.version, self.version + 1
         name = f"{self.name}_{self.version}"
+        drop_dir(self.spark, f"{self.path}/v{self.version}")  # what a failed merge may have left
         df.write.bucketBy(self.buckets, "key").option("path", f"{self.path}/v{self.version}").saveAsTable(name)
+        marker = self.spark.createDataFrame([(self.version, self.buckets)], "version INT, buckets INT")
+        marker.coalesce(1).write.mode("append").parquet(f"{self.path}/marker")
         self.table = self.spark.table(name)
         if old:
             self.spark.sql(f"DROP TABLE {self.name}_{old}")
@@ -103,7 +128,7 @@ def build_ledger(keys: DataFrame, path: str, batches: int = 3, buckets: int | No
 def _ledger_of(records: DataFrame, batches: int, buckets: int | None) -> tuple[DataFrame, DataFrame]:
     path = work_dir(records.sparkSession)
     keys = staged(keyed(records), f"{path}/keys")
-    return keys, build_ledger(keys, path, batches, buckets).table
+    return keys, build_ledger(keys, f"{path}/ledger", batches, buckets).close()
 
 
 def find_copies(records: DataFrame, batches: int = 3, buckets: int | None = None) -> DataFrame:

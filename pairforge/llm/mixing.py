@@ -15,6 +15,7 @@ wanted size, the mix is that much smaller. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -60,18 +61,16 @@ def water_fill(weights: list[float], limits: list[int], size: int) -> list[int]:
     live = [i for i, w in enumerate(weights) if w > 0 and limits[i] > 0]
     amount = [0.0] * len(weights)
     size = min(size, sum(limits[i] for i in live))
-    left = size
-    while live:
-        total = sum(weights[i] for i in live)
-        over = [i for i in live if left * weights[i] / total >= limits[i]]
-        if not over:
-            for i in live:
-                amount[i] = left * weights[i] / total
+    # The water level rises to the limits in the order of limit / weight; what passes a limit is clamped, one sort for all.
+    live.sort(key=lambda i: (limits[i] / weights[i], i))
+    left, total = size, math.fsum(weights[i] for i in live)
+    for n, i in enumerate(live):
+        if left * weights[i] < limits[i] * total:
+            for j in live[n:]:
+                amount[j] = left * weights[j] / total
             break
-        for i in over:
-            amount[i] = limits[i]
-        left -= sum(limits[i] for i in over)
-        live = [i for i in live if i not in set(over)]
+        amount[i] = limits[i]
+        left, total = left - limits[i], total - weights[i]
     whole = [int(a) for a in amount]
     # Largest remainder; ties by position. A clamped entry has no remainder, so no limit is passed.
     rest = sorted((i for i in range(len(amount)) if amount[i] > whole[i]), key=lambda i: (whole[i] - amount[i], i))

@@ -35,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.operators.skew import hot_join
@@ -142,14 +142,27 @@ def _half(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float16).reshape(len(column), -1).astype(np.float32)
 
 
-def classes_of(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """((id, vector) of each class, (id, class) of all members); a class is named by its smallest id."""
+def _by(key: str, *order):
+    return Window.partitionBy(key).orderBy(*order)
+
+
+def classes_of(vectors: DataFrame, k: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """((id, vector, first) of each class, (id, class) of the members that do not name their class), both staged.
+
+    A class is named by its smallest id; first: its k + 1 smallest ids.
+    """
     v = F.col("vector")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").alias("id"), F.transform("vector", lambda x: x + F.lit(0.0).cast("float")).alias("vector")).filter(good)
     keyed = rows.withColumn("key", F.struct(F.xxhash64(F.lit(1), "vector"), F.xxhash64(F.lit(2), "vector")))
-    first = keyed.groupBy("key").agg(F.min("id").alias("class"), F.min_by("vector", "id").alias("vector"))
-    return first.select(F.col("class").alias("id"), "vector"), hot_join(keyed.select("id", "key"), first.select("key", "class"), "key").select("id", "class")
+    # The limit is applied before the shuffle too, so no task gets a hot class.
+    few = keyed.withColumn("nth", F.row_number().over(_by("key", "id"))).filter(F.col("nth") <= k + 1)
+    nodes = few.groupBy("key").agg(F.min("id").alias("id"), F.min_by("vector", "id").alias("vector"), F.sort_array(F.collect_list("id")).alias("first"))
+    nodes = staged(nodes, f"{path}/nodes")
+    several = nodes.filter(F.size("first") > 1).select("key", F.col("id").alias("class"))
+    others = hot_join(keyed.select("id", "key").join(several, "key", "left_semi"), several, "key")
+    members = staged(others.filter(F.col("id") != F.col("class")).select("id", "class"), f"{path}/members")
+    return nodes.drop("key"), members
 
 
 def _forest(nodes: DataFrame, n: int, block: int, trees: int, seed: int) -> list[Tree]:
@@ -230,11 +243,13 @@ def _placer(trees: list[Tree]):
     return place
 
 
-def _best(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, n: int, width: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+def _best(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, n: int, width: int, *more: np.ndarray, unique: bool = False) -> tuple[np.ndarray, ...]:
     """For each of n owners the first `width` different ids by similarity (earlier rows of an id win), as padded matrices (-1, -3)."""
-    order = np.lexsort((np.arange(len(ids)), ids, owner))
-    o, i = owner[order], ids[order]
-    order = order[np.concatenate(([True], (o[1:] != o[:-1]) | (i[1:] != i[:-1])))] if len(order) else order
+    order = np.arange(len(ids))
+    if not unique and len(ids):
+        order = np.lexsort((ids, owner))
+        o, i = owner[order], ids[order]
+        order = order[np.concatenate(([True], (o[1:] != o[:-1]) | (i[1:] != i[:-1])))]
     order = order[np.lexsort((ids[order], -sims[order], owner[order]))]
     o = owner[order]
     place = np.arange(len(o)) - np.searchsorted(o, np.arange(n))[o]
@@ -247,29 +262,48 @@ def _best(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, n: int, width: i
     return tuple(out)
 
 
-def _compare_block(ids, x, nbrs, sims, homes, home, width):
-    """The lists of a block's nodes after each node has met all others of the block."""
-    n = len(ids)
-    worst = sims[:, -1].copy()
-    if n > 1 and (worst < -2).any():  # a first bound from some columns
-        some = x[:: max(1, n // 800)]
+#: Found entries that are held before they go into the lists.
+HELD = 2_000_000
+
+
+def _compare_block(ids, x, codes, lists, home, width):
+    """The lists (nbrs, sims, homes) of a block's nodes, sorted by id, after all of them have met; pairs of an earlier block (codes) have met."""
+    n, lists = len(ids), [m.copy() for m in lists]
+    worst = lists[1][:, -1].copy()
+    if n > 8 * width and (worst < -2).any():  # a first bound from an eighth of the columns
+        some = x[::8]
         for a in range(0, n, 1024):
             s = x[a : a + 1024] @ some.T
-            m = min(width + 1, s.shape[1])
-            bound = -np.partition(-s, m - 1, axis=1)[:, m - 1] if m > width else np.full(len(s), -3.0)  # one may be the node itself
+            bound = -np.partition(-s, width, axis=1)[:, width]  # one may be the node itself
             worst[a : a + 1024] = np.maximum(worst[a : a + 1024], bound)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(0, n, 256):
-        s = x[a : a + 256] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -4
-        i, j = np.nonzero(s >= worst[a : a + 256, None])
-        own, got, place = (m.reshape(len(s), -1) for m in _best(i, ids[j], s[i, j], len(s), width, j))
-        kept = own >= 0
-        found.append((np.nonzero(kept)[0] + a, place[kept], got[kept]))
-    i, j, s = (np.concatenate(c) for c in zip(*found))
-    have = nbrs >= 0
-    owner = np.concatenate((np.nonzero(have)[0], i))
-    return _best(owner, np.concatenate((nbrs[have], ids[j])), np.concatenate((sims[have], s)), n, width, np.concatenate((homes[have], home[j])))
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        i, j, s = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        rows, own = np.unique(i, return_inverse=True)
+        have = lists[0][rows] >= 0
+        new = _best(
+            np.concatenate((np.nonzero(have)[0], own)), np.concatenate((lists[0][rows][have], ids[j])), np.concatenate((lists[1][rows][have], s)), len(rows), width,
+            np.concatenate((lists[2][rows][have], home[j])), unique=True,
+        )
+        for m, values in zip(lists, new):
+            m[rows] = values
+        worst[rows] = np.maximum(worst[rows], new[1][:, -1])
+
+    for a in range(0, n, 512):
+        s = x[a : a + 512] @ x[a:].T  # each pair once
+        m = len(s)
+        s[:, :m][np.tril_indices(m)] = -4
+        for hit, turned in ((np.flatnonzero(s >= worst[a : a + m, None]), False), (np.flatnonzero(s >= worst[None, a:]), True)):
+            i, j, sim = hit // s.shape[1] + a, hit % s.shape[1] + a, s.ravel()[hit]
+            real = (sim > -3) & (codes[i] != codes[j]).all(axis=1) if codes.shape[1] else sim > -3
+            i, j, sim = i[real], j[real], sim[real]
+            held.append((j, i, sim) if turned else (i, j, sim))
+        if sum(len(h[0]) for h in held) > HELD:
+            settle()
+    settle()
+    return lists
 
 
 def _tree_step(t: int, trees: int, width: int, block: int):
@@ -283,19 +317,17 @@ def _tree_step(t: int, trees: int, width: int, block: int):
                 rows = group.slice(part * size, size).combine_chunks()
                 if not rows.num_rows:
                     continue
-                ids, n = _column(rows, "id").to_numpy(), rows.num_rows
-                x = _matrix(_column(rows, "vec"), np.float16).astype(np.float32)
-                blocks = _matrix(_column(rows, "blocks"), np.int32)
+                n, by = rows.num_rows, np.argsort(_column(rows, "id").to_numpy(), kind="stable")
+                ids, vec, blocks = _column(rows, "id").to_numpy()[by], _matrix(_column(rows, "vec"), np.float16)[by], _matrix(_column(rows, "blocks"), np.int32)[by]
                 if t:
-                    codes, nbrs, sims, homes = (_matrix(_column(rows, c), d) for c, d in (("codes", np.int32), ("nbrs", np.int64), ("sims", np.float32), ("homes", np.int32)))
-                    codes = codes.copy()
+                    codes, *lists = (_matrix(_column(rows, c), d)[by] for c, d in (("codes", np.int32), ("nbrs", np.int64), ("sims", np.float32), ("homes", np.int32)))
                 else:
-                    codes, nbrs = np.full((n, trees), -1, dtype=np.int32), np.full((n, width), -1, dtype=np.int64)
-                    sims, homes = np.full((n, width), -3, dtype=np.float32), np.full((n, width), -1, dtype=np.int32)
+                    codes = np.full((n, trees), -1, dtype=np.int32)
+                    lists = [np.full((n, width), fill, dtype=d) for fill, d in ((-1, np.int64), (-3, np.float32), (-1, np.int32))]
+                nbrs, sims, homes = _compare_block(ids, vec.astype(np.float32), codes[:, :t], lists, blocks[:, -1], width)
                 codes[:, t] = (int(blocks[0, t]) * 64 + part) & 0x7FFFFFFF
-                nbrs, sims, homes = _compare_block(ids, x, nbrs, sims, homes, blocks[:, -1], width)
                 following = blocks[:, t + 1] if t + 1 < trees else blocks[:, t]
-                yield _batch(id=ids, block=following, blocks=_binary(blocks), vec=_column(rows, "vec"), codes=_binary(codes), nbrs=_binary(nbrs), sims=_binary(sims), homes=_binary(homes))
+                yield _batch(id=ids, block=following, blocks=_binary(blocks), vec=_binary(vec), codes=_binary(codes), nbrs=_binary(nbrs), sims=_binary(sims), homes=_binary(homes))
 
     return step
 
@@ -493,15 +525,9 @@ def _round(nodes: DataFrame, lists: DataFrame, t: int, homes: int, width: int, r
     return _dealt(both, homes, "home", "is_update", "id").mapInArrow(_merge(width), _LISTS)
 
 
-def _by(key: str, *order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(*order)
-
-
 @dataclass
 class Graph:
-    """vectors: (id, vector) of the classes; members: (id, class); placed: (id, own_home, blocks, vec); lists: (id, home, nbrs, sims) as binary."""
+    """nodes: (id, vector, first) of the classes; members: (id, class) of the others; placed: (id, own_home, blocks, vec); lists: (id, home, nbrs, sims) as binary."""
 
     nodes: DataFrame
     members: DataFrame
@@ -510,6 +536,10 @@ class Graph:
     trees: list[Tree]
     block: int
 
+    def all_members(self) -> DataFrame:
+        """(id, class) of every vector that takes part."""
+        return self.members.unionByName(self.nodes.select("id", F.col("id").alias("class")))
+
     def edges(self) -> DataFrame:
         """(id, nbr)."""
 
@@ -526,8 +556,7 @@ class Graph:
 def build_graph(vectors: DataFrame, k: int = K, width: int = WIDTH, block: int = BLOCK, trees: int = TREES, reverse: int = REVERSE, seed: int = 22) -> Graph | None:
     """The neighbour graph of vectors (vec_id, vector); None if none takes part."""
     spark, path, width = vectors.sparkSession, work_dir(vectors.sparkSession), max(width, 2 * k)
-    nodes, members = classes_of(vectors, k)
-    nodes, members = staged(nodes, f"{path}/nodes"), staged(members, f"{path}/members")
+    nodes, members = classes_of(vectors, k, path)
     n = nodes.count()
     if not n:
         return None
@@ -564,34 +593,46 @@ def _asked(k: int):
 
 
 def _rank_exactly(k: int):
-    """The k best of each node of a home, by similarities from the full vectors."""
+    """The k nearest ids of each class of a home, by similarities from the full vectors: (id, nbr, sim, rank, shared).
+
+    A class of several ids has a second list, shared, of k + 1 ids with its own among them, for its other members.
+    """
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, "home"):
             is_pair = _column(rows, "is_pair").to_numpy(zero_copy_only=False).astype(bool)  # sorted: vectors first
             n = int((~is_pair).sum())
-            ids = _column(rows, "nbr").to_numpy()[:n]
-            pairs = rows.slice(n).combine_chunks()
-            x = _unit(np.stack([np.asarray(v) for v in _column(rows.slice(0, n).combine_chunks(), "vector").to_numpy(zero_copy_only=False)]))
-            own, nbr = _column(pairs, "id").to_numpy(), _column(pairs, "nbr").to_numpy()
-            own, nbr = own[own != nbr], nbr[own != nbr]
-            if not len(own):
-                continue
-            i, j = np.searchsorted(ids, own), np.searchsorted(ids, nbr)
-            sim = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)])
-            best, sims = _best(i, nbr, np.round(sim, 9), n, k)
+            here, pairs = rows.slice(0, n).combine_chunks(), rows.slice(n).combine_chunks()
+            ids = _column(here, "nbr").to_numpy()
+            x = _unit(_column(here, "vector").flatten().to_numpy().reshape(n, -1))
+            members, sizes = _column(here, "first").flatten().to_numpy(), np.array(_column(here, "first").value_lengths())
+            begins = np.cumsum(sizes) - sizes
+            i, j = np.searchsorted(ids, _column(pairs, "id").to_numpy()), np.searchsorted(ids, _column(pairs, "nbr").to_numpy())
+            own = np.flatnonzero(np.bincount(i[i == j], minlength=n))
+            i, j = i[i != j], j[i != j]
+            sim = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536))])
+            best, sims = _best(i, j, np.round(sim, 9), n, k)
             z, place = np.nonzero(best >= 0)
-            yield _batch(id=ids[z], nbr=best[z, place], sim=sims[z, place])
+            of, to, sim = np.concatenate((own, z)), np.concatenate((own, best[z, place])), np.concatenate((np.ones(len(own)), sims[z, place]))
+            # All first ids of these classes.
+            times = sizes[to]
+            at = np.repeat(begins[to] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            of, sim, nbr = np.repeat(of, times), np.repeat(sim, times), members[at]
+            for shared, kept, most in ((False, nbr != ids[of], k), (True, sizes[of] > 1, k + 1)):
+                best, sims = _best(of[kept], nbr[kept], sim[kept], n, most, unique=True)
+                z, place = np.nonzero(best >= 0)
+                yield _batch(id=ids[z], nbr=best[z, place], sim=sims[z, place], rank=(place + 1).astype(np.int32), shared=np.full(len(z), shared))
 
     return rank
 
 
 def exact_lists(graph: Graph, k: int) -> DataFrame:
-    """(id, nbr, sim): each class with its k best other classes."""
+    """(id, nbr, sim, rank, shared), see _rank_exactly; staged."""
     pairs = graph.lists.mapInArrow(_asked(k), "home INT, id BIGINT, nbr BIGINT")
     wanted = pairs.select("home", "nbr").distinct().join(graph.nodes.withColumnRenamed("id", "nbr"), "nbr").withColumn("is_pair", F.lit(False))
     rows = wanted.unionByName(pairs.withColumn("is_pair", F.lit(True)), allowMissingColumns=True)
-    return _dealt(rows, graph.trees[-1].blocks, "home", "is_pair", "nbr").mapInArrow(_rank_exactly(k), "id BIGINT, nbr BIGINT, sim DOUBLE")
+    ranked = _dealt(rows, graph.trees[-1].blocks, "home", "is_pair", "nbr").mapInArrow(_rank_exactly(k), "id BIGINT, nbr BIGINT, sim DOUBLE, rank INT, shared BOOLEAN")
+    return staged(ranked, f"{work_dir(graph.nodes.sparkSession)}/ranked")
 
 
 def nearest(vectors: DataFrame, k: int = K, **how: int) -> DataFrame:
@@ -599,31 +640,30 @@ def nearest(vectors: DataFrame, k: int = K, **how: int) -> DataFrame:
     graph = build_graph(vectors, k, **how)
     if graph is None:
         return vectors.sparkSession.createDataFrame([], "id BIGINT, nbr BIGINT, sim DOUBLE, rank INT")
-    near = exact_lists(graph, k).select(F.col("id").alias("class"), F.col("nbr").alias("of"), "sim")
-    return _expand(graph, near, graph.nodes.select(F.col("id").alias("class")), graph.members, k)
+    ranked = exact_lists(graph, k)
+    shared = ranked.filter("shared").groupBy(F.col("id").alias("class")).agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "nbr"))).alias("all"))  # k + 1
+    return ranked.filter("NOT shared").drop("shared").unionByName(_own_lists(hot_join(graph.members, shared, "class"), k))
+
+
+def _own_lists(rows: DataFrame, k: int) -> DataFrame:
+    """(id, nbr, sim, rank) of members (id, all) from their class's k + 1 ids."""
+    mine = rows.select("id", F.slice(F.filter("all", lambda x: x["nbr"] != F.col("id")), 1, k).alias("all"))
+    return mine.select("id", F.posexplode("all").alias("rank", "x")).select(
+        "id", F.col("x.nbr").alias("nbr"), (-F.col("x.far")).alias("sim"), (F.col("rank") + 1).alias("rank")
+    )
 
 
 def _expand(graph: Graph, near: DataFrame, own: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(id, nbr, sim, rank) of the members asked (id, class), of the classes own (class), from near (class, of, sim): k other classes."""
-    # The k + 1 smallest ids of each class; the limit is applied before the shuffle too.
-    first = (
-        graph.members.withColumn("nth", F.row_number().over(_by("class", "id")))
-        .filter(F.col("nth") <= k + 1)
-        .groupBy("class").agg(F.sort_array(F.collect_list("id")).alias("first"))
-    )
-    one = F.lit(1.0).alias("sim")
-    lists = near.unionByName(own.select("class", F.col("class").alias("of"), one))
+    lists = near.unionByName(own.select("class", F.col("class").alias("of"), F.lit(1.0).alias("sim")))
     # For each class: the first ids of itself and of its nearest classes, in order, k + 1 of them (one may be the member itself).
     candidates = (
-        lists.join(first.withColumnRenamed("class", "of"), "of")
+        lists.join(graph.nodes.select(F.col("id").alias("of"), "first"), "of")
         .groupBy("class")
         .agg(F.flatten(F.collect_list(F.transform("first", lambda x: F.struct((-F.col("sim")).alias("far"), x.alias("nbr"))))).alias("all"))
         .select("class", F.slice(F.array_sort("all"), 1, k + 1).alias("all"))
     )
-    mine = hot_join(asked, candidates, "class").select("id", F.slice(F.filter("all", lambda x: x["nbr"] != F.col("id")), 1, k).alias("all"))
-    return mine.select("id", F.posexplode("all").alias("rank", "x")).select(
-        "id", F.col("x.nbr").alias("nbr"), (-F.col("x.far")).alias("sim"), (F.col("rank") + 1).alias("rank")
-    )
+    return _own_lists(hot_join(asked, candidates, "class"), k)
 
 
 def nearest_pairs(vectors: DataFrame, k: int = K) -> DataFrame:
@@ -716,7 +756,7 @@ def greedy_search(queries: DataFrame, graph: Graph, k: int = K, beam: int = 12,
 def search_members(graph: Graph, asked: DataFrame, k: int = K, **how: int) -> DataFrame:
     """(query_id, nbr, sim, rank): by greedy search, the k nearest others of members asked (id, class). Equal vectors are searched for once."""
     own = asked.select("class").distinct()
-    queries = own.join(graph.nodes.withColumnRenamed("id", "class"), "class").withColumnRenamed("class", "query_id")
+    queries = own.join(graph.nodes.select(F.col("id").alias("class"), "vector"), "class").withColumnRenamed("class", "query_id")
     # One class more, as the query's own may be among them.
     near = greedy_search(queries, graph, k + 1, **how).select(F.col("query_id").alias("class"), F.col("nbr").alias("of"), "sim").filter(F.col("class") != F.col("of"))
     return _expand(graph, near, own, asked, k).withColumnRenamed("id", "query_id")

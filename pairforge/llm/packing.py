@@ -13,7 +13,7 @@ its lengths, in one small task, and the plan is then applied to the items by the
 An item longer than the capacity is cut into pieces of full capacity and a rest, and no other item is cut.
 
 Defined results: null entries have no characters; an item without any (null, empty pos) takes no room and shares a
-container with others; a null source counts as the source ''; ties go by id; an empty table gives no rows; other columns
+container with others (they are dealt out over the source's containers); a null source counts as the source ''; ties go by id; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -171,8 +171,9 @@ def plan_source(histogram: dict[int, int], capacity: int = CAPACITY, groups: int
                 if r not in rooms:
                     bisect.insort(open_rooms, r)
                 rooms.setdefault(r, []).append((a, b))
-    if histogram.get(0):
-        segments.append((0, 0, histogram[0], 0, 0, histogram[0]))
+    if histogram.get(0):  # dealt out over all containers, so that none holds them all; without any, `capacity` to one
+        n = histogram[0]
+        segments.append((0, 0, n, 0, 0, -(-n // n_containers) if n_containers else capacity))
     return segments
 
 

@@ -181,7 +181,7 @@ def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = neighbours.build_graph(vectors)
     if graph is None:
         return spark.createDataFrame([], "query_id BIGINT, nbr BIGINT, sim DOUBLE, rank INT")
-    return neighbours.search_members(graph, graph.members.filter("id % 50 = 0"))
+    return neighbours.search_members(graph, graph.all_members().filter("id % 50 = 0"))
 
 
 @LLM.query("p2_found")

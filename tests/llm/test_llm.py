@@ -239,8 +239,8 @@ def test_search_leaves_out_the_query_alone(spark, tmp_path):
     got = {(r.query_id, r.nbr) for r in LLM.runs["p3_search"](spark, str(tmp_path)).collect()}
     assert got == {(a, b) for a, b in brute_lists(np.arange(108), np.array(x * 9), 5) if a % 50 == 0}
     few = neighbours.build_graph(vectors(spark, x[2:4]))
-    assert rows(neighbours.search_members(few, few.members)) == [(0, 1, 0.0, 1), (1, 0, 0.0, 1)]
-    assert rows(neighbours.search_members(few, few.members.filter("id > 9"))) == []
+    assert rows(neighbours.search_members(few, few.all_members())) == [(0, 1, 0.0, 1), (1, 0, 0.0, 1)]
+    assert rows(neighbours.search_members(few, few.all_members().filter("id > 9"))) == []
 
 
 def test_search_recall(spark, sf):
