@@ -132,8 +132,8 @@ def fit_tree(x: np.ndarray, scale: float, block: int, rng: np.random.Generator)
     return Tree(np.array(planes), np.array(cuts), np.array(left), np.array(right), np.array(means), np.array(bits), first, rng.normal(size=(max(bits), x.shape[1])))
 
 
-def _unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
-    x = np.array(vectors.tolist(), dtype=np.float64) if isinstance(vectors, pd.Series) else vectors.astype(np.float64)
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    x = vectors.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # tiny and huge vectors keep their direction
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -142,23 +142,34 @@ def _half(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float16).reshape(len(column), -1).astype(np.float32)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            vectors = b.column("vector")
+            sizes = np.asarray(vectors.value_lengths())
+            flat = vectors.flatten().to_numpy().astype(np.float32)
+            even = (sizes == sizes[0]).all()  # if not, the trees' fit raises
+            raw = _binary(flat.reshape(len(sizes), -1)) if even else pa.array([v.tobytes() for v in np.split(flat, np.cumsum(sizes)[:-1])], type=pa.binary())
+            yield _batch(key=b.column("key"), id=b.column("id"), raw=raw, first=b.column("first"))
+
+
 def _by(key: str, *order):
     return Window.partitionBy(key).orderBy(*order)
 
 
 def classes_of(vectors: DataFrame, k: int, path: str) -> tuple[DataFrame, DataFrame]:
-    """((id, vector, first) of each class, (id, class) of the members that do not name their class), both staged.
+    """((id, raw, first) of each class, (id, class) of the members that do not name their class), both staged; raw: the vector's 4-byte floats.
 
     A class is named by its smallest id; first: its k + 1 smallest ids.
     """
     v = F.col("vector")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").alias("id"), F.transform("vector", lambda x: x + F.lit(0.0).cast("float")).alias("vector")).filter(good)
-    keyed = rows.withColumn("key", F.struct(F.xxhash64(F.lit(1), "vector"), F.xxhash64(F.lit(2), "vector")))
+    keyed = rows.withColumn("key", F.struct(F.xxhash64(F.lit(1), "vector").alias("a"), F.xxhash64(F.lit(2), "vector").alias("b")))
     # The limit is applied before the shuffle too, so no task gets a hot class.
     few = keyed.withColumn("nth", F.row_number().over(_by("key", "id"))).filter(F.col("nth") <= k + 1)
     nodes = few.groupBy("key").agg(F.min("id").alias("id"), F.min_by("vector", "id").alias("vector"), F.sort_array(F.collect_list("id")).alias("first"))
-    nodes = staged(nodes, f"{path}/nodes")
+    nodes = staged(nodes.mapInArrow(_packed, "key STRUCT<a: BIGINT, b: BIGINT>, id BIGINT, raw BINARY, first ARRAY<BIGINT>"), f"{path}/nodes")
     several = nodes.filter(F.size("first") > 1).select("key", F.col("id").alias("class"))
     others = hot_join(keyed.select("id", "key").join(several, "key", "left_semi"), several, "key")
     members = staged(others.filter(F.col("id") != F.col("class")).select("id", "class"), f"{path}/members")
@@ -167,10 +178,10 @@ def classes_of(vectors: DataFrame, k: int, path: str) -> tuple[DataFrame, DataFr
 
 def _forest(nodes: DataFrame, n: int, block: int, trees: int, seed: int) -> list[Tree]:
     """Fitted on about SAMPLE vectors, those with the smallest digests of their ids."""
-    picked = nodes.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)) < SAMPLE).select("vector").toPandas()["vector"] if n > SAMPLE else nodes.select("vector").toPandas()["vector"]
+    picked = (nodes.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)) < SAMPLE) if n > SAMPLE else nodes).select("id", "raw").toPandas().sort_values("id")["raw"]
     if picked.map(len).nunique() > 1:
         raise ValueError("vectors of different lengths")
-    x, rng = _unit(picked), np.random.default_rng(seed)
+    x, rng = _unit(np.frombuffer(b"".join(picked), dtype=np.float32).reshape(len(picked), -1)), np.random.default_rng(seed)
     return [fit_tree(x, n / len(x), block, rng) for _ in range(trees if n > block else 1)]
 
 
@@ -233,12 +244,12 @@ _LISTS = "id BIGINT, home INT, nbrs BINARY, sims BINARY, homes BINARY, fresh BIN
 
 
 def _placer(trees: list[Tree]):
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = _unit(batch["vector"])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _unit(_matrix(b.column("raw"), np.float32))
                 blocks = np.stack([t.block_of(x) for t in trees], axis=1)
-                yield pd.DataFrame({"id": batch["id"], "block": blocks[:, 0], "blocks": [r.tobytes() for r in blocks], "vec": [r.tobytes() for r in x.astype(np.float16)]})
+                yield _batch(id=b.column("id"), block=blocks[:, 0].copy(), blocks=_binary(blocks), vec=_binary(x.astype(np.float16)))
 
     return place
 
@@ -520,14 +531,14 @@ def _round(nodes: DataFrame, lists: DataFrame, t: int, homes: int, width: int, r
     own = known.join(lists.select("id", "nbrs", "fresh", "active"), "id").select(F.col("own_home").alias("home"), F.lit(_OWN).alias("kind"), "id", "own_home", "vec", "codes", "worst", "nbrs", "fresh", "active")
     sent = edges.select("home", F.lit(_EDGE).alias("kind"), "id", "centre", F.col("fresh").alias("is_new"))
     rows = own.unionByName(guests, allowMissingColumns=True).unionByName(sent, allowMissingColumns=True)
-    updates = _dealt(rows, homes, "home", "kind", "id").mapInArrow(_local_join(width, reverse, t), "home INT, id BIGINT, nbr BIGINT, sim FLOAT, nbr_home INT")
+    updates = _dealt(rows, homes, "home", "kind").mapInArrow(_local_join(width, reverse, t), "home INT, id BIGINT, nbr BIGINT, sim FLOAT, nbr_home INT")
     both = lists.select("home", F.lit(False).alias("is_update"), "id", "nbrs", "sims", "homes").unionByName(updates.withColumn("is_update", F.lit(True)), allowMissingColumns=True)
-    return _dealt(both, homes, "home", "is_update", "id").mapInArrow(_merge(width), _LISTS)
+    return _dealt(both, homes, "home", "is_update").mapInArrow(_merge(width), _LISTS)
 
 
 @dataclass
 class Graph:
-    """nodes: (id, vector, first) of the classes; members: (id, class) of the others; placed: (id, own_home, blocks, vec); lists: (id, home, nbrs, sims) as binary."""
+    """nodes: (id, raw, first) of the classes; members: (id, class) of the others; placed: (id, own_home, blocks, vec); lists: (id, home, nbrs, sims) as binary."""
 
     nodes: DataFrame
     members: DataFrame
@@ -561,7 +572,7 @@ def build_graph(vectors: DataFrame, k: int = K, width: int = WIDTH, block: int =
     if not n:
         return None
     forest = _forest(nodes, n, block, trees, seed)
-    state = nodes.mapInPandas(_placer(forest), _PLACED)
+    state = nodes.select("id", "raw").mapInArrow(_placer(forest), _PLACED)
     for t, tree in enumerate(forest):
         digest = F.xxhash64(F.lit(t), "id")
         state = _dealt(state, tree.blocks, "block", digest).mapInArrow(_tree_step(t, len(forest), width, block), _NODE)
@@ -603,10 +614,11 @@ def _rank_exactly(k: int):
             is_pair = _column(rows, "is_pair").to_numpy(zero_copy_only=False).astype(bool)  # sorted: vectors first
             n = int((~is_pair).sum())
             here, pairs = rows.slice(0, n).combine_chunks(), rows.slice(n).combine_chunks()
-            ids = _column(here, "nbr").to_numpy()
-            x = _unit(_column(here, "vector").flatten().to_numpy().reshape(n, -1))
+            by = np.argsort(_column(here, "nbr").to_numpy())
+            ids = _column(here, "nbr").to_numpy()[by]
+            x = _unit(_matrix(_column(here, "raw"), np.float32)[by])
             members, sizes = _column(here, "first").flatten().to_numpy(), np.array(_column(here, "first").value_lengths())
-            begins = np.cumsum(sizes) - sizes
+            begins, sizes = (np.cumsum(sizes) - sizes)[by], sizes[by]
             i, j = np.searchsorted(ids, _column(pairs, "id").to_numpy()), np.searchsorted(ids, _column(pairs, "nbr").to_numpy())
             own = np.flatnonzero(np.bincount(i[i == j], minlength=n))
             i, j = i[i != j], j[i != j]
@@ -631,7 +643,7 @@ def exact_lists(graph: Graph, k: int) -> DataFrame:
     pairs = graph.lists.mapInArrow(_asked(k), "home INT, id BIGINT, nbr BIGINT")
     wanted = pairs.select("home", "nbr").distinct().join(graph.nodes.withColumnRenamed("id", "nbr"), "nbr").withColumn("is_pair", F.lit(False))
     rows = wanted.unionByName(pairs.withColumn("is_pair", F.lit(True)), allowMissingColumns=True)
-    ranked = _dealt(rows, graph.trees[-1].blocks, "home", "is_pair", "nbr").mapInArrow(_rank_exactly(k), "id BIGINT, nbr BIGINT, sim DOUBLE, rank INT, shared BOOLEAN")
+    ranked = _dealt(rows, graph.trees[-1].blocks, "home", "is_pair").mapInArrow(_rank_exactly(k), "id BIGINT, nbr BIGINT, sim DOUBLE, rank INT, shared BOOLEAN")
     return staged(ranked, f"{work_dir(graph.nodes.sparkSession)}/ranked")
 
 
@@ -671,10 +683,12 @@ def nearest_pairs(vectors: DataFrame, k: int = K) -> DataFrame:
     return nearest(vectors, k).select(F.least("id", "nbr").alias("vec_a"), F.greatest("id", "nbr").alias("vec_b")).distinct()
 
 
-def _dot(a: str, b: str) -> Column:
-    """Cosine of two ARRAY<FLOAT> columns in double precision, inside the JVM."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 9)
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, id, sim) of pairs with their vectors q_raw and raw."""
+    for b in batches:
+        if b.num_rows:
+            q, x = _unit(_matrix(b.column("q_raw"), np.float32)), _unit(_matrix(b.column("raw"), np.float32))
+            yield _batch(query_id=b.column("query_id"), id=b.column("id"), sim=np.round(np.einsum("ij,ij->i", q, x), 9))
 
 
 def _block_doors(entries: int):
@@ -706,11 +720,11 @@ def _tree_blocks(placed: DataFrame, key: str, trees: int) -> DataFrame:
 
 
 def _doors(q: DataFrame, graph: Graph, entries: int) -> DataFrame:
-    """(query_id, id): where queries (query_id, q_vec) enter the graph. In each of the first trees all nodes of the query's block are scored.
+    """(query_id, id): where queries (query_id, q_raw) enter the graph. In each of the first trees all nodes of the query's block are scored.
 
     A block of over twice the planned size is scored in parts, and so are its queries; each part gives its best nodes.
     """
-    placed = q.select(F.col("query_id").alias("id"), F.col("q_vec").alias("vector")).mapInPandas(_placer(graph.trees), _PLACED)
+    placed = q.select(F.col("query_id").alias("id"), F.col("q_raw").alias("raw")).mapInArrow(_placer(graph.trees), _PLACED)
     asked, nodes = _tree_blocks(placed, "query_id", DOORS), _tree_blocks(graph.placed, "id", DOORS)
     at, parts = ["tree", "block"], F.ceil(F.count(F.lit(1)) / (2.0 * graph.block))
     sizes = nodes.groupBy(at).agg(parts.alias("parts")).join(asked.groupBy(at).agg(parts.alias("shares")), at)  # a row for each block
@@ -723,18 +737,19 @@ def _doors(q: DataFrame, graph: Graph, entries: int) -> DataFrame:
 
 
 def greedy_search(queries: DataFrame, graph: Graph, k: int = K, beam: int = 12, entries: int = 4) -> DataFrame:
-    """(query_id, nbr, sim, rank) of queries (query_id, vector): classes near any vector, by walking the graph.
+    """(query_id, nbr, sim, rank) of queries (query_id, raw): classes near any vector (4-byte floats), by walking the graph.
 
     A query enters at the best nodes of its blocks. Each hop joins the nodes of its beam that were not yet opened to their
     lists, measures the new nodes, and keeps the best. The walk ends when no query has an unopened node in its beam; a beam
     only ever improves, so that comes.
     """
     spark, path = queries.sparkSession, work_dir(queries.sparkSession)
-    q = staged(queries.select("query_id", F.col("vector").alias("q_vec")), f"{path}/queries")
+    q = staged(queries.select("query_id", F.col("raw").alias("q_raw")), f"{path}/queries")
     start = _doors(q, graph, entries)
 
     def measure(pairs: DataFrame) -> DataFrame:
-        return pairs.join(q, "query_id").join(graph.nodes, "id").select("query_id", "id", _dot("q_vec", "vector").alias("sim"))
+        both = pairs.join(q, "query_id").join(graph.nodes.select("id", "raw"), "id").select("query_id", "id", "q_raw", "raw")
+        return both.mapInArrow(_measure, "query_id BIGINT, id BIGINT, sim DOUBLE")
 
     seen = staged(measure(start).withColumn("opened", F.lit(False)), f"{path}/hop0")
     edges, hop = staged(graph.edges(), f"{path}/edges"), 0
@@ -756,7 +771,7 @@ def greedy_search(queries: DataFrame, graph: Graph, k: int = K, beam: int = 12,
 def search_members(graph: Graph, asked: DataFrame, k: int = K, **how: int) -> DataFrame:
     """(query_id, nbr, sim, rank): by greedy search, the k nearest others of members asked (id, class). Equal vectors are searched for once."""
     own = asked.select("class").distinct()
-    queries = own.join(graph.nodes.select(F.col("id").alias("class"), "vector"), "class").withColumnRenamed("class", "query_id")
+    queries = own.join(graph.nodes.select(F.col("id").alias("class"), "raw"), "class").withColumnRenamed("class", "query_id")
     # One class more, as the query's own may be among them.
     near = greedy_search(queries, graph, k + 1, **how).select(F.col("query_id").alias("class"), F.col("nbr").alias("of"), "sim").filter(F.col("class") != F.col("of"))
     return _expand(graph, near, own, asked, k).withColumnRenamed("id", "query_id")

@@ -209,9 +209,9 @@ def test_many_equal_vectors(spark):
 def test_greedy_search_recall(spark, sf):
     v = spark.read.parquet(f"{sf}/text_vectors.parquet")
     graph = neighbours.build_graph(v, block=20)
-    data = [(r.id, np.array(r.vector, dtype=np.float64)) for r in graph.nodes.collect()]
+    data = [(r.id, np.frombuffer(r.raw, dtype=np.float32).astype(np.float64)) for r in graph.nodes.collect()]
     ids, x = np.array([i for i, _ in data]), np.stack([a / np.linalg.norm(a) for _, a in data])
-    queries = graph.nodes.select(F.col("id").alias("query_id"), "vector")
+    queries = graph.nodes.select(F.col("id").alias("query_id"), "raw")
     got = {(r.query_id, r.nbr) for r in neighbours.greedy_search(queries, graph).collect()}
     s = np.round(x @ x.T, 9)
     order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :5]
@@ -222,9 +222,9 @@ def test_greedy_search_recall(spark, sf):
 def test_greedy_search_recall_of_many(spark, sf):
     """With the parameters of p3_search on a table whose graph is in separate parts."""
     graph = neighbours.build_graph(spark.read.parquet(str(Path(sf).parent / "sf0.1" / "text_vectors.parquet")))
-    data = [(r.id, np.array(r.vector, dtype=np.float64)) for r in graph.nodes.collect()]
+    data = [(r.id, np.frombuffer(r.raw, dtype=np.float32).astype(np.float64)) for r in graph.nodes.collect()]
     ids, x = np.array([i for i, _ in data]), np.stack([a / np.linalg.norm(a) for _, a in data])
-    queries = graph.nodes.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    queries = graph.nodes.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "raw")
     got = {(r.query_id, r.nbr) for r in neighbours.greedy_search(queries, graph).collect()}
     want = set()
     for i in np.nonzero(ids % 50 == 0)[0]:
