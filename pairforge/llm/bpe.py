@@ -1,11 +1,11 @@
 """Problem 6: byte-pair encoding of a whole corpus by recursive DuckDB queries inside each partition.
 
 A partition's distinct pre-tokens (its vocabulary is far smaller than its text) become rows (word, place, token) of single
-bytes. One recursive query joins neighbours to the merge table and contracts, in every word at once, the pair of the
-smallest rank, leftmost first, until no pair can be merged; an ordered aggregation gives each word's ids, and the texts
-are put together from their words. Equal pairs in a word are contracted in one step, which gives the same result as one
-after the other, since a merge that needs a new token always has a larger rank. The recursion is cut after some steps and
-taken up again for the words that are not yet done, so that very long words do not pile up their intermediate states.
+bytes. One recursive query joins them with their right neighbours to the merge table and contracts, in every word at once,
+the leftmost pair of the smallest rank, until no pair can be merged; an ordered aggregation gives each word's ids, and the
+texts are put together from their words. In words of over LONG bytes all equal pairs are contracted in one step, which gives
+the same result as one after the other, since a merge that needs a new token always has a larger rank. The recursion is cut
+after some steps and taken up again for the words that are not yet done, so that intermediate states do not pile up.
 
 The tokenizer file is a parameter; it is read by the driver and its merges (a fixed 50,000 rows) go to every partition.
 
@@ -30,7 +30,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Distinct words that a worker remembers; beyond, it starts anew.
 MEMORY_WORDS = 200_000
 #: Bytes of words that one recursive query takes, and the steps after which it is taken up again.
-BLOCK_BYTES, STEPS = 1 << 20, 24
+BLOCK_BYTES, STEPS = 1 << 18, 24
+#: A longer word, in bytes, has all its smallest pairs contracted in one step.
+LONG = 256
 
 
 def default_tokenizer() -> str:
@@ -58,9 +60,32 @@ def read_merges(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([vocab[c] for c in byte_letters()], dtype=np.int32), np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], dtype=np.int32)
 
 
-#: One step: every word's tokens with their right neighbours, the word's smallest rank, runs of that pair (they overlap
+#: One step for short words. A row knows its right neighbour (next_place, next_token), so neither ordering nor windows are
+#: needed: rows join the merge table, each word's leftmost pair of the smallest rank is found, its left row takes the result
+#: and its right row's neighbour, its right row goes, and the row before it learns the result.
+_MERGE_ONE = """
+WITH RECURSIVE state(step, word, place, token, next_place, next_token) AS (
+  SELECT 0, word, place, token, next_place, next_token FROM todo
+  UNION ALL
+  (WITH pairs AS MATERIALIZED (
+    SELECT s.*, m.pair_rank, m.result FROM state s LEFT JOIN merges m ON m.l = s.token AND m.r = s.next_token WHERE s.step < $steps
+  ), best AS (
+    SELECT word, arg_min({'place': place, 'next_place': next_place, 'result': result}, (pair_rank::BIGINT << 21) | place) AS b
+    FROM pairs WHERE pair_rank IS NOT NULL GROUP BY word
+  ), hit AS (
+    SELECT p.word, b.place AS kept, b.next_place AS gone, b.result AS result, p.next_place AS after, p.next_token AS after_token
+    FROM best JOIN pairs p ON p.word = best.word AND p.place = b.next_place
+  )
+  SELECT step + 1, p.word, p.place, CASE WHEN p.place = kept THEN hit.result ELSE p.token END, CASE WHEN p.place = kept THEN after ELSE p.next_place END,
+         CASE WHEN p.place = kept THEN after_token WHEN p.next_place = kept THEN hit.result ELSE p.next_token END
+  FROM pairs p JOIN hit USING (word) WHERE p.place <> gone)
+)
+SELECT word, step AS steps, list(token ORDER BY place) AS ids
+FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step) GROUP BY word, step
+"""
+#: One step for long words, which may hold long runs of one pair: every word's tokens with their right neighbours, the word's smallest rank, runs of that pair (they overlap
 #: only where both halves are the same token, then every other one is taken), and the contracted rows.
-_MERGE = """
+_MERGE_ALL = """
 WITH RECURSIVE state(step, word, place, token) AS (
   SELECT 0, word, place, token FROM todo
   UNION ALL
@@ -82,8 +107,8 @@ WITH RECURSIVE state(step, word, place, token) AS (
     )
   ) WHERE NOT eaten
 )
-SELECT word, max(step) AS steps, list(token ORDER BY place) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS final FROM state) WHERE step = final GROUP BY word
+SELECT word, step AS steps, list(token ORDER BY place) AS ids
+FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step) GROUP BY word, step
 """
 
 
@@ -99,15 +124,15 @@ class DuckBpe:
         self.con.register("merge_rows", rows)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
 
-    def encode(self, words: list[str]) -> list[list[int]]:
+    def encode(self, words: list[str]) -> list[np.ndarray]:
         """In the order of the words."""
-        out: list[list[int]] = [[]] * len(words)
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(words)
         raw = [w.encode("utf-8", "replace") for w in words]
         order = sorted(range(len(words)), key=lambda i: len(raw[i]))  # words of like length need like numbers of steps
         at = 0
         while at < len(order):
-            size, end = 0, at
-            while end < len(order) and (end == at or size + len(raw[order[end]]) <= BLOCK_BYTES):
+            size, end, long = 0, at, len(raw[order[at]]) > LONG
+            while end < len(order) and (end == at or size + len(raw[order[end]]) <= BLOCK_BYTES) and (len(raw[order[end]]) > LONG) == long:
                 size += len(raw[order[end]])
                 end += 1
             block, at = order[at:end], end
@@ -115,19 +140,24 @@ class DuckBpe:
             while states:
                 lengths = np.array([len(s) for _, s in states])
                 ends = np.cumsum(lengths)
-                todo = pa.table({
-                    "word": np.repeat(np.arange(len(states), dtype=np.int32), lengths),
-                    "place": (np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)).astype(np.int32),
-                    "token": np.concatenate([s for _, s in states]).astype(np.int32),
-                })
-                self.con.register("todo", todo)
-                found = self.con.execute(_MERGE, {"steps": STEPS}).fetchall()
+                place = (np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)).astype(np.int32)
+                token = np.concatenate([s for _, s in states]).astype(np.int32)
+                last = np.zeros(len(token), dtype=bool)
+                last[ends - 1] = True
+                self.con.register("todo", pa.table({
+                    "word": np.repeat(np.arange(len(states), dtype=np.int32), lengths), "place": place, "token": token,
+                    "next_place": pa.array(place + 1, mask=last), "next_token": pa.array(np.append(token[1:], 0).astype(np.int32), mask=last),
+                }))
+                found = self.con.sql(_MERGE_ALL if long else _MERGE_ONE, params={"steps": STEPS}).to_arrow_table().combine_chunks()
+                ids = found.column("ids").combine_chunks()
+                ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+                starts, flat = np.asarray(ids.offsets), np.asarray(ids.values)
                 again = []
-                for k, steps, ids in found:
+                for k, steps, a, b in zip(found.column("word").to_pylist(), found.column("steps").to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
                     if steps < STEPS:
-                        out[states[k][0]] = ids
+                        out[states[k][0]] = flat[a:b]
                     else:
-                        again.append((states[k][0], np.array(ids, dtype=np.int32)))
+                        again.append((states[k][0], flat[a:b]))
                 states = again
         return out
 
@@ -145,7 +175,7 @@ def _encoder(byte_ids: np.ndarray, merges: np.ndarray, pattern: str):
                 known = {}
                 new = set(chain.from_iterable(cut))
             words = sorted(new)
-            known.update((w, np.array(ids, dtype=np.int32)) for w, ids in zip(words, bpe.encode(words)))
+            known.update(zip(words, bpe.encode(words)))
             parts = [[known[w] for w in ws] for ws in cut]
             sizes = np.array([sum(map(len, p)) for p in parts], dtype=np.int64)
             flat = list(chain.from_iterable(parts))
