@@ -30,20 +30,33 @@ def with_ordinal(df: DataFrame, *order: str | Column, name: str = "ord0") -> Dat
     return ranged.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + local).drop("_place", "_part", "_first")
 
 
-def number_buckets(df: DataFrame, by: str) -> Column:
-    """A bucket from 0 for each row by equal ranges of the number `by`, as many as the shuffle has partitions."""
-    lo, hi = df.agg(F.min(by), F.max(by)).first()
-    if lo is None:
-        return F.lit(0)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return F.floor((F.col(by) - F.lit(lo)) / F.lit(hi - lo + 1) * n).cast("int")
+#: Cuts that the driver holds when a hot group is numbered by ranges.
+MOST_CUTS = 10_000
+
+
+def number_buckets(df: DataFrame, by: str, rows: DataFrame | None = None) -> DataFrame:
+    """Adds `_b`, a bucket from 0, to df: ranges of the number `by` that hold about as many of `rows` (default: df) each, as many as the shuffle has partitions.
+
+    Cuts are approximate quantiles, so values that bunch up are parted as finely as they differ.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_CUTS)
+    asked = [i / n for i in range(1, n)]
+    cuts = (df if rows is None else rows).agg(F.percentile_approx(F.col(by).cast("double"), asked, 10 * n).alias("q")).first()[0] if asked else None
+    splits = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
+    if len(splits) < 3:
+        return df.withColumn("_b", F.lit(0))
+    cut = Bucketizer(splits=splits, inputCol="_by", outputCol="_bucket", handleInvalid="keep")
+    return cut.transform(df.withColumn("_by", F.col(by).cast("double"))).withColumn("_b", F.col("_bucket").cast("int")).drop("_by", "_bucket")
 
 
 def place_in_group(df: DataFrame, group: list[str], by: str, tie: list[str], name: str = "place") -> DataFrame:
     """The row's place, from 0, within its group by the whole number `by`, then the tie columns.
 
     A group of more than a shuffle partition's share of all rows (there are at most as many as partitions) is counted in
-    buckets of ranges of `by`: the sizes of the buckets before, and the place within the bucket. So no task holds it whole.
+    buckets of ranges of `by`: the sizes of the buckets before, and the place within the bucket. So no task holds it whole,
+    unless its rows agree in `by`.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order_by = ", ".join([by, *tie])
@@ -58,12 +71,13 @@ def place_in_group(df: DataFrame, group: list[str], by: str, tie: list[str], nam
         return small.withColumnsRenamed({c: f"_of_{c}" for c in cols}), [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cols]
 
     marks, on = named(hot.withColumn("_hot", F.lit(True)), group)
-    cut = df.join(F.broadcast(marks), on, "left").select(*df.columns, F.when(F.col("_hot"), number_buckets(df, by)).otherwise(-1).alias("_b"))
+    marked = df.join(F.broadcast(marks), on, "left").select(*df.columns, "_hot")
+    cut = number_buckets(marked, by, marked.filter("_hot")).select(*df.columns, F.when(F.col("_hot"), F.col("_b")).otherwise(-1).alias("_b"))
     counts = cut.filter(F.col("_b") >= 0).groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     past = f"OVER (PARTITION BY {', '.join(group)} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     before, on = named(counts.select(*group, "_b", F.expr(f"coalesce(sum(_n) {past}, 0)").alias("_before")), [*group, "_b"])
     own = cut.withColumn("_in", F.expr(f"row_number() OVER (PARTITION BY {', '.join([*group, '_b'])} ORDER BY {order_by}) - 1"))
-    joined = own.join(F.broadcast(before), on, "left")  # partitions squared at most
+    joined = own.join(before, on, "left")  # partitions squared at most, so left to a join by size
     return joined.select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.col("_in")).cast("bigint").alias(name))
 
 
@@ -109,6 +123,17 @@ def limit_per_group(df: DataFrame, group: str, n: int, *order: str) -> DataFrame
     return df.withColumn("_n", F.expr(f"row_number() OVER (PARTITION BY {group} ORDER BY {', '.join(order)})")).filter(F.col("_n") <= n).drop("_n")
 
 
-def bottom_k(df: DataFrame, seed: int, id_col: str, k: int) -> DataFrame:
-    """A uniform sample without replacement of exactly k rows, mergeable over partitions (a top-k, no sort of all)."""
-    return df.withColumn("_key", det_key(seed, "pool", id_col)).orderBy("_key", id_col).limit(k).drop("_key")
+def bottom_k(df: DataFrame, seed: int, id_col: str, k: int, name: str | None = None) -> DataFrame:
+    """A uniform sample without replacement of exactly k rows, those with the smallest digests; name: their places from 0.
+
+    Rows over a digest that about k rows and a margin stay below cannot be among them and are left out first; the rest is
+    numbered by ranges. So no task holds k rows, however large k is.
+    """
+    n = df.count()
+    keyed = df.withColumn("_key", det_key(seed, "pool", id_col))
+    share = (k + 10 * k**0.5 + 100) / max(n, 1)
+    if share < 1:
+        near = keyed.filter(key_int(F.col("_key")) < int(share * 2**32))
+        keyed = near if near.count() >= k else keyed
+    placed = with_ordinal(keyed, "_key", id_col, name=name or "_nth")
+    return placed.filter(F.col(name or "_nth") < k).drop(*(["_key"] if name else ["_key", "_nth"]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -75,7 +75,42 @@ def compress_names(params: DataFrame) -> DataFrame:
     return grouped.select(F.when((F.col("rest") != "") & (F.size("blocks") > 0), full).otherwise(F.col("prefix")).alias("name"))
 
 
-def optimizer_groups(params: DataFrame, decay: float, rate: float) -> DataFrame:
-    """Number of parameters by (weight decay, rate): matrices decay, vectors do not."""
-    wd = F.when(F.size("shape") >= 2, decay).otherwise(0.0)
-    return params.groupBy(wd.alias("weight_decay"), F.lit(rate).alias("rate")).agg(F.count(F.lit(1)).alias("tensors"), F.sum(F.size("vals")).alias("numbers"))
+def freeze(params: DataFrame, layers: int, n_layers: int, emb: bool = False, proj: bool = False, vit: bool = False, core: str = "rwkv") -> DataFrame:
+    """Adds `trainable`. The first `layers` blocks of the core are frozen, with all layers everything in it; the parts emb, proj and vit on demand."""
+    block = F.regexp_extract("key", rf"^{core}\.blocks\.(\d+)\.", 1)
+    frozen = F.lit(False) | (F.nullif(block, F.lit("")).cast("int") < layers)
+    if layers == n_layers:
+        frozen = frozen | F.startswith("key", F.lit(f"{core}."))
+    for on, prefix in ((emb, f"{core}.emb."), (proj, "proj."), (vit, "vit.")):
+        if on:
+            frozen = frozen | F.startswith("key", F.lit(prefix))
+    return params.withColumn("trainable", ~F.coalesce(frozen, F.lit(False)))
+
+
+def optimizer_groups(params: DataFrame, decay: float, rate: float, rates: DataFrame | None = None) -> DataFrame:
+    """(weight_decay, rate, tensors, numbers) of trainable parameters (key, shape, vals and, if there, trainable).
+
+    Tensors of two dimensions or more (those of size one do not count) decay; rates (key, rate) overrides the common rate.
+    """
+    own = params.filter("trainable") if "trainable" in params.columns else params
+    wd = F.when(F.size(F.filter("shape", lambda n: n != 1)) >= 2, F.lit(max(decay, 0.0))).otherwise(F.lit(0.0))
+    if rates is not None:
+        own = own.join(rates.select("key", F.col("rate").alias("_rate")), "key", "left")
+    each = F.coalesce(F.col("_rate"), F.lit(rate)) if rates is not None else F.lit(rate)
+    return own.groupBy(wd.alias("weight_decay"), each.alias("rate")).agg(F.count(F.lit(1)).alias("tensors"), F.sum(F.size("vals")).alias("numbers"))
+
+
+def write_params(params: DataFrame, path: str, name: str) -> None:
+    """A checkpoint as a folder name=... of Parquet below path; written whole or not at all."""
+    params.drop("ckpt").write.mode("errorifexists").parquet(f"{path}/ckpt={name}")
+
+
+def read_params(spark: SparkSession, path: str) -> DataFrame:
+    """(key, shape, vals, ckpt) of all checkpoints below path."""
+    return spark.read.parquet(path)
+
+
+def saves(epoch: Column, every: int, count: int) -> Column:
+    """Whether an epoch (from 0) is saved: the last one, and every `every`-th; the first only if it is the only one or every = 1."""
+    regular = (F.pmod(epoch, F.lit(max(every, 1))) == 0) & ((epoch > 0) | F.lit(count == 1 or every == 1))
+    return (F.lit(every > 0) & regular) | (epoch == count - 1)

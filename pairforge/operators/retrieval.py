@@ -14,11 +14,14 @@ from pyspark.sql.types import DoubleType
 
 from pairforge.functions.rand import det_key
 from pairforge.functions.vectors import dot
+from pairforge.session import staged, work_dir
 
 #: Queries of one block; a block of vectors goes to every executor (at 1,024 dimensions 32 MB).
 BLOCK = 4096
 #: Vectors on which the lists' centres are fitted.
 FIT_ROWS = 100_000
+#: Rows of the corpus in a task, where there are several blocks of queries.
+CORPUS_BLOCK = 50_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -67,19 +70,6 @@ def _scan(ids: np.ndarray, labels: np.ndarray | None, q: np.ndarray, k: int):
     return scan
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[pd.DataFrame]:
-    """The queries in blocks; one block at a time is on the driver."""
-    cols = [c for c in ("query_id", "vector", "label") if c in queries.columns]
-    rows = []
-    for r in queries.select(*cols).toLocalIterator(prefetchPartitions=True):
-        rows.append(tuple(r))
-        if len(rows) == block:
-            yield pd.DataFrame(rows, columns=cols)
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=cols)
-
-
 def rank(pairs: DataFrame, k: int | None = None) -> DataFrame:
     """Adds each pair's rank from 1 by distance (ties to nine digits by id); the first k if given."""
     ranked = pairs.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY floor(dist * 1e9), id)"))
@@ -87,19 +77,40 @@ def rank(pairs: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def _exact(queries: DataFrame, corpus: DataFrame, k: int, block: int) -> DataFrame:
-    schema, found = "query_id BIGINT, id BIGINT, dist DOUBLE, closest DOUBLE", None
-    for q in _blocks(queries, block):
-        labels = q["label"].to_numpy() if "label" in q else None
-        part = corpus.select(*[c for c in ("id", "vector", "label") if c in corpus.columns]).mapInPandas(_scan(q["query_id"].to_numpy(), labels, _matrix(q["vector"]), k), schema)
-        found = part if found is None else found.unionAll(part)
-    return corpus.sparkSession.createDataFrame([], schema) if found is None else found
+    """One block of queries, by its counted size, goes to every partition of the corpus, which stays where it is.
+
+    More queries are dealt into blocks, and so is the corpus; each pair of blocks meets in one task. Every row is sent once
+    for each block of the other side, and no more than two blocks are in a task or, of many, on the driver.
+    """
+    spark, schema = corpus.sparkSession, "query_id BIGINT, id BIGINT, dist DOUBLE, closest DOUBLE"
+    queries = queries.select(*[c for c in ("query_id", "vector", "label") if c in queries.columns])
+    corpus = corpus.select(*[c for c in ("id", "vector", "label") if c in corpus.columns and (c != "label" or c in queries.columns)])
+    n = queries.count()
+    if n <= block:
+        q = queries.toPandas()
+        return corpus.mapInPandas(_scan(q["query_id"].to_numpy(), q["label"].to_numpy() if "label" in q else None, _matrix(q["vector"]), k), schema) if n else spark.createDataFrame([], schema)
+    rows, cols = -(-n // block), max(1, -(-corpus.count() // CORPUS_BLOCK))
+    across = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = queries.withColumn("row", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int")).withColumn("col", across(cols))
+    # Names of its own, as both sides may come from one table.
+    right = corpus.select(*[F.col(c).alias(f"c_{c}") for c in corpus.columns]).withColumn("col", F.pmod(F.xxhash64("c_id"), F.lit(cols)).cast("int")).withColumn("row", across(rows))
+
+    def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.rename(columns=lambda c: c.removeprefix("c_"))
+        parts = [pd.DataFrame({"query_id": [], "id": [], "dist": [], "closest": []})]
+        for a in range(0, len(q), block):
+            own = q.iloc[a : a + block]
+            parts += _scan(own["query_id"].to_numpy(), own["label"].to_numpy() if "label" in own else None, _matrix(own["vector"]), k)(iter([x]))
+        return pd.concat(parts).astype({"query_id": "int64", "id": "Int64"})
+
+    return left.groupBy("row", "col").cogroup(right.groupBy("row", "col")).applyInPandas(meet, schema)
 
 
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, id, dist, rank) of queries (query_id, vector) against corpus (id, vector), others than itself.
 
-    A stated set of queries goes over the corpus in blocks; every partition keeps its k best for each query, so k rows for
-    each query and partition are shuffled. With fewer than k others all come out.
+    A stated set of queries goes over the corpus in blocks; every block of the corpus keeps its k best for each query, so k
+    rows for each query and block are shuffled. With fewer than k others all come out.
     """
     return rank(_exact(queries.select("query_id", "vector"), corpus.select("id", "vector"), k, block).drop("closest"), k)
 
@@ -121,7 +132,8 @@ class Ivf:
         self.n_lists = min(lists or ivf_sizes(n)[0], max(n, 1))
         picked = corpus.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))) < fit_rows).select(array_to_vector("vector").alias("features"))
         self.centres = np.array(KMeans(k=self.n_lists, seed=seed, maxIter=10).fit(picked).clusterCenters())
-        self.entries = corpus.select("id", "vector").mapInPandas(_assigner(self.centres, 1), "id BIGINT, vector ARRAY<FLOAT>, list_id INT")
+        entries = corpus.select("id", "vector").mapInPandas(_assigner(self.centres, 1), "id BIGINT, vector ARRAY<FLOAT>, list_id INT")
+        self.entries = staged(entries, f"{work_dir(corpus.sparkSession)}/lists")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, list_rows: int = 50_000) -> DataFrame:
         """(query_id, id, dist, rank) from each query's nearest lists, by an equi-join on lists; large lists in salted parts."""
@@ -159,13 +171,25 @@ def _probe(k: int):
     return probe
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, exact_pairs: int = 10_000_000) -> DataFrame:
-    """Exact up to a number of pairs, by inverted lists beyond."""
+def search(queries: DataFrame, corpus: DataFrame, k: int, exact_pairs: int = 10_000_000, other_only: bool = True) -> DataFrame:
+    """Exact up to a number of pairs, by inverted lists beyond, which find nearly all.
+
+    other_only: an id that is the query's is left out; False where ids of queries and corpus are different things.
+    """
+    if not other_only:  # ids that no corpus row has
+        moved = search(queries.withColumn("query_id", -F.col("query_id") - 1), corpus, k, exact_pairs)
+        return moved.withColumn("query_id", -F.col("query_id") - 1)
     if queries.count() * corpus.count() <= exact_pairs:
         return knn_exact(queries, corpus, k)
     return Ivf(corpus).search(queries, k)
 
 
+def distance(a: Column, b: Column) -> Column:
+    from pairforge.functions.vectors import euclidean
+
+    return euclidean(a, b)
+
+
 def mine(queries: DataFrame, corpus: DataFrame, lo: int = 10, hi: int = 60, negatives: int = 7, filter_topk: int | None = 50, seed: int = 22, block: int = BLOCK) -> DataFrame:
     """(query_id, id, rank, dist) of queries (query_id, vector, label) and corpus (id, vector, label).
 
@@ -204,18 +228,34 @@ def cross_features(q: Column, d: Column, size: int) -> Column:
     return F.flatten(each(lambda s: each(lambda t: dot(row(q, s), row(d, t)))))
 
 
+def head_scores(x: np.ndarray, hidden: np.ndarray, out: np.ndarray, gain: np.ndarray, bias: np.ndarray, eps: float = 1e-5) -> np.ndarray:
+    """Layer norm, hidden layer, positive part, output, for each row of features."""
+    x = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + eps) * gain + bias
+    return np.maximum(x @ hidden.T, 0) @ out
+
+
 def ranking_head(hidden: np.ndarray, out: np.ndarray, gain: np.ndarray, bias: np.ndarray, eps: float = 1e-5):
-    """An Arrow function from cross features to scores: layer norm, hidden layer, positive part, output."""
+    """An Arrow function from cross features to scores."""
 
     @F.pandas_udf(DoubleType())
     def score(features: pd.Series) -> pd.Series:
-        x = _matrix(features)
-        x = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + eps) * gain + bias
-        return pd.Series(np.maximum(x @ hidden.T, 0) @ out)
+        return pd.Series(head_scores(_matrix(features), hidden, out, gain, bias, eps))
 
     return score
 
 
+def score_features(pairs: DataFrame, hidden: np.ndarray, out: np.ndarray, gain: np.ndarray, bias: np.ndarray, eps: float = 1e-5) -> DataFrame:
+    """(query_id, id, score) of pairs (query_id, id, features), in Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"query_id": b["query_id"], "id": b["id"], "score": head_scores(_matrix(b["features"]), hidden, out, gain, bias, eps)})
+
+    types = dict(pairs.dtypes)
+    return pairs.select("query_id", "id", "features").mapInPandas(run, f"query_id {types['query_id']}, id {types['id']}, score DOUBLE")
+
+
 def rerank(scored: DataFrame, k: int = 100) -> DataFrame:
     """The k best by score (to nine digits, ties by id), ranked anew."""
     ranked = scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1e9) DESC, id)"))
@@ -249,6 +289,56 @@ def encode(texts: DataFrame, id_col: str, text_col: str, encoder=None, prefix: s
     return texts.select(id_col, text_col).mapInPandas(run, f"id {dict(texts.dtypes)[id_col]}, vector ARRAY<FLOAT>")
 
 
+def recur(rows: DataFrame, n: int) -> DataFrame:
+    """(id, outputs, state) of (id, steps, state): a state of n x n numbers carried over steps of r, w, k, v, a, b (n numbers each).
+
+    S <- S * exp(-exp(w)) by columns + (S a) b^T + v k^T, output S r. A null state is zero. Rows with as many steps as each
+    other go together through each step; a sequence in pieces, each with the state of the one before, gives what it gives whole.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            length = batch["steps"].map(len)
+            for t, own in batch.groupby(length):
+                state = np.stack([np.zeros(n * n) if s is None else np.asarray(s, dtype=np.float64) for s in own["state"]]).reshape(-1, n, n)
+                x = np.array([[np.asarray(v, dtype=np.float64) for v in s] for s in own["steps"]]).reshape(len(own), t, 6, n)
+                out = np.zeros((len(own), t, n))
+                for i in range(t):
+                    r, w, k, v, a, b = (x[:, i, j] for j in range(6))
+                    state = state * np.exp(-np.exp(w))[:, None, :] + np.einsum("nij,nj->ni", state, a)[:, :, None] * b[:, None, :] + v[:, :, None] * k[:, None, :]
+                    out[:, i] = np.einsum("nij,nj->ni", state, r)
+                yield pd.DataFrame({"id": own["id"].to_numpy(), "outputs": list(out.reshape(len(own), -1)), "state": list(state.reshape(len(own), -1))})
+
+    return rows.select("id", "steps", "state").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, outputs ARRAY<DOUBLE>, state ARRAY<DOUBLE>")
+
+
+class OverlapScorer:
+    """A pair scorer that needs no weights: shared words over all words. Any object with score(list of pairs) -> numbers may take its place."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]:
+        out = []
+        for a, b in pairs:
+            x, y = ({w for w in t.split(" ") if w} for t in (a, b))
+            out.append(len(x & y) / len(x | y) if x or y else 0.0)
+        return out
+
+
+def predict_pairs(pairs: DataFrame, scorer=None, batch: int = 32) -> DataFrame:
+    """Adds `score` to pairs (query, text), batch by batch; a null on either side has no score. One scorer for each worker."""
+    scorer = scorer or OverlapScorer()
+
+    @F.pandas_udf(DoubleType())
+    def score(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = np.full(len(left), np.nan)
+        some = np.flatnonzero(left.notna() & right.notna())
+        for a in range(0, len(some), batch):
+            at = some[a : a + batch]
+            out[at] = scorer.score(list(zip(left.iloc[at], right.iloc[at])))
+        return pd.Series(out)
+
+    return pairs.withColumn("score", F.nanvl(score("query", "text"), F.lit(None)))
+
+
 def fold_states(tokens: DataFrame, step: Callable[[np.ndarray, int], np.ndarray], width: int) -> DataFrame:
     """(id, state) of (id, ids): a state carried over a token sequence; a sequence in pieces gives the same state."""
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pairforge.functions.maths import nearest_multiple
 from pairforge.functions.rand import det_key, hash01, key_int
 from pairforge.functions.vectors import round6
+from pairforge.operators.enrich import small
+
+#: Copies of a group that one row stands for before they are made.
+COPY_RUN = 10_000
 
 
 def round3(x: Column) -> Column:
@@ -101,8 +105,11 @@ def resize(rows: DataFrame, targets: DataFrame, seed: int, id_col: str, group: s
 
     Down: the rows with the smallest digests. Up: all rows and further picks with replacement, by digests of the copy's
     number. targets: (group, n, target). A group is never gathered: places are counted within salts of the group, with the
-    sizes of the salts before it.
+    sizes of the salts before it. A null group is the group "unknown", in rows and targets.
     """
+    named = F.coalesce(group, F.lit("unknown")).alias(group)
+    rows = rows.select(*[named if c == group else c for c in rows.columns])
+    targets = targets.select(named, "n", "target")
     spark = rows.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = det_key(seed, "resize", group, id_col)
@@ -113,8 +120,11 @@ def resize(rows: DataFrame, targets: DataFrame, seed: int, id_col: str, group: s
     placed = salted.withColumn("_in", F.expr(f"row_number() OVER (PARTITION BY {group}, _salt ORDER BY _key, {id_col}) - 1"))
     placed = placed.join(before, [group, "_salt"]).withColumn("_place", F.col("_before") + F.col("_in")).drop("_key", "_salt", "_in", "_before")
     goals = targets.select(group, F.col("n").alias("_n"), F.col("target").alias("_target"))
-    kept = placed.join(F.broadcast(goals), group).filter(F.col("_place") < F.col("_target")).withColumn("copy", F.lit(0).cast("bigint"))  # one row for each group
-    more = goals.filter((F.col("_target") > F.col("_n")) & (F.col("_n") > 0)).select(group, "_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_target") - F.col("_n"))).alias("copy"))
+    kept = placed.join(small(goals), group).filter(F.col("_place") < F.col("_target")).withColumn("copy", F.lit(0).cast("bigint"))
+    # Copies in runs of COPY_RUN, dealt out before they are made, so that one group's many copies are not one task's.
+    short = goals.filter((F.col("_target") > F.col("_n")) & (F.col("_n") > 0)).withColumn("_need", F.col("_target") - F.col("_n"))
+    runs = short.select(group, "_n", "_need", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("_need") - 1).cast("bigint"), F.lit(COPY_RUN).cast("bigint"))).alias("_from"))
+    more = runs.repartition(group, "_from").select(group, "_n", F.explode(F.sequence(F.col("_from") + 1, F.least(F.col("_from") + COPY_RUN, "_need"))).alias("copy"))
     picked = more.withColumn("_place", F.pmod(key_int(det_key(seed, "pick", group, "copy")), F.col("_n"))).drop("_n")
     copies = placed.join(picked, [group, "_place"])
     return kept.drop("_n", "_target").unionByName(copies).drop("_place")
@@ -124,8 +134,7 @@ def ranked_pool(df: DataFrame, seed: int, id_col: str, size: int) -> DataFrame:
     """(place, text) of a pool of at most `size` texts in a seeded order; the size is the pool's stated bound."""
     from pairforge.operators.order import bottom_k
 
-    pool = bottom_k(df, seed, id_col, size).withColumn("_key", det_key(seed, "pool", id_col))
-    return pool.select(F.expr(f"row_number() OVER (ORDER BY _key, {id_col}) - 1").alias("place"), "text")
+    return bottom_k(df, seed, id_col, size, name="place").select("place", "text")
 
 
 def pad_negatives(records: DataFrame, pool: DataFrame, desired: int, seed: int, id_col: str = "rec_id") -> DataFrame:
@@ -142,7 +151,7 @@ def pad_negatives(records: DataFrame, pool: DataFrame, desired: int, seed: int,
     start = F.pmod(key_int(det_key(seed, "neg", id_col)), F.lit(size))
     short = rows.filter(F.col("_need") > 0)
     draws = short.select(id_col, "query", "pos", "_need", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_need") * 2 - 1), lambda i: F.pmod(start + i, F.lit(size)))).alias("_i", "place"))
-    drawn = draws.join(F.broadcast(pool), "place").filter((F.col("text") != F.col("query")) & ~F.coalesce(F.array_contains("pos", F.col("text")), F.lit(False)))
+    drawn = draws.join(small(pool), "place").filter((F.col("text") != F.col("query")) & ~F.coalesce(F.array_contains("pos", F.col("text")), F.lit(False)))
     fills = drawn.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_i", "text"))).alias("_fills"))  # 2 * desired at most
     texts = F.coalesce(F.transform("_fills", lambda x: x["text"]), F.array().cast("array<string>"))
     return rows.join(fills, id_col, "left").withColumn("neg", F.concat("neg", F.slice(texts, F.lit(1), F.greatest("_need", F.lit(0))))).drop("_need", "_fills")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("vectors", "curate", "sampling", "batching", "evaluate", "files", "streams")
+MODULES = ("vectors", "curate", "sampling", "batching", "evaluate", "files", "streams", "models", "jobs")
 
 
 def load() -> None:

@@ -12,7 +12,7 @@ from pairforge.registry import CORE, table
 CTX, CHUNK = 1024, 512
 
 
-@CORE.query("chunkify_collision_free", "C01", "C05", "P27", "U04", "U05", "U06")
+@CORE.query("chunkify_collision_free", "C01", "P27", "U04", "U05", "U06")
 def chunkify_collision_free(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "normalised").select(F.coalesce("source", F.lit("unknown")).alias("domain"), F.col("rec_id").alias("ord"), "query", "pos")
     return batching.chunkify(rows)
@@ -39,7 +39,7 @@ def stratified_round_robin(spark: SparkSession, sf: str) -> DataFrame:
     return batching.round_robin_groups(rows)
 
 
-@CORE.query("pack_best_fit", "C03", "A20", "O07")
+@CORE.query("pack_best_fit", "C03", "O07")
 def pack_best_fit(spark: SparkSession, sf: str) -> DataFrame:
     groups = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_shipdate").alias("d")).agg(F.count(F.lit(1)).cast("int").alias("len"))
     return batching.pack_groups(groups.select(F.concat_ws("|", "s", F.col("d").cast("string")).alias("group_id"), "len"))
@@ -154,7 +154,7 @@ def length_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query(
-    "cross_encode", "F62", "V14",
+    "cross_encode", "F62",
     oracle=TOK + """, c AS (SELECT doc_id, CASE WHEN ids[-1] = 65535 THEN ids ELSE list_append(ids, 65535) END AS c FROM tok
     ), p AS (SELECT doc_id, CASE WHEN len(c) >= 2048 THEN c ELSE list_concat(list_transform(range(2048 - len(c)), lambda i: 0), c) END AS p FROM c)
     SELECT doc_id, p[len(p) - 2047:] AS ids FROM p""",

@@ -142,7 +142,7 @@ def expand_positives(spark: SparkSession, sf: str) -> DataFrame:
     return nz.expand_positives(rows).select("rec_id", F.col("pos_no").cast("bigint").alias("pos_no"), "pos", "neg")
 
 
-@CORE.query("add_task_tag", "J01", "P13", "S11", oracle="SELECT rec_id, tag FROM normalised JOIN source_tasks USING (source)")
+@CORE.query("add_task_tag", "J01", "P13", oracle="SELECT rec_id, tag FROM normalised JOIN source_tasks USING (source)")
 def add_task_tag(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.add_from_map(table(spark, sf, "normalised"), table(spark, sf, "source_tasks"), "source", "tag", "tag").select("rec_id", "tag")
 
@@ -202,7 +202,7 @@ def task_ids_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query(
-    "dedup_corpus", "A12", "U01", "U02", "U03", "S09",
+    "dedup_corpus", "A12", "U01", "U02", "U03",
     oracle="SELECT DISTINCT text FROM (SELECT unnest(pos) AS text FROM normalised UNION ALL SELECT unnest(neg) FROM normalised UNION ALL SELECT text FROM documents)",
 )
 def dedup_corpus(spark: SparkSession, sf: str) -> DataFrame:

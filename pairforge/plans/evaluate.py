@@ -24,7 +24,7 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query(
-    "macro_average_scores", "A14", "A15", "O15", "K12",
+    "macro_average_scores", "A14", "A15", "O15",
     oracle=SCORES + """, t AS (SELECT task_type, avg(score) AS score FROM scores GROUP BY 1), a AS (
     SELECT 'type' AS level, task_type AS name, score FROM t UNION ALL SELECT 'mean', 'tasks', avg(score) FROM scores UNION ALL SELECT 'mean', 'types', avg(score) FROM t)
     SELECT level, name, floor(score * 1e6 + 0.5) / 1e6 AS score FROM a""",
@@ -65,7 +65,7 @@ def throughput_speedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query(
-    "running_mean_loss", "W13", "A22", "K14",
+    "running_mean_loss", "W13", "A22",
     oracle="SELECT event_id, user_id, sum(CAST(round(value * 1e4) AS BIGINT)) OVER w / (1e4 * count(value) OVER w) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
 )
 def running_mean_loss(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +84,7 @@ def step_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query(
-    "lr_cosine_schedule", "F37", "V33",
+    "lr_cosine_schedule", "F37",
     oracle="""WITH s AS (SELECT range AS step, least(1.0, greatest(0.0, (range - 100 + 1) / 4900.0)) AS p FROM range(6000)
     ), l AS (SELECT step, 1e-5 + (1e-3 - 1e-5) * greatest(0.0, 0.5 * (1 + cos(pi() * p))) AS lr FROM s)
     SELECT step, floor(CASE WHEN step < 100 THEN lr * (0.1 + 0.9 * step / 100.0) ELSE lr END * 1e12 + 0.5) / 1e12 AS lr FROM l""",
@@ -95,7 +95,7 @@ def lr_cosine_schedule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query(
-    "layerwise_lr", "F38", "V31", "V32",
+    "layerwise_lr", "F38",
     oracle="SELECT range AS layer, floor(1e-3 / pow(0.9, 24) * pow(0.9, range) * CASE WHEN range = 24 THEN 5 ELSE 1 END * 1e9 + 0.5) / 1e9 AS lr FROM range(25)",
 )
 def layerwise_lr(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,19 +149,19 @@ def _params(spark: SparkSession) -> DataFrame:
 
 
 @CORE.query(
-    "ckpt_average", "A17", "S16", "K11", "F75",
+    "ckpt_average", "A17", "F75",
     oracle=PARAMS + ", m AS (SELECT key, i, avg(vals[i]) AS v FROM (SELECT *, unnest(range(1, 9)) AS i FROM params WHERE ckpt <> 'c2') GROUP BY ALL) SELECT key, [4, 2] AS shape, list(floor(v * 1e6 + 0.5) / 1e6 ORDER BY i) AS vals FROM m GROUP BY key",
 )
 def ckpt_average(spark: SparkSession, sf: str) -> DataFrame:
     return params.average(_params(spark), exclude="c2").withColumn("vals", F.transform("vals", vx.round6))
 
 
-@CORE.query("extract_module_segment", "F71", "F70", "F75", oracle=PARAMS + " SELECT ckpt, regexp_extract(key, '^(?:[^.]+\\.)*?core\\.(.+)$', 1) AS key FROM params WHERE regexp_matches(key, '(^|\\.)core\\..')")
+@CORE.query("extract_module_segment", "F71", "F75", oracle=PARAMS + " SELECT ckpt, regexp_extract(key, '^(?:[^.]+\\.)*?core\\.(.+)$', 1) AS key FROM params WHERE regexp_matches(key, '(^|\\.)core\\..')")
 def extract_module_segment(spark: SparkSession, sf: str) -> DataFrame:
     return params.extract(_params(spark), "core").select("ckpt", "key")
 
 
-@CORE.query("extract_module_prefix", "F72", "F70", oracle=PARAMS + " SELECT ckpt, substr(key, 7) AS key FROM params WHERE starts_with(key, 'model.')")
+@CORE.query("extract_module_prefix", "F72", oracle=PARAMS + " SELECT ckpt, substr(key, 7) AS key FROM params WHERE starts_with(key, 'model.')")
 def extract_module_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return params.nested(_params(spark), key="model").select("ckpt", "key")
 

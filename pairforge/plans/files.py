@@ -12,7 +12,7 @@ from pairforge.sources import jsonl
 
 
 @CORE.query(
-    "jsonl_scan", "S01", "S02", "S03", "S05", "S06", "S08", "K06", "S14", "S15",
+    "jsonl_scan", "S01", "S02", "S03", "S05", "S06", "S08",
     oracle=RAW + "SELECT rec.query AS query, rec.pos AS pos, rec.neg AS neg, regexp_replace(file, '\\.gz$', '') AS source FROM r WHERE rec.query <> '' AND len(rec.pos) > 0",
 )
 def jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +27,7 @@ def jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
     return normalise(named, "line", "file")
 
 
-@CORE.query("write_by_source", "K04", "K05", "K07", "F22", oracle="SELECT regexp_replace(source, '\\.gz$', '') AS file, rec_id, query, len(pos) AS n_pos FROM normalised WHERE coalesce(source, '') <> ''")
+@CORE.query("write_by_source", "K04", "F22", oracle="SELECT regexp_replace(source, '\\.gz$', '') AS file, rec_id, query, len(pos) AS n_pos FROM normalised WHERE coalesce(source, '') <> ''")
 def write_by_source(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{work_dir(spark)}/sources"
     jsonl.write_by_source(table(spark, sf, "normalised").select("rec_id", "query", "pos", "source"), path)
@@ -35,7 +35,7 @@ def write_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("file", "rec_id", "query", F.when(F.col("pos").isNotNull(), F.size("pos")).cast("bigint").alias("n_pos"))
 
 
-@CORE.query("write_rolling_shards", "K01", "K02", "K03", "K15", oracle="SELECT CAST((row_number() OVER (ORDER BY doc_id) - 1) // 200 AS INTEGER) AS shard, doc_id, text FROM documents")
+@CORE.query("write_rolling_shards", "K01", oracle="SELECT CAST((row_number() OVER (ORDER BY doc_id) - 1) // 200 AS INTEGER) AS shard, doc_id, text FROM documents")
 def write_rolling_shards(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{work_dir(spark)}/rolling"
     jsonl.write_rolling(table(spark, sf, "documents").select("doc_id", "text"), path, 200, "doc_id")
@@ -48,7 +48,7 @@ def pending_files(spark: SparkSession, sf: str) -> DataFrame:
     return jsonl.pending(table(spark, sf, "raw_records").select("file").distinct(), done)
 
 
-@CORE.query("image_rows", "P15", "P16", "S27", "K10", oracle="SELECT 't2vd_colpali_' || source || '_' || doc_id AS id, 'images/' || regexp_replace(source, '\\..*$', '') || '/' || doc_id || '.jpg' AS image FROM documents")
+@CORE.query("image_rows", "P15", "P16", oracle="SELECT 't2vd_colpali_' || source || '_' || doc_id AS id, 'images/' || regexp_replace(source, '\\..*$', '') || '/' || doc_id || '.jpg' AS image FROM documents")
 def image_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of an image data set as retrieval records: ids (their prefix is a fixed value) and paths by rule; pixels stay outside of the engine."""
     docs = table(spark, sf, "documents")

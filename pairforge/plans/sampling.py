@@ -29,13 +29,13 @@ def line_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "raw_records").groupBy("file").agg(F.count(F.lit(1)).alias("total_lines"))
 
 
-@CORE.query("sampling_config", "A02", "A03", "B01", "B02", "B03", "K08", oracle=_CONFIG + " SELECT * FROM config")
+@CORE.query("sampling_config", "A02", "A03", "B01", "B02", "B03", oracle=_CONFIG + " SELECT * FROM config")
 def sampling_config(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sampling_config(_counts(spark, sf))
 
 
 @CORE.query(
-    "parse_sampling_config", "S10",
+    "parse_sampling_config",
     oracle="""WITH r AS (SELECT trim(file) AS file, coalesce(total_lines, 0) AS total_lines, least(1.0, greatest(0.0, coalesce(sample_ratio, 0.0))) AS sample_ratio FROM sampling_config
     ), s AS (SELECT *, CAST(floor(total_lines * sample_ratio) AS BIGINT) AS sampled_lines FROM r)
     SELECT *, floor(sampled_lines / sum(sampled_lines) OVER () * 1e6 + 0.5) / 1e6 AS dataset_share FROM s""",
@@ -45,7 +45,7 @@ def parse_sampling_config(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query(
-    "sampling_plan_report", "K09", "F14", "O14",
+    "sampling_plan_report", "F14", "O14",
     oracle="SELECT DISTINCT trim(file) AS file, coalesce(printf('%.2f%%', dataset_share * 100), 'n/a') AS share FROM sampling_config",
 )
 def sampling_plan_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +109,8 @@ def domain_types(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CHUNK = 64
-_SIZES = "sizes AS (SELECT source AS domain, count(*) AS n FROM normalised GROUP BY 1)"
+_DOMAIN = "coalesce(source, 'unknown')"
+_SIZES = f"sizes AS (SELECT {_DOMAIN} AS domain, count(*) AS n FROM normalised GROUP BY 1)"
 _GOALS = {
     "range": "least(greatest(n, lo), greatest(hi, lo)) FROM sizes, (SELECT greatest(CAST(floor(round(quantile_cont(n, 0.25), 9)) AS BIGINT), 64) AS lo, CAST(floor(round(quantile_cont(n, 0.75), 9)) AS BIGINT) AS hi FROM sizes)",
     "median": "(SELECT greatest(CAST(floor(round(quantile_cont(n, 0.5), 9)) AS BIGINT), 64) FROM sizes) FROM sizes",
@@ -120,7 +121,7 @@ _GOALS = {
 def _balance_sql(strategy: str) -> str:
     return f"""WITH {_SIZES}, g AS (SELECT domain, n, {_GOALS[strategy].replace(' FROM', ' AS goal FROM', 1) if strategy != 'median' else _GOALS[strategy].replace(') FROM sizes', ') AS goal FROM sizes')}
     ), t AS (SELECT *, greatest({CHUNK}, CAST(round_even(goal / {CHUNK}.0, 0) * {CHUNK} AS BIGINT)) AS target FROM g
-    ), p AS (SELECT rec_id, source AS domain, row_number() OVER (PARTITION BY source ORDER BY {sql_key(SEED, 'resize', 'source', 'rec_id')}, rec_id) - 1 AS place FROM normalised
+    ), p AS (SELECT rec_id, {_DOMAIN} AS domain, row_number() OVER (PARTITION BY {_DOMAIN} ORDER BY {sql_key(SEED, 'resize', _DOMAIN, 'rec_id')}, rec_id) - 1 AS place FROM normalised
     ), more AS (SELECT domain, n, unnest(range(1, target - n + 1)) AS copy FROM t WHERE target > n
     ), picks AS (SELECT domain, copy, CAST('0x' || substr({sql_key(SEED, 'pick', 'domain', 'copy')}, 1, 8) AS BIGINT) % n AS place FROM more)
     SELECT domain, rec_id, 0 AS copy FROM p JOIN t USING (domain) WHERE place < target
@@ -129,7 +130,7 @@ def _balance_sql(strategy: str) -> str:
 
 def _balance(strategy: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = table(spark, sf, "normalised").select("rec_id", F.col("source").alias("domain"))
+        rows = table(spark, sf, "normalised").select("rec_id", F.coalesce("source", F.lit("unknown")).alias("domain"))
         sizes = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
         return sampling.resize(rows, sampling.balance_targets(sizes, strategy, CHUNK), SEED, "rec_id").select("domain", "rec_id", "copy")
 
@@ -142,13 +143,13 @@ for _s, _id in (("range", "B13"), ("median", "B14"), ("probability", "B15")):
 
 @CORE.query(
     "min_per_source_floor", "B18", "B19",
-    oracle=f"""WITH t AS (SELECT source AS domain, count(*) AS n, greatest(count(*), 1000) AS target FROM normalised WHERE source IS NOT NULL GROUP BY 1
-    ), p AS (SELECT rec_id, source AS domain, row_number() OVER (PARTITION BY source ORDER BY {sql_key(SEED, 'resize', 'source', 'rec_id')}, rec_id) - 1 AS place FROM normalised
+    oracle=f"""WITH t AS (SELECT {_DOMAIN} AS domain, count(*) AS n, greatest(count(*), 1000) AS target FROM normalised GROUP BY 1
+    ), p AS (SELECT rec_id, {_DOMAIN} AS domain, row_number() OVER (PARTITION BY {_DOMAIN} ORDER BY {sql_key(SEED, 'resize', _DOMAIN, 'rec_id')}, rec_id) - 1 AS place FROM normalised
     ), picks AS (SELECT domain, copy, CAST('0x' || substr({sql_key(SEED, 'pick', 'domain', 'copy')}, 1, 8) AS BIGINT) % n AS place FROM (SELECT domain, n, unnest(range(1, target - n + 1)) AS copy FROM t))
     SELECT domain, rec_id, 0 AS copy FROM p JOIN t USING (domain) UNION ALL SELECT domain, rec_id, copy FROM picks JOIN p USING (domain, place)""",
 )
 def min_per_source_floor(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "normalised").select("rec_id", F.col("source").alias("domain"))
+    rows = table(spark, sf, "normalised").select("rec_id", F.coalesce("source", F.lit("unknown")).alias("domain"))
     targets = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).withColumn("target", F.greatest(F.col("n"), F.lit(1000)))
     return sampling.resize(rows, targets, SEED, "rec_id").select("domain", "rec_id", "copy")
 

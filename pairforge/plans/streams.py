@@ -54,3 +54,24 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def stream_state_fold(spark: SparkSession, sf: str) -> DataFrame:
     # Totals only grow, so each user's last state is the largest.
     return ev.run(ev.folded(_stream(spark, sf)), "update").groupBy("user_id").agg(F.max_by(F.struct("n", "cents"), "n").alias("x")).select("user_id", "x.n", "x.cents")
+
+
+@CORE.query(
+    "stream_late", "S13",
+    oracle="""WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events), w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL)
+    SELECT start, event_type, n FROM w, m WHERE start + INTERVAL 1 HOUR <= mark""",
+)
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Files in the order of time and, at last, a copy of the first one: its rows are later than the watermark of a day and
+    are dropped, and windows are given once, when the watermark has passed them.
+    """
+    path, rows = f"{work_dir(spark)}/events", table(spark, sf, "events")
+    lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [lo + (hi - lo) * i / PARTS for i in range(1, PARTS)]
+    number = F.lit(0)
+    for c in cuts:
+        number = number + (F.col("ts") >= F.lit(c)).cast("int")
+    parts = [rows.filter(number == i) for i in range(PARTS)]
+    for part in [*parts, parts[0]]:  # one after the other, as files are taken in the order of their times
+        part.coalesce(1).write.mode("append").parquet(path)
+    return ev.run(ev.tumbling(ev.read_stream(spark, path, rows.schema), late=ev.LATE), "append")

@@ -33,7 +33,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 @CORE.query(
-    "hard_negative_mine", "V07", "V08", "J06", "J07", "W04", "W05", "A13", "B23",
+    "hard_negative_mine", "V08", "J06", "J07", "W04", "W05", "A13", "B23",
     oracle=DIST + f""", p AS (SELECT query_id, min(dist) AS closest FROM d WHERE ql = cl GROUP BY 1
     ), l AS (SELECT query_id, dist AS cut FROM k WHERE rank = 51
     ), bad AS (SELECT query_id FROM p JOIN l USING (query_id) WHERE floor(closest * 1e9) > floor(cut * 1e9)
@@ -56,7 +56,7 @@ def knn_ivf_full_probe(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(index.search(_queries(spark, sf), 10, probes=index.n_lists))
 
 
-@CORE.query("knn_ivf_recall", "V04", "V06", "A15")
+@CORE.query("knn_ivf_recall", "V04", "A15")
 def knn_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
     corpus, queries = _corpus(spark, sf), _queries(spark, sf)
     index = retrieval.Ivf(corpus)
@@ -134,7 +134,7 @@ def centroid_by_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query(
-    "rerank_first_stage", "J14", "J16", "O11", "V11", "V14", "V17", "V19", "F35",
+    "rerank_first_stage", "J14", "J16", "O11", "V19", "F35",
     oracle=DIST + """, s AS (SELECT query_id, k.id, list_dot_product(q.x[1:32], c.x[1:32]) AS score FROM k JOIN e q ON q.id = query_id JOIN e c ON c.id = k.id WHERE rank <= 100
     ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1e9) DESC, id) AS rank FROM s)
     SELECT query_id, id, rank, floor(1 / (1 + exp(-score)) * 1e6 + 0.5) / 1e6 AS score FROM r WHERE rank <= 20""",
@@ -226,7 +226,7 @@ def encode_documents(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.encode(table(spark, sf, "documents"), "doc_id", "text", prefix="Instruct: Represent the text\nQuery: ")
 
 
-@CORE.query("fold_states", "V16", "V26", "C09")
+@CORE.query("fold_states", "V16", "C09")
 def fold_states(spark: SparkSession, sf: str) -> DataFrame:
     from pairforge.functions import tokens as tk
 
@@ -239,7 +239,7 @@ def fold_states(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query(
-    "state_cross_features", "V11", "V12",
+    "state_cross_features",
     oracle=E + """ SELECT a.id AS query_id, b.id AS id, flatten(list_transform(range(4), lambda s: list_transform(range(4), lambda t:
       floor(list_sum(list_transform(range(4), lambda h: list_dot_product(a.x[CAST(h * 16 + s * 4 + 1 AS BIGINT) : CAST(h * 16 + s * 4 + 4 AS BIGINT)], b.x[CAST(h * 16 + t * 4 + 1 AS BIGINT) : CAST(h * 16 + t * 4 + 4 AS BIGINT)]))) * 1e6 + 0.5) / 1e6))) AS features
     FROM e a JOIN e b ON b.id = a.id + 1""",

@@ -12,18 +12,29 @@ CONFIG_SCHEMA = "file STRING, total_lines BIGINT, sample_ratio DOUBLE, sampled_l
 
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl*", recursive: bool = False, skip_blank: bool = True) -> DataFrame:
-    """(file, line) with bytes that are no UTF-8 left out; codecs by suffix; no files raises."""
+    """(file, path, split, line) with bytes that are no UTF-8 left out; codecs by suffix; no files raises.
+
+    A file is named by its folder file=NAME, where the sinks made one, else by itself.
+    """
     reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
-    df = reader.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("line"))
+    folder = F.regexp_extract("_metadata.file_path", r"/file=([^/]+)/", 1)
+    name = F.when(folder != "", folder).otherwise(F.col("_metadata.file_name"))
+    df = reader.text(path).select(name.alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("line"))
     if df.isEmpty() and not reader.format("binaryFile").load(path).select("path").limit(1).count():
         raise FileNotFoundError(f"no {glob} below {path}")
     return df.filter(F.trim("line") != "") if skip_blank else df
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Adds line_no from 1 within each file. A gz file is one split, and so must a plain file be (maxPartitionBytes)."""
+    """Adds line_no from 1 within each file, of lines as read_lines gives them, blank ones included.
+
+    Rows count up within a split of a file; the sizes of the splits before it give its first number. So a large plain file
+    is numbered split by split, and no task sorts it.
+    """
     marked = staged(lines.withColumn("_m", F.monotonically_increasing_id()), f"{work_dir(lines.sparkSession)}/lines")
-    return marked.withColumn("line_no", F.expr("row_number() OVER (PARTITION BY path ORDER BY _m)").cast("bigint")).drop("_m")
+    splits = marked.groupBy("path", "split").agg(F.min("_m").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    before = splits.select("path", "split", "_least", F.expr("coalesce(sum(_n) OVER (PARTITION BY path ORDER BY split ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_before"))
+    return marked.join(before, ["path", "split"]).withColumn("line_no", F.col("_before") + F.col("_m") - F.col("_least") + 1).drop("_m", "_least", "_before")
 
 
 def read_records(spark: SparkSession, path: str, mode: str = "drop", **how) -> DataFrame:
@@ -77,13 +88,13 @@ def _gz(df: DataFrame):
     return df.write.mode("errorifexists").option("compression", "gzip").option("ignoreNullFields", False)
 
 
-def write_rolling(records: DataFrame, path: str, size: int, *by: str, most: int | None = None) -> int:
+def write_rolling(records: DataFrame, path: str, size: int, *by: str, most: int | None = None, drop: list[str] | None = None) -> int:
     """Gz JSON lines in folders shard=00000, ... of exactly `size` records in the order `by`; returns how many."""
     placed = order.with_ordinal(records, *by)
     if most is not None:
         placed = placed.filter(F.col("ord0") < most)
     shard = F.format_string("%05d", order.rolling_shard(F.col("ord0"), size))
-    out = placed.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "ord0").drop("ord0")
+    out = placed.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "ord0").drop("ord0", *(drop or []))
     _gz(out).partitionBy("shard").json(path)
     return placed.count()
 
@@ -111,6 +122,11 @@ def write_chunks(chunks: DataFrame, path: str, *by: str) -> None:
     _gz(chunks.repartitionByRange(*by).sortWithinPartitions(*by)).json(path)
 
 
+def write_records(records: DataFrame, path: str) -> None:
+    """gz JSON lines, nulls kept."""
+    _gz(records).json(path)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Lines as they were read."""
     lines.select(F.rtrim("line").alias("value")).write.option("compression", "gzip").text(path)
@@ -130,6 +146,16 @@ def write_report(rows: DataFrame, path: str) -> None:
     top.coalesce(1).unionAll(body.coalesce(1)).coalesce(1).write.text(path)
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of that very name (a map, a result), written by the driver."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(jvm_path, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """K14."""
     rows.write.mode("append").json(path)
