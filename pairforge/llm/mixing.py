@@ -15,8 +15,8 @@ wanted size, the mix is that much smaller. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,14 +63,14 @@ def water_fill(weights: list[float], limits: list[int], size: int) -> list[int]:
     size = min(size, sum(limits[i] for i in live))
     # The water level rises to the limits in the order of limit / weight; what passes a limit is clamped, one sort for all.
     live.sort(key=lambda i: (limits[i] / weights[i], i))
-    left, total = size, math.fsum(weights[i] for i in live)
+    left, total = size, list(accumulate(weights[i] for i in reversed(live)))[::-1]  # weights from each one on
     for n, i in enumerate(live):
-        if left * weights[i] < limits[i] * total:
+        if left * weights[i] < limits[i] * total[n]:
             for j in live[n:]:
-                amount[j] = left * weights[j] / total
+                amount[j] = left * weights[j] / total[n]
             break
         amount[i] = limits[i]
-        left, total = left - limits[i], total - weights[i]
+        left -= limits[i]
     whole = [int(a) for a in amount]
     # Largest remainder; ties by position. A clamped entry has no remainder, so no limit is passed.
     rest = sorted((i for i in range(len(amount)) if amount[i] > whole[i]), key=lambda i: (whole[i] - amount[i], i))

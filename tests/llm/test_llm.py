@@ -164,6 +164,41 @@ def test_suffix_automaton(query, entry):
         assert n == want and (n == 0 or q[end - n : end] == "".join(entry[i + 1 - n : i + 1]))
 
 
+def test_ends_of_joining_and_cut_words():
+    texts = ["The set ships with the sanding block and the hostel kitchen. It is sorry to read that. " + "Parts that break say that shops that sell them know that it is so. " * 4] * 30
+    model = pairs.EndModel(texts, [])
+    for text in ("The part helped a lot. Because spare parts that", "The set ships with the hostel kit", "The set ships with the sand", "先看皮带，再看木板，如果"):
+        assert pairs.truncated(text, [], model), text
+    for text in ("It is sorry to read that", "The set ships with the hostel kitchen", "It was cold. [edited]"):
+        assert not pairs.truncated(text, [], model), text
+
+
+def test_long_refusals_and_padded_stand_ins():
+    assert pairs.is_empty(" " * 90 + "n/a" + "\u00a0" * 90) and not pairs.is_empty("n/a " + "word " * 30)
+    text = "很抱歉，" + "关于这个问题以及与之相关的所有其他问题，" * 2 + "我无法回答。"
+    assert pairs.RefusalAutomaton().refuses(text, text.lower())
+
+
+def test_ledger_lives_on(spark, tmp_path):
+    """Day 2 opens the ledger in another session, reads only its own batch, and a failed merge changes nothing."""
+    rows = lambda a, b: spark.range(a, b).select(F.unhex(F.md5((F.col("id") % 7).cast("string"))).alias("key"), "id")
+    first = copies.CopyLedger(spark, str(tmp_path / "ledger"), 3)
+    first.merge(rows(0, 50))
+    first.close()
+    other = spark.newSession()
+    day2 = copies.CopyLedger.open(other, str(tmp_path / "ledger"))
+    assert (day2.version, day2.buckets) == (1, 3) and "Exchange" not in day2.table.groupBy("key").count()._jdf.queryExecution().executedPlan().toString().split("HashAggregate")[1]
+    with pytest.raises(Exception):
+        day2.merge(other.range(1).select(F.raise_error(F.lit("lost")).cast("binary").alias("key"), "id"))
+    again = copies.CopyLedger.open(other, str(tmp_path / "ledger"))
+    again.merge(other.createDataFrame(rows(50, 99).toPandas()))
+    got = {(bytes(r.key), r.n_copies, r.first_id) for r in again.close().collect()}
+    want = {(bytes(r.key), r.n, r.f) for r in rows(0, 99).groupBy("key").agg(F.count("id").alias("n"), F.min("id").alias("f")).collect()}
+    assert got == want and not [t for t in other.catalog.listTables() if t.name.startswith(again.name)]
+    with pytest.raises(FileNotFoundError):
+        copies.CopyLedger.open(spark, str(tmp_path / "none"))
+
+
 # 3. Neighbours
 
 
@@ -257,6 +292,24 @@ def test_search_recall(spark, sf):
     assert len(got) == len(want) and len(got & want) / len(want) >= 0.99
 
 
+def test_small_blocks_below_the_sample(spark):
+    """Leaves that the sample cannot split are cut by planes; the descent joins what blocks part."""
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(8, 12))[rng.integers(0, 8, 1500)] + 0.5 * rng.normal(size=(1500, 12))).astype(np.float64)
+    tree = neighbours.fit_tree(x[:40] / np.linalg.norm(x[:40], axis=1, keepdims=True), 1500 / 40, 50, np.random.default_rng(1))
+    blocks = tree.block_of(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert tree.bits.max() > 0 and 0 <= blocks.min() and blocks.max() < tree.blocks and len(set(blocks)) > 16
+    got = {(r.id, r.nbr) for r in neighbours.nearest(vectors(spark, x.astype(np.float32)), block=100).collect()}
+    want = brute_lists(np.arange(1500), x.astype(np.float32).astype(np.float64), 5)
+    assert len(got) == 7500 and len(got & want) / len(want) >= 0.93
+
+
+def test_parallel_vectors_go_by_id(spark):
+    x = [[1.0, 2.0, 0.5]] * 1 + [[2.0**i, 2.0 ** (i + 1), 2.0 ** (i - 1)] for i in range(1, 40)]
+    got = {(r.id, r.nbr) for r in neighbours.nearest(vectors(spark, x)).collect()}
+    assert got == brute_lists(np.arange(40), np.array(x), 5)
+
+
 # 4. Mixing
 
 
@@ -294,6 +347,14 @@ def test_mix(spark):
     assert nothing == [] and mixing.mix(df, nothing).count() == 0
 
 
+def test_water_level_of_many_sources():
+    import time
+
+    n, began = 200_000, time.time()
+    got = mixing.water_fill([1.0 + i % 7 for i in range(n)], [i % 11 for i in range(n)], 500_000)
+    assert sum(got) == 500_000 and all(0 <= g <= i % 11 for i, g in enumerate(got)) and time.time() - began < 20
+
+
 # 5. Packing
 
 
@@ -407,10 +468,20 @@ def test_leaks_edge_cases(spark):
         got = leaks.find_matches(d.coalesce(1), i, shard_units=size).collect()
         assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(docs, items)
         assert next(r.matched for r in got if (r.doc_id, r.item_id) == (3, 1)) == 13
+    whole = rows(leaks.find_matches(d, i.dropDuplicates(["item_id"])).select("doc_id", "item_id", "matched"))
+    assert rows(leaks.find_matches(d, i.dropDuplicates(["item_id"]), item_chars=60).select("doc_id", "item_id", "matched")) == whole  # in several blocks of items
     assert {r.doc_id for r in leaks.remove_leaked(d, leaks.find_matches(d, i)).collect()} == {2, 4, 5, 7, 11}
     assert leaks.find_matches(d.limit(0), i).count() == 0 and leaks.find_matches(d, i.limit(0)).count() == 0
 
 
+def test_repetitive_leaks(spark):
+    """A passage that repeats itself in item and document, in many documents, and its longest match."""
+    item = " ".join(["a b"] * 60)
+    docs = [(k, f"x{k} " + " ".join(["a b"] * 40) + " y") for k in range(30)]
+    got = leaks.find_matches(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame([(1, "en", item)], "item_id BIGINT, lang STRING, text STRING")).collect()
+    assert len(got) == 30 and all((r.matched, r.doc_pos, r.item_pos) == (80, 1, 0) for r in got)
+
+
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_suffix_array(units):
