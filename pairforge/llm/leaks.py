@@ -1,7 +1,7 @@
 """Problem 7: evaluation texts inside training texts, by suffix arrays over shards of the corpus.
 
-A shard holds the words (or, for items in Chinese, the characters) of some whole documents as one array of integers, with
-a separator that matches nothing after each. Its suffix array is made by prefix doubling, up to a depth that covers the
+A shard holds the words (or, for items in Chinese, the characters) of some whole documents as one array of integers: all
+stretches of units that occur in items and are long enough for a match, with a separator that matches nothing after each. Its suffix array is made by prefix doubling, up to a depth that covers the
 least match. Every suffix of every item is then binary-searched in every shard: the range of corpus suffixes that share
 its first `least` units gives the documents, and extending a match on both texts gives the longest verbatim match.
 
@@ -119,12 +119,13 @@ class _Needles:
         return np.array([get(u, 0) for u in units], dtype=np.int64)
 
 
-def _search(docs: list[tuple[int, np.ndarray]], needles: _Needles) -> list[tuple[int, int, int, int, int]]:
-    """(doc, item, matched, item_pos, doc_pos): the longest match of each pair in a shard of encoded documents."""
-    lengths = np.array([len(u) for _, u in docs])
+def _search(docs: list[tuple[int, int, int, np.ndarray]], needles: _Needles) -> list[tuple[int, int, int, int, int]]:
+    """(doc, item, matched, item_pos, doc_pos): the longest match of each pair in a shard of stretches (number of the document, its id, place, units)."""
+    lengths = np.array([len(u) for *_, u in docs])
+    number, place = np.array([d[0] for d in docs]), np.array([d[2] for d in docs])
     starts = np.concatenate(([0], np.cumsum(lengths + 1)))
     units = np.full(starts[-1], -2, dtype=np.int64)  # -2: separator
-    for (_, u), s in zip(docs, starts):
+    for (*_, u), s in zip(docs, starts):
         units[s : s + len(u)] = u
     lo, hi = _bounds(units, order := suffix_array(units, needles.least), needles.flat, needles.at, needles.least)
     out = []
@@ -142,11 +143,11 @@ def _search(docs: list[tuple[int, np.ndarray]], needles: _Needles) -> list[tuple
         first = np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] - s[1:] != p[:-1] - s[:-1]) | (s[1:] != s[:-1] + 1)))
         at = np.flatnonzero(first)
         length = np.diff(np.append(at, len(s))) + needles.least - 1
-        d, s, p = d[at], s[at], p[at]
-        by = np.lexsort((p, s, -length, d))
+        d, s, p = d[at], s[at], p[at] + place[d[at]]
+        by = np.lexsort((p, s, -length, number[d]))
         d, s, p, length = d[by], s[by], p[by], length[by]
-        one = np.concatenate(([True], d[1:] != d[:-1]))
-        out += [(docs[i][0], needles.items[k][0], *m) for i, *m in zip(d[one].tolist(), length[one].tolist(), s[one].tolist(), p[one].tolist())]
+        one = np.concatenate(([True], number[d[1:]] != number[d[:-1]]))
+        out += [(docs[i][1], needles.items[k][0], *m) for i, *m in zip(d[one].tolist(), length[one].tolist(), s[one].tolist(), p[one].tolist())]
     return out
 
 
@@ -161,8 +162,8 @@ def _scanner(items, least_words: int, least_chars: int, shard_units: int):
             kinds = [(_Needles(own, least), cut) for own, least, cut in ((words, least_words, words_of), (chars, least_chars, chars_of)) if own]
             items.value["kinds"] = [(n, cut) for n, cut in kinds if len(n.where)]
         kinds = items.value["kinds"]
-        shards: list[list[tuple[int, np.ndarray]]] = [[] for _ in kinds]
-        sizes = [0] * len(kinds)
+        shards: list[list[tuple[int, int, int, np.ndarray]]] = [[] for _ in kinds]
+        sizes, number = [0] * len(kinds), 0
 
         def flush(i: int) -> Iterator[pd.DataFrame]:
             if shards[i]:
@@ -178,13 +179,15 @@ def _scanner(items, least_words: int, least_chars: int, shard_units: int):
                     if needles.never_ascii and text.isascii():
                         continue
                     units = needles.encode(cut(text))
-                    # A match is a run of units of items; without one that is long enough there is none.
-                    breaks = np.flatnonzero(units == 0)
-                    if len(units) and np.diff(breaks, prepend=-1, append=len(units)).max() > needles.least:
-                        shards[i].append((doc, units))
-                        sizes[i] += len(units) + 1
-                        if sizes[i] >= shard_units:
-                            yield from flush(i)
+                    # A match lies in a stretch of units that occur in items; the others part the text, and short stretches match nothing.
+                    breaks = np.flatnonzero(np.concatenate(([0], units, [0])) == 0)
+                    long = np.flatnonzero(np.diff(breaks) > needles.least)
+                    for a, b in zip(breaks[long].tolist(), (breaks[long + 1] - 1).tolist()):
+                        shards[i].append((number, doc, a, units[a:b]))
+                        sizes[i] += b - a + 1
+                    if sizes[i] >= shard_units:
+                        yield from flush(i)
+                number += 1
         for i in range(len(kinds)):
             yield from flush(i)
 
