@@ -116,6 +116,24 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(packing.pack(packing.items_of(table(spark, sf_dir, "normalised"))))
 
 
+@LLM.query(
+    "p5_invariants",
+    oracle="""WITH i AS (SELECT coalesce(source, '') AS source, coalesce(list_sum(list_transform(pos, lambda x: coalesce(length(x), 0))), 0) AS n FROM normalised)
+    SELECT source, count(*) AS items, CAST(sum(greatest(1, ceil(n / 2048))) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS chars, 0 AS over_full, 0 AS cut_short, true AS tight FROM i GROUP BY 1""",
+)
+def p5_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the packing: nothing lost or doubled, no container over its room, no item cut that fits; at most 11 / 9 of the least number of containers and one more."""
+    packed = packing.pack(packing.items_of(table(spark, sf_dir, "normalised")))
+    items = packed.groupBy("source", "id").agg(F.count(F.lit(1)).alias("k"), F.sum("length").alias("n")).groupBy("source").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("k").alias("pieces"), F.sum("n").alias("chars"), F.count_if((F.col("k") > 1) & (F.col("n") <= packing.CAPACITY)).cast("int").alias("cut_short")
+    )
+    used = packed.groupBy("source", "container").agg(F.sum("length").alias("used")).groupBy("source").agg(
+        F.count(F.lit(1)).alias("containers"), F.count_if(F.col("used") > packing.CAPACITY).cast("int").alias("over_full")
+    )
+    tight = F.col("containers") <= F.ceil(F.col("chars") / packing.CAPACITY) * 11 / 9 + 1
+    return items.join(used, "source").select("source", "items", "pieces", "chars", "over_full", "cut_short", tight.alias("tight"))
+
+
 _LEAKS = r"""
 WITH cut AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w, regexp_replace(lower(text), '[^\pL\pN]+', '', 'g') AS c FROM documents
@@ -158,6 +176,23 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "documents"))
 
 
+@LLM.query("p8_invariants", oracle="SELECT 0 AS too_long, 0 AS wrong_overlap, 0 AS not_from_start, 0 AS not_to_end, 0 AS elsewhere")
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pieces: none over the limit, neighbours share 64 to 67 tokens, a text's pieces cover it, and each is a part of it."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"))
+    pieces = splitting.split_documents(table(spark, sf_dir, "documents")).join(documents, "doc_id")
+    by = "OVER (PARTITION BY doc_id ORDER BY piece_no)"
+    pieces = pieces.withColumn("shared", F.expr(f"lag(token_end) {by} - token_start")).withColumn("is_last", F.expr(f"lead(piece_no) {by} IS NULL"))
+    bad = lambda c: F.count_if(c).cast("int")
+    return pieces.agg(
+        bad((F.col("n_tokens") > splitting.LIMIT) | (F.col("n_tokens") != F.col("token_end") - F.col("token_start"))).alias("too_long"),
+        bad((F.col("piece_no") > 0) & ~F.col("shared").between(splitting.OVERLAP, splitting.OVERLAP + 3)).alias("wrong_overlap"),
+        bad((F.col("piece_no") == 0) & ((F.col("token_start") != 0) | ~F.startswith("whole", "text"))).alias("not_from_start"),
+        bad(F.col("is_last") & ~F.endswith("whole", "text")).alias("not_to_end"),
+        bad(F.instr("whole", F.col("text")) == 0).alias("elsewhere"),
+    )
+
+
 @LLM.query(
     "p3_found",
     oracle="""
@@ -175,13 +210,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_pairs(table(spark, sf_dir, "text_vectors"))
 
 
-@LLM.query("p3_search")
+@LLM.query(
+    "p3_search",
+    oracle="""
+WITH v AS (
+  SELECT vec_id, CAST(vector AS DOUBLE[]) AS x FROM text_vectors
+  WHERE vector IS NOT NULL AND len(list_filter(vector, lambda a: a <> 0)) > 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS nbr, round(list_cosine_similarity(a.x, b.x), 9) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (SELECT query_id, nbr, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, nbr) AS rank FROM s)
+SELECT query_id, nbr, floor(sim * 1e6 + 0.5) / 1e6 AS sim, rank FROM r WHERE rank <= 5""",
+)
 def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "text_vectors")
     graph = neighbours.build_graph(vectors)
     if graph is None:
-        return spark.createDataFrame([], "query_id BIGINT, nbr BIGINT, sim DOUBLE, rank INT")
-    return neighbours.search_members(graph, graph.all_members().filter("id % 50 = 0"))
+        return spark.createDataFrame([], "query_id BIGINT, nbr BIGINT, sim DOUBLE, rank BIGINT")
+    found = neighbours.search_members(graph, graph.all_members().filter("id % 50 = 0"))
+    return found.select("query_id", "nbr", (F.floor(F.col("sim") * 1e6 + 0.5) / 1e6).alias("sim"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @LLM.query("p2_found")
