@@ -91,13 +91,16 @@ def chunkify(rows: DataFrame, size: int = 64, look_ahead: int = 3, split_rows: i
     """(domain, part, chunk_no, place, ord) of rows (domain, ord, query, pos and, if there, query_image, pos_image).
 
     In a chunk no query, no query image and no positive text or image occurs twice; empty ones never collide. Rows that
-    collide wait for a later chunk; all rows come out once, partial chunks too. A domain is filled in the order of ord;
-    one of over split_rows rows is first split into parts by a digest of ord, so that no task holds a hot domain.
+    collide wait for a later chunk; all rows come out once, partial chunks too. A domain is filled in the order of ord, and
+    begins anew every split_rows rows, so that no task holds a hot domain.
     """
     extra = {"query_image": F.lit(None).cast("string"), "pos_image": F.array().cast("array<string>")}
     full = rows.withColumns({c: v for c, v in extra.items() if c not in rows.columns})
-    sizes = full.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / split_rows).alias("_parts"))
-    full = full.join(small(sizes), "domain").withColumn("part", F.pmod(F.xxhash64("ord"), F.col("_parts")))
+    largest = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > split_rows:
+        full = place_in_group(full, ["domain"], "ord", [], "_at").withColumn("part", F.floor(F.col("_at") / split_rows))
+    else:
+        full = full.withColumn("part", F.lit(0).cast("bigint"))
     cut = full.select("domain", "part", "ord", *_CHUNK_FIELDS).repartition("domain", "part").sortWithinPartitions("domain", "part", "ord")
     return cut.mapInPandas(_chunker(size, look_ahead), "domain STRING, part BIGINT, chunk_no BIGINT, place INT, ord BIGINT")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.rand import det_key, key_int
+from pairforge.operators.enrich import small
 from pairforge.operators.order import with_ordinal
 from pairforge.operators.skew import hot_join
 
@@ -66,7 +67,7 @@ def topped_negatives(records: DataFrame, n_easy: int, n_medium: int, n_hard: int
     blocks = texts.filter(F.octet_length("owner") > 0).groupBy(F.unhex(F.md5(F.concat_ws("|", F.hex("owner"), "source"))).alias("of")).agg(span.alias("block"))
     places = texts.groupBy("t").agg(F.sort_array(F.collect_list(F.struct(F.col("ord0").alias("at"), F.lit(1).cast("bigint").alias("n"), "source"))).alias("places"))  # one for each source at most
     asked = hot_join(asked, asked.select("of").distinct().join(blocks, "of", "left"), "of")
-    asked = hot_join(asked, asked.select("t").distinct().join(places, "t", "left"), "t").join(F.broadcast(spans), "source", "left")
+    asked = hot_join(asked, asked.select("t").distinct().join(places, "t", "left"), "t").join(small(spans), "source", "left")
 
     kind = "array<struct<at:bigint,n:bigint>>"
     everywhere = F.coalesce(F.transform("places", lambda x: F.struct(x["at"], x["n"])).cast(kind), F.array().cast(kind))

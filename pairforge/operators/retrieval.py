@@ -256,6 +256,59 @@ def score_features(pairs: DataFrame, hidden: np.ndarray, out: np.ndarray, gain:
     return pairs.select("query_id", "id", "features").mapInPandas(run, f"query_id {types['query_id']}, id {types['id']}, score DOUBLE")
 
 
+def _norm(x: np.ndarray, gain: np.ndarray, bias: np.ndarray, eps: float = 1e-5) -> np.ndarray:
+    return (x - x.mean(axis=-1, keepdims=True)) / np.sqrt(x.var(axis=-1, keepdims=True) + eps) * gain + bias
+
+
+def task_heads(rows: DataFrame, heads: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """(id, vector) of (id, task_id, vector): each row through its task's head, a residual layer under a layer norm.
+
+    heads: for each task id the weights in (hidden x size) and out (size x hidden), gain and bias. A row whose task has no head
+    gives zeros; a null vector stays null.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list = [None] * len(b)
+            some = np.flatnonzero(b["vector"].notna())
+            if len(some):
+                x, task = _matrix(b["vector"].iloc[some]), b["task_id"].iloc[some].to_numpy()
+                y = np.zeros_like(x)
+                for t, (w1, w2, gain, bias) in heads.items():
+                    own = task == t
+                    y[own] = _norm(np.maximum(x[own] @ w1.T, 0) @ w2.T + x[own], gain, bias)
+                for i, v in zip(some, y):
+                    out[i] = v
+            yield pd.DataFrame({"id": b["id"], "vector": out})
+
+    return rows.select("id", "task_id", "vector").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, vector ARRAY<DOUBLE>")
+
+
+def pool_patches(rows: DataFrame, size: int, side: int, gate: np.ndarray, out: np.ndarray, gain: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """V25, without the image network: (id, vector) of (id, patches), patches being a square grid of vectors of `size` numbers, row by row.
+
+    The grid is averaged down to side x side cells (a cell takes all patches that it touches), each cell is gated by itself,
+    projected and normed. Grids of another shape than a square raise.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for p in b["patches"]:
+                x = np.asarray(p, dtype=np.float64).reshape(-1, size)
+                n = int(len(x) ** 0.5)
+                if n * n != len(x):
+                    raise ValueError(f"{len(x)} patches are no square")
+                cells = [
+                    x.reshape(n, n, size)[i * n // side : -(-(i + 1) * n // side), j * n // side : -(-(j + 1) * n // side)].mean(axis=(0, 1)) for i in range(side) for j in range(side)
+                ]
+                c = np.array(cells)
+                found.append(_norm((c / (1 + np.exp(-(c @ gate.T)))) @ out.T, gain, bias).ravel())
+            yield pd.DataFrame({"id": b["id"], "vector": found})
+
+    return rows.select("id", "patches").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, vector ARRAY<DOUBLE>")
+
+
 def rerank(scored: DataFrame, k: int = 100) -> DataFrame:
     """The k best by score (to nine digits, ties by id), ranked anew."""
     ranked = scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1e9) DESC, id)"))

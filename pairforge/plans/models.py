@@ -75,6 +75,45 @@ def rank_by_states(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.rerank(scored, 3).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), vx.round6(F.col("score")).alias("score"))
 
 
+def _heads() -> dict:
+    """Heads of three tasks over 8 numbers, by a formula both engines know."""
+    w1 = lambda t: np.array([[math.sin(t * 32 + i * 8 + j + 1) for j in range(8)] for i in range(4)])
+    w2 = lambda t: np.array([[math.cos(t * 32 + i * 4 + j + 1) for j in range(4)] for i in range(8)])
+    return {t: (w1(t), w2(t), np.ones(8), np.zeros(8)) for t in range(3)}
+
+
+_NORMED = "list_transform({h}, lambda v: floor((v - list_avg({h})) / sqrt(list_avg(list_transform({h}, lambda u: (u - list_avg({h})) ** 2)) + 1e-5) * 1e6 + 0.5) / 1e6)"
+
+
+@CORE.query(
+    "task_gated_head", "V24",
+    oracle=E + """, r AS (SELECT id, label % 4 AS t, x[1:8] AS x FROM e
+    ), a AS (SELECT *, list_transform(range(4), lambda i: greatest(0.0, list_sum(list_transform(range(8), lambda j: x[j + 1] * sin(t * 32 + i * 8 + j + 1))))) AS a FROM r
+    ), h AS (SELECT *, list_transform(range(8), lambda i: x[i + 1] + list_sum(list_transform(range(4), lambda j: a[j + 1] * cos(t * 32 + i * 4 + j + 1)))) AS h FROM a)
+    SELECT id, CASE WHEN t < 3 THEN """ + _NORMED.format(h="h") + """ ELSE list_transform(range(8), lambda i: 0.0::DOUBLE) END AS vector FROM h""",
+)
+def task_gated_head(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _corpus(spark, sf).select("id", (F.col("label") % 4).alias("task_id"), F.slice("vector", 1, 8).alias("vector"))
+    return retrieval.task_heads(rows, _heads()).select("id", F.transform("vector", vx.round6).alias("vector"))
+
+
+@CORE.query(
+    "image_features", "V25",
+    oracle=E + """, c AS (SELECT id, cell, list_transform(range(1, 5), lambda d: (x[(cell // 2 * 8 + cell % 2 * 2) * 4 + d] + x[(cell // 2 * 8 + cell % 2 * 2 + 1) * 4 + d] + x[(cell // 2 * 8 + cell % 2 * 2 + 4) * 4 + d] + x[(cell // 2 * 8 + cell % 2 * 2 + 5) * 4 + d]) / 4) AS c
+      FROM (SELECT *, unnest(range(4)) AS cell FROM e)
+    ), g AS (SELECT id, cell, list_transform(range(4), lambda i: c[i + 1] / (1 + exp(-list_sum(list_transform(range(4), lambda j: c[j + 1] * sin(i * 4 + j + 1)))))) AS g FROM c
+    ), h AS (SELECT id, cell, list_transform(range(3), lambda i: list_sum(list_transform(range(4), lambda j: g[j + 1] * cos(i * 4 + j + 1)))) AS h FROM g
+    ), n AS (SELECT id, cell, """ + _NORMED.format(h="h") + """ AS n FROM h)
+    SELECT id, flatten(list(n ORDER BY cell)) AS vector FROM n GROUP BY id""",
+)
+def image_features(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector as a grid of 4 x 4 patches of 4 numbers, pooled to 2 x 2 cells, gated and projected to 3 numbers each."""
+    gate = np.array([[math.sin(i * 4 + j + 1) for j in range(4)] for i in range(4)])
+    out = np.array([[math.cos(i * 4 + j + 1) for j in range(4)] for i in range(3)])
+    rows = _corpus(spark, sf).select("id", F.col("vector").alias("patches"))
+    return retrieval.pool_patches(rows, 4, 2, gate, out, np.ones(3), np.zeros(3)).select("id", F.transform("vector", vx.round6).alias("vector"))
+
+
 @CORE.query(
     "predict_pairs", "V14", "F62",
     oracle="""WITH p AS (SELECT rec_id, i - 1 AS pos_no, query, pos[i] AS text FROM (SELECT *, unnest(range(1, len(pos) + 1)) AS i FROM normalised)

@@ -128,3 +128,16 @@ def test_keys_of_parameters(spark):
 def test_pair_scores_of_nulls(spark):
     rows = spark.createDataFrame([("a b", "b c"), (None, "x"), ("x", None), ("", "")], "query STRING, text STRING")
     assert [None if r.score is None else round(r.score, 4) for r in retrieval.predict_pairs(rows, batch=2).collect()] == [0.3333, None, None, 0.0]
+
+
+def test_chunks_of_a_hot_domain_in_runs(spark):
+    """A domain of more than split_rows rows is chunked run by run; the same rule leaves a smaller one whole."""
+    from pairforge.operators import batching
+
+    rows = spark.range(95).select(F.lit("d").alias("domain"), (F.col("id") * 3).alias("ord"), F.concat(F.lit("q"), F.col("id") % 60).alias("query"), F.array(F.concat(F.lit("p"), "id")).alias("pos"))
+    got = batching.chunkify(rows, size=8, split_rows=40).collect()
+    assert sorted(r.ord for r in got) == [i * 3 for i in range(95)] and {r.part for r in got} == {0, 1, 2}
+    for part in range(3):
+        own = rows.filter((F.col("ord") >= part * 120) & (F.col("ord") < part * 120 + 120))
+        alone = batching.chunkify(own, size=8)
+        assert sorted((r.chunk_no, r.place, r.ord) for r in got if r.part == part) == sorted((r.chunk_no, r.place, r.ord) for r in alone.collect())

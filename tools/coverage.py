@@ -13,7 +13,7 @@ from pairforge.plans import load  # noqa: E402
 from pairforge.registry import CORE  # noqa: E402
 
 #: Declared as not ported: the network, its kernels and training, pixel codecs, a debug printer, memory-mapped weights.
-OUTSIDE = {"V18", "V24", "V25", "V27", "V28", "V29", "V30", "V34", "K10", "F56", "S17"}
+OUTSIDE = {"V18", "V27", "V28", "V29", "V30", "V34", "K10", "F56", "S17"}
 
 
 def ids_in(text: str) -> set[str]:
