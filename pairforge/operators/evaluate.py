@@ -85,7 +85,7 @@ def running_mean(rows: DataFrame, group: str, by: str, tie: str, value: str, sca
     """
     from pairforge.operators.order import number_buckets
 
-    cut = rows.withColumn("_b", number_buckets(rows, by)).withColumn("_v", F.round(F.col(value) * scale).cast("bigint"))
+    cut = number_buckets(rows, by).withColumn("_v", F.round(F.col(value) * scale).cast("bigint"))
     sums = cut.groupBy(group, "_b").agg(F.coalesce(F.sum("_v"), F.lit(0)).alias("_s"), F.count("_v").alias("_c"))
     past = f"OVER (PARTITION BY {group} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     carried = sums.select(group, "_b", F.expr(f"coalesce(sum(_s) {past}, 0)").alias("_s0"), F.expr(f"coalesce(sum(_c) {past}, 0)").alias("_c0"))
@@ -99,7 +99,7 @@ def previous(rows: DataFrame, group: str, by: str, tie: str, out: str = "previou
     """The value of `by` in the row before, in the order of by and tie; over bucket borders the largest of the buckets before."""
     from pairforge.operators.order import number_buckets
 
-    cut = rows.withColumn("_b", number_buckets(rows, by))
+    cut = number_buckets(rows, by)
     tops = cut.groupBy(group, "_b").agg(F.max(by).alias("_top"))
     carried = tops.select(group, "_b", F.expr(f"max(_top) OVER (PARTITION BY {group} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").alias("_last"))
     own = cut.withColumn("_lag", F.expr(f"lag({by}) OVER (PARTITION BY {group}, _b ORDER BY {by}, {tie})")).join(carried, [group, "_b"])

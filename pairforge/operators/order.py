@@ -37,7 +37,7 @@ MOST_CUTS = 10_000
 def number_buckets(df: DataFrame, by: str, rows: DataFrame | None = None) -> DataFrame:
     """Adds `_b`, a bucket from 0, to df: ranges of the number `by` that hold about as many of `rows` (default: df) each, as many as the shuffle has partitions.
 
-    Cuts are approximate quantiles, so values that bunch up are parted as finely as they differ.
+    Cuts are approximate quantiles, so values that bunch up are parted as finely as they differ. Nulls come first.
     """
     from pyspark.ml.feature import Bucketizer
 
@@ -48,7 +48,7 @@ def number_buckets(df: DataFrame, by: str, rows: DataFrame | None = None) -> Dat
     if len(splits) < 3:
         return df.withColumn("_b", F.lit(0))
     cut = Bucketizer(splits=splits, inputCol="_by", outputCol="_bucket", handleInvalid="keep")
-    return cut.transform(df.withColumn("_by", F.col(by).cast("double"))).withColumn("_b", F.col("_bucket").cast("int")).drop("_by", "_bucket")
+    return cut.transform(df.withColumn("_by", F.col(by).cast("double"))).withColumn("_b", F.when(F.col(by).isNull(), 0).otherwise(F.col("_bucket").cast("int") + 1)).drop("_by", "_bucket")
 
 
 def place_in_group(df: DataFrame, group: list[str], by: str, tie: list[str], name: str = "place") -> DataFrame:
