@@ -176,7 +176,8 @@ def test_ends_of_joining_and_cut_words():
 def test_long_refusals_and_padded_stand_ins():
     assert pairs.is_empty(" " * 90 + "n/a" + "\u00a0" * 90) and not pairs.is_empty("n/a " + "word " * 30)
     text = "很抱歉，" + "关于这个问题以及与之相关的所有其他问题，" * 2 + "我无法回答。"
-    assert pairs.RefusalAutomaton().refuses(text, text.lower())
+    for t in (text, pairs.clean("非常遗憾，这个请求我帮 不上忙。您还有其他问 题吗？"), "Je\nsuis désolé,\nmais\nje dois\nrefuser d'en parler."):
+        assert pairs.RefusalAutomaton().refuses(t, t.lower())
 
 
 def test_ledger_lives_on(spark, tmp_path):
