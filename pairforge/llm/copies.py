@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.session import drop_dir, path_exists, staged, work_dir
+from pairforge.sources.jsonl import write_file
 
 #: Left out of every text: white space of any kind (no-break and zero-width included) and Unicode punctuation.
 IGNORED = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}\x{180e}\x{200b}-\x{200d}\x{2060}\x{feff}\p{P}]+"
@@ -61,7 +62,7 @@ class CopyLedger:
         if not path_exists(spark, f"{path}/marker"):
             raise FileNotFoundError(f"no ledger in {path}")
         ledger = cls(spark, path)
-        ledger.version, ledger.buckets = spark.read.schema("version INT, buckets INT").parquet(f"{path}/marker").orderBy(F.desc("version")).first()
+        ledger.version, ledger.buckets = spark.read.schema("version INT, buckets INT").json(f"{path}/marker").orderBy(F.desc("version")).first()
         name = f"{ledger.name}_{ledger.version}"
         spark.sql(f"CREATE TABLE {name} ({cls.COLUMNS}) USING parquet CLUSTERED BY (key) INTO {ledger.buckets} BUCKETS LOCATION '{path}/v{ledger.version}'")
         ledger.table = spark.table(name)
@@ -78,8 +79,7 @@ class CopyLedger:
         name = f"{self.name}_{self.version}"
         drop_dir(self.spark, f"{self.path}/v{self.version}")  # what a failed merge may have left
         df.write.bucketBy(self.buckets, "key").option("path", f"{self.path}/v{self.version}").saveAsTable(name)
-        marker = self.spark.createDataFrame([(self.version, self.buckets)], "version INT, buckets INT")
-        marker.coalesce(1).write.mode("append").parquet(f"{self.path}/marker")
+        write_file(self.spark, f"{self.path}/marker/v{self.version}.json", f'{{"version": {self.version}, "buckets": {self.buckets}}}')
         self.table = self.spark.table(name)
         if old:
             self.spark.sql(f"DROP TABLE {self.name}_{old}")
