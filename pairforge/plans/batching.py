@@ -109,14 +109,15 @@ def _batched(spark: SparkSession, sf: str, size: int) -> DataFrame:
     return batching.microbatches(order.with_ordinal(x, "doc_id"), size)
 
 
-@CORE.query(
-    "batch_pad", "F61", "A28",
-    oracle=f"""WITH n AS (SELECT doc_id, least(coalesce(octet_length(encode(text)), 0), {8 * CTX}) AS own, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch_id, count(*) OVER () AS total FROM documents
-    ), s AS (SELECT *, CASE WHEN own > {CTX - 2} THEN CAST(ceil(own / {CTX}) AS INTEGER) ELSE 1 END AS splits FROM n WHERE (batch_id + 1) * 32 <= total
+def _pad_sql(kept: str) -> str:
+    return f"""WITH n AS (SELECT doc_id, least(coalesce(octet_length(encode(text)), 0), {8 * CTX}) AS own, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch_id, count(*) OVER () AS total FROM documents
+    ), s AS (SELECT *, CASE WHEN own > {CTX - 2} THEN CAST(ceil(own / {CTX}) AS INTEGER) ELSE 1 END AS splits FROM n WHERE {kept}
     ), l AS (SELECT batch_id, doc_id, 2 * splits AS k, CASE WHEN own < {CHUNK} THEN 2 * (own + 1) ELSE own + 2 * splits END AS len FROM s
     ), w AS (SELECT *, max(k) OVER (PARTITION BY batch_id) AS most, max(len) OVER (PARTITION BY batch_id) AS longest FROM l)
-    SELECT batch_id, doc_id, CAST(greatest(len + most - k, longest) AS INTEGER) AS n_ids, CAST(most AS INTEGER) AS n_eos, CAST(k AS INTEGER) AS n_on FROM w""",
-)
+    SELECT batch_id, doc_id, CAST(greatest(len + most - k, longest) AS INTEGER) AS n_ids, CAST(most AS INTEGER) AS n_eos, CAST(k AS INTEGER) AS n_on FROM w"""
+
+
+@CORE.query("batch_pad", "F61", "A28", oracle=_pad_sql("(batch_id + 1) * 32 <= total"))
 def batch_pad(spark: SparkSession, sf: str) -> DataFrame:
     b = _batched(spark, sf, 32)
     w = b.groupBy("batch_id").agg(F.max(F.size("x.ids")).alias("longest"), F.max(F.size("x.eos_mask")).alias("most"))
@@ -128,7 +129,7 @@ def _padded(b: DataFrame) -> DataFrame:
     return full.select("batch_id", "doc_id", F.size("p.ids").alias("n_ids"), F.size("p.eos_mask").alias("n_eos"), F.size(F.filter("p.eos_mask", lambda m: m)).alias("n_on"))
 
 
-@CORE.query("batch_pad_all", "F61", "A28")
+@CORE.query("batch_pad_all", "F61", "A28", oracle=_pad_sql("true"))
 def batch_pad_all(spark: SparkSession, sf: str) -> DataFrame:
     """Batches as an evaluation makes them: the last one may be smaller, and no document is left out."""
     # Texts are numbered and moved, not their tokens, which are several times as large.
