@@ -75,7 +75,7 @@ def compress_names(params: DataFrame) -> DataFrame:
     return grouped.select(F.when((F.col("rest") != "") & (F.size("blocks") > 0), full).otherwise(F.col("prefix")).alias("name"))
 
 
-def freeze(params: DataFrame, layers: int, n_layers: int, emb: bool = False, proj: bool = False, vit: bool = False, core: str = "rwkv") -> DataFrame:
+def freeze(params: DataFrame, layers: int, n_layers: int, emb: bool = False, proj: bool = False, vit: bool = False, core: str = "core") -> DataFrame:
     """Adds `trainable`. The first `layers` blocks of the core are frozen, with all layers everything in it; the parts emb, proj and vit on demand."""
     block = F.regexp_extract("key", rf"^{core}\.blocks\.(\d+)\.", 1)
     frozen = F.lit(False) | (F.nullif(block, F.lit("")).cast("int") < layers)
