@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge import jobs
-from pairforge.operators import order, params, retrieval, sampling
+from pairforge.operators import order, params, retrieval, sampling, texts
 from pairforge.sources import jsonl
 
 RECORDS = "rec_id BIGINT, query STRING, pos ARRAY<STRING>, neg ARRAY<STRING>, source STRING"
@@ -41,6 +41,42 @@ def test_mined_texts_against_brute_force(spark, topk):
             assert t not in pos and t != q and ranked[1] - 1e-9 <= dist[t] <= ranked[11] + 1e-9
 
 
+def test_mining_shuffles_no_candidates(spark):
+    """From inverted lists too: the plan after the corpus is written is one pass over the records."""
+    data = [(i, f"a{i} b{i % 7} c{i % 11}", [f"b{i % 5} c{i} d{i % 3}"], [], "s") for i in range(300)]
+    mined = jobs.mine_texts(spark.createDataFrame(data, RECORDS), lo=1, hi=12, negative_number=4, exact_pairs=0)
+    plan = mined._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Window", "FlatMapCoGroups", "Join")) and plan.count("Exchange") <= 1  # the records, dealt out
+    assert {len(set(r.neg)) for r in mined.collect()} == {4}
+
+
+@pytest.mark.parametrize("lists", [1, 9])
+def test_search_in_files_against_brute_force(spark, lists, tmp_path, monkeypatch):
+    """Through first bounds, several groups and pieces; equal texts' ties by key; a bound that is too low is noticed."""
+    monkeypatch.setattr(texts, "GROUP_BYTES", 700 * 32)
+    monkeypatch.setattr(texts, "TILE", 5000)
+    monkeypatch.setattr(texts, "ivf_sizes", lambda n: (lists, 4))
+    rng = np.random.default_rng(3)
+    said = [" ".join(f"w{x}" for x in rng.integers(0, 60, 4)) for _ in range(4000)]
+    enc = retrieval.HashEncoder(8)
+    corpus = texts.TextLists(spark.createDataFrame([(t,) for t in said], "text STRING"), str(tmp_path / "c"), enc, "", 1, 0)
+    assert corpus.n == len(set(said))
+    queries = enc.encode([" ".join(f"w{x}" for x in rng.integers(0, 60, 3)) for _ in range(200)])
+    centres = corpus.centres if lists > 1 else None
+    dist, key, row = texts.search(queries, corpus.files, corpus.lists if lists > 1 else None, centres, min(lists, 4), corpus.n, 20)
+    once = sorted(set(said))
+    own, x = texts.keys_of(once), enc.encode(once)
+    at = np.zeros(len(x), dtype=int) if centres is None else texts.nearest_centres(x, centres, 1)[:, 0]
+    near = np.zeros((len(queries), 1)) if centres is None else texts.nearest_centres(queries, centres, 4)
+    for i, q in enumerate(queries):
+        c = np.flatnonzero(np.isin(at, near[i]))
+        d = texts.distances(np.repeat(q[None], len(c), axis=0), x[c])
+        best = np.lexsort((own[c], np.floor(d * 1e9)))[:20]
+        assert key[i].tolist() == own[c][best].tolist() and np.allclose(dist[i], d[best])
+    places, back = np.unique(row, return_inverse=True)
+    assert texts.keys_of(texts._texts_at(corpus.files, places).take(back.ravel()).to_pylist()).tolist() == key.ravel().tolist()
+
+
 def test_search_in_blocks_equals_one_block(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     q = e.withColumnRenamed("id", "query_id").filter("query_id % 3 = 0")
