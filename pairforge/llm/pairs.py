@@ -9,8 +9,9 @@ in which the first that objects names the defect:
   stretches that it matches must cover the query, and leave a few words of introduction at most.
 - language: votes of stopwords and scripts, against the query's own votes and the language that it asks for.
 - truncated: a delimiter stack that is not closed, a hanging comma or the like, or a last word after which sentences do
-  not end. The last is decided by a model of sentence ends, fitted on a bounded sample of the records (about SAMPLE_ROWS
-  of them, whole): how often each context of one to five words ends a sentence, and which words follow each other.
+  not end. The last is decided by a model of sentence ends, fitted on all records: how often each context of one to five
+  words ends a sentence, and which words follow each other. Its counts are stated for PER_ROWS records, so that their
+  thresholds are shares and the model is bounded by them, however many records there are.
 
 Defined results: records with a null or blank query give nothing; a null or empty pos is one case (pos, 0, empty), a null
 or empty neg none; entries of sources tagged [CLS] can only be empty; repeated rows are judged each; an empty table gives
@@ -19,17 +20,22 @@ no rows; a source that the task table lacks has no tag; other columns are ignore
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.session import spread
+from pairforge.session import spread, staged, work_dir
 
-SAMPLE_ROWS = 6_000
+#: Counts of the model of sentence ends are those of all records, divided to so many.
+PER_ROWS = 6_000
+#: Words of a piece in which contexts are counted.
+PIECE = 3_000_000
 #: Rows of the task table, which goes to every executor.
 MAX_SOURCES = 1_000_000
 #: Longer than any stand-in: without a tag, such a text can only be empty of letters.
@@ -329,9 +335,7 @@ class EndModel:
         n_texts = len(cut)
         cut += [_TOKEN.findall(clean(t)) for t in complete]
         words = Counter(w.lower() for t in cut for w, _ in t)
-        self.known = {w for w, n in words.items() if n >= LEAST + 2}
-        self.seen = {w for w, n in words.items() if n >= (3 if len(w) > 2 else 50)}
-        self.prefixes = {w[:i] for w in self.known if len(w) > 3 for i in range(1, len(w))}
+        self._name(words)
         n: Counter = Counter()
         ends: Counter = Counter()
         self.whole = {w for w, k in Counter(re.sub(r"\s+", " ", t).strip().casefold() for t in texts if len(t) < 60).items() if k >= 3}
@@ -357,6 +361,25 @@ class EndModel:
                 first, second = c.split(" ")
                 self.after.setdefault(first, set()).add(second)
 
+    @classmethod
+    def counted(cls, words: dict[str, float], whole: set[str], contexts: list[tuple[str, float, float]]) -> EndModel:
+        """From counts for PER_ROWS records: words, short texts that repeat, contexts (words, cases, ends)."""
+        model = cls([], [])
+        model._name(words)
+        model.whole = whole
+        model.stats = {c: (n, e) for c, n, e in contexts if n >= LEAST}
+        model.last_pairs = {c for c, _, e in contexts if e >= 1 and c.count(" ") == 1}
+        for c, n, _ in contexts:
+            if n >= 1 and c.count(" ") == 1:
+                first, second = c.split(" ")
+                model.after.setdefault(first, set()).add(second)
+        return model
+
+    def _name(self, words: dict[str, float]) -> None:
+        self.known = {w for w, n in words.items() if n >= LEAST + 2}
+        self.seen = {w for w, n in words.items() if n >= (3 if len(w) > 2 else 50)}
+        self.prefixes = {w[:i] for w in self.known if len(w) > 3 for i in range(1, len(w))}
+
     def mask(self, word: str) -> str:
         low = word.lower()
         return "#" if low[0].isdigit() else low if low in self.known or low in RARELY_LAST else "§"
@@ -494,13 +517,157 @@ def _judge(model: EndModel):
     return judge
 
 
-def fit_ends(records: DataFrame, rows: int = SAMPLE_ROWS) -> EndModel:
-    """The model of sentence ends from about `rows` records, chosen by a digest of their ids."""
-    n = records.count()
-    entries = F.concat(F.coalesce("pos", F.array()), F.coalesce("neg", F.array()))
-    picked = records.filter(F.pmod(F.xxhash64("rec_id"), F.lit(max(n, 1))) < rows).select("query", F.filter(entries, lambda x: x.isNotNull()).alias("texts"))
-    got = picked.limit(2 * rows).collect()  # the digests of ids that repeat could choose more
-    return EndModel([t for r in got for t in r.texts], [r["query"] for r in got if r["query"]])
+def _hash(word: str) -> int:
+    """Of a masked word; 0 is none."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True) or 1
+
+
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of words and of short texts (kind w, t), and the texts as hashes of words, each text after a 0, with marks of ends (kind a).
+
+    A mark is 1 where a sentence ends, 2 where a text breaks off, so that nothing is known.
+    """
+    hashes: dict[str, tuple[str, int]] = {}
+    gaps: dict[str, int] = {}
+    counts: Counter = Counter()
+    short: Counter = Counter()
+
+    def told(counter: Counter, kind: str) -> pd.DataFrame:
+        out = pd.DataFrame({"kind": kind, "word": list(counter), "n": list(counter.values()), "hashes": None, "marks": None}, dtype=object)
+        counter.clear()
+        return out
+
+    for b in batches:
+        codes, marks = [], bytearray()
+        for query, texts in zip(b["query"].tolist(), b["texts"].tolist()):
+            for k, t in enumerate([query, *texts]):
+                if not isinstance(t, str) or not t:
+                    continue
+                codes.append(0)
+                marks.append(2)
+                if k and len(t) < 60:
+                    short[re.sub(r"\s+", " ", t).strip().casefold()] += 1
+                found = _TOKEN.findall(clean(t))
+                for w, gap in found:
+                    if (known := hashes.get(w)) is None:
+                        low = w.lower()
+                        hashes[w] = known = (low, _hash("#" if low[0].isdigit() else low))
+                    counts[known[0]] += 1
+                    codes.append(known[1])
+                    if (end := gaps.get(gap)) is None:
+                        gaps[gap] = end = int(bool(_END.search(gap) or _BULLET.search(gap)))
+                    marks.append(end)
+                if found and not marks[-1]:
+                    marks[-1] = 2 if k else 1
+        yield pd.DataFrame({"kind": ["a"], "word": None, "n": len(b), "hashes": [np.array(codes, dtype=np.int64).tobytes()], "marks": [bytes(marks)]}, dtype=object)
+        for counter, kind in ((counts, "w"), (short, "t")):
+            if len(counter) > 100_000:
+                yield told(counter, kind)
+        if len(hashes) > 500_000 or len(gaps) > 500_000:
+            hashes, gaps = {}, {}
+    yield told(counts, "w")
+    yield told(short, "t")
+
+
+def _pieces(batches: Iterator[pd.DataFrame], codes: np.ndarray, ids: np.ndarray, strange: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(records, ids of words, marks) of pieces of about PIECE words. codes: ascending hashes of words that have an id of their own; 0 has -1."""
+    held, rows, size, last = [], 0, 0, None
+
+    def joined() -> tuple[int, np.ndarray, np.ndarray]:
+        h, m = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        at = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
+        return rows, np.where(h == 0, -1, np.where(codes[at] == h, ids[at], strange)).astype(np.int32), m
+
+    for b in batches:
+        for n, h, m in zip(b["n"], b["hashes"], b["marks"]):
+            held.append((np.frombuffer(h, dtype=np.int64), np.frombuffer(m, dtype=np.uint8)))
+            rows, size = rows + n, size + len(m)
+            if size >= PIECE:
+                if last is not None:
+                    yield last
+                last = joined()
+                held, rows, size = [], 0, 0
+    if size:  # a small piece would take rare contexts for frequent ones
+        rest = joined()
+        last = rest if last is None else (last[0] + rest[0], np.concatenate([last[1], rest[1]]), np.concatenate([last[2], rest[2]]))
+    if last is not None:
+        yield last
+
+
+def _longer(h: np.ndarray, at: np.ndarray, k: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of k words that end at places `at`, from those of k - 1 words there: (hashes, places); none goes beyond a text."""
+    back = at - (k - 1)
+    inside = (back >= 0) & (word[np.maximum(back, 0)] >= 0)
+    x = (h[inside] ^ (word[back[inside]] + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29)), at[inside]
+
+
+def fit_ends(records: DataFrame) -> EndModel:
+    """The model of sentence ends, from all records.
+
+    Words are counted first, then contexts of masked words: those that are frequent in some piece of the records, of which
+    there is none that is frequent in all and in no piece, are counted in all pieces. So the driver and the executors hold
+    what is frequent, whose number the thresholds bound, and no context that is rare is shuffled.
+    """
+    spark = records.sparkSession
+    entries = F.filter(F.concat(F.coalesce("pos", F.array()), F.coalesce("neg", F.array())), lambda x: x.isNotNull())
+    read = spread(records.select("query", entries.alias("texts"))).mapInPandas(_words, "kind STRING, word STRING, n BIGINT, hashes BINARY, marks BINARY")
+    read = staged(read, f"{work_dir(spark)}/words")
+    arrays = read.filter("kind = 'a'").select("n", "hashes", "marks")
+    total, size = arrays.agg(F.sum("n"), F.sum(F.octet_length("marks"))).first()
+    if not total:
+        return EndModel([], [])
+    arrays = arrays.coalesce(-(-size // PIECE) or 1)
+    scale = max(1.0, total / PER_ROWS)
+    often = read.filter("kind <> 'a'").groupBy("kind", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= 3 * scale).collect()  # bounded by the words of PER_ROWS records
+    words = {r.word: r.n / scale for r in often if r.kind == "w"}
+    names = ["#", "§", *sorted(w for w in {w for w, n in words.items() if n >= LEAST + 2} | RARELY_LAST if not w[0].isdigit())]
+    own = sorted((_hash(w), i) for i, w in enumerate(names) if i != 1)
+    codes, ids = np.array([h for h, _ in own], dtype=np.int64), np.array([i for _, i in own], dtype=np.int64)
+
+    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, word, marks in _pieces(batches, codes, ids, 1):
+            once = scale * rows / total
+            at = np.flatnonzero(marks != 2)
+            h = np.zeros(len(at), dtype=np.uint64)
+            for k in range(1, CONTEXT + 1):
+                h, at = _longer(h, at, k, word)
+                kinds, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                good = n >= (once if k == 2 else LEAST * once) * (1 - 1e-9)
+                where = at[first[good]][:, None] - np.arange(k)[::-1]
+                yield pd.DataFrame({"k": k, "h": kinds[good].view(np.int64), "ids": [x.tobytes() for x in word[where].astype(np.int32)]})
+                keep = (n >= LEAST * once * (1 - 1e-9))[back] if k > 1 else good[back]
+                h, at = h[keep], at[keep]
+
+    found = arrays.mapInPandas(frequent, "k INT, h BIGINT, ids BINARY").dropDuplicates(["k", "h"]).toArrow()  # bounded by the thresholds
+    of, hashes = found["k"].to_numpy(), found["h"].to_numpy()
+    asked = {k: np.sort(hashes[of == k].view(np.uint64)) for k in range(1, CONTEXT + 1)}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, word, marks in _pieces(batches, codes, ids, 1):
+            at = np.flatnonzero(marks != 2)
+            h = np.zeros(len(at), dtype=np.uint64)
+            for k in range(1, CONTEXT + 1):
+                h, at = _longer(h, at, k, word)
+                if not len(asked[k]):
+                    break
+                place = np.minimum(np.searchsorted(asked[k], h), len(asked[k]) - 1)
+                got = asked[k][place] == h
+                h, at, place = h[got], at[got], place[got]
+                n = np.bincount(place, minlength=len(asked[k]))
+                e = np.bincount(place[marks[at] == 1], minlength=len(asked[k]))
+                some = np.flatnonzero(n)
+                yield pd.DataFrame({"k": k, "h": asked[k][some].view(np.int64), "n": n[some], "e": e[some]})
+
+    sums = arrays.mapInPandas(count, "k INT, h BIGINT, n BIGINT, e BIGINT").groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    sums = sums.filter(F.col("n") >= F.when(F.col("k") == 2, 1).otherwise(LEAST) * F.lit(scale)).toArrow()
+    place = {x: i for i, x in enumerate(zip(of.tolist(), hashes.tolist()))}
+    contexts = []
+    for k, h, n, e in zip(*(sums[c].to_pylist() for c in ("k", "h", "n", "e"))):
+        words_of = np.frombuffer(found["ids"][place[k, h]].as_py(), dtype=np.int32)
+        contexts.append((" ".join(names[i] for i in words_of), n / scale, e / scale))
+    return EndModel.counted(words, {r.word for r in often if r.kind == "t"}, contexts)
 
 
 def find_defects(records: DataFrame, tasks: DataFrame) -> DataFrame:

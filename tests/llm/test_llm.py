@@ -164,6 +164,22 @@ def test_suffix_automaton(query, entry):
         assert n == want and (n == 0 or q[end - n : end] == "".join(entry[i + 1 - n : i + 1]))
 
 
+def test_ends_are_counted_in_all_records(spark, monkeypatch):
+    """In pieces they are what the whole gives at once; of more records every one counts, stated for PER_ROWS."""
+    texts = [f"The pump {i % 7} needs oil, as the {w} is dry. Move the {w}, then the valve because {w}" for i in range(40) for w in ("bench", "surface", "lid", f"name{i}")]
+    data = [(i, f"A guide to the {t[:12]}" if i % 3 else None, [t, None], ["not yet"] if i % 2 else None, "s") for i, t in enumerate(texts)]
+    records = spark.createDataFrame(data, RECORD).repartition(5)
+    own = pairs.EndModel([t for d in data for t in [d[2][0], *(d[3] or [])]], [d[1] for d in data if d[1]])
+    monkeypatch.setattr(pairs, "PIECE", 500)
+    got = pairs.fit_ends(records)
+    for part in ("known", "seen", "prefixes", "whole", "stats", "last_pairs", "after"):
+        assert getattr(got, part) == getattr(own, part), part
+    monkeypatch.setattr(pairs, "PER_ROWS", 20)
+    few = pairs.fit_ends(records)
+    assert few.stats["pump"] == (own.stats["pump"][0] / 8, 0) and few.stats["valve because"][0] * 8 == own.stats.get("valve because", (0, 0))[0]
+    assert len(few.stats) < len(own.stats) and all(own.stats[c] == (n * 8, e * 8) for c, (n, e) in few.stats.items())
+
+
 def test_ends_of_joining_and_cut_words():
     texts = ["The set ships with the sanding block and the hostel kitchen. It is sorry to read that. " + "Parts that break say that shops that sell them know that it is so. " * 4] * 30
     model = pairs.EndModel(texts, [])
