@@ -527,8 +527,20 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     A mark is 1 where a sentence ends, 2 where a text breaks off, so that nothing is known.
     """
-    hashes: dict[str, tuple[str, int]] = {}
-    gaps: dict[str, int] = {}
+    class Numbers(dict):
+        def __missing__(self, w: str) -> int:
+            self[w] = n = len(self)
+            lows.append(low := w.lower())
+            codes.append(_hash("#" if low[0].isdigit() else low))
+            return n
+
+    class Ends(dict):
+        def __missing__(self, gap: str) -> int:
+            self[gap] = end = int(bool(_END.search(gap) or _BULLET.search(gap)))
+            return end
+
+    # The number of each spelling, from 1; 0 is the place before a text.
+    lows, codes, numbers, gaps = [""], [0], Numbers({"": 0}), Ends()
     counts: Counter = Counter()
     short: Counter = Counter()
 
@@ -538,33 +550,30 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return out
 
     for b in batches:
-        codes, marks = [], bytearray()
+        found, marks = [], bytearray()
         for query, texts in zip(b["query"].tolist(), b["texts"].tolist()):
             for k, t in enumerate([query, *texts]):
                 if not isinstance(t, str) or not t:
                     continue
-                codes.append(0)
+                found.append(0)
                 marks.append(2)
                 if k and len(t) < 60:
                     short[re.sub(r"\s+", " ", t).strip().casefold()] += 1
-                found = _TOKEN.findall(clean(t))
-                for w, gap in found:
-                    if (known := hashes.get(w)) is None:
-                        low = w.lower()
-                        hashes[w] = known = (low, _hash("#" if low[0].isdigit() else low))
-                    counts[known[0]] += 1
-                    codes.append(known[1])
-                    if (end := gaps.get(gap)) is None:
-                        gaps[gap] = end = int(bool(_END.search(gap) or _BULLET.search(gap)))
-                    marks.append(end)
-                if found and not marks[-1]:
-                    marks[-1] = 2 if k else 1
-        yield pd.DataFrame({"kind": ["a"], "word": None, "n": len(b), "hashes": [np.array(codes, dtype=np.int64).tobytes()], "marks": [bytes(marks)]}, dtype=object)
+                if cut := _TOKEN.findall(clean(t)):
+                    found += [numbers[w] for w, _ in cut]
+                    marks += bytes([gaps[gap] for _, gap in cut])
+                    if not marks[-1]:
+                        marks[-1] = 2 if k else 1
+        found = np.array(found, dtype=np.int64)
+        for i, n in enumerate(np.bincount(found, minlength=1).tolist()):
+            if i and n:
+                counts[lows[i]] += n
+        yield pd.DataFrame({"kind": ["a"], "word": None, "n": len(b), "hashes": [np.array(codes, dtype=np.int64)[found].tobytes()], "marks": [bytes(marks)]}, dtype=object)
         for counter, kind in ((counts, "w"), (short, "t")):
             if len(counter) > 100_000:
                 yield told(counter, kind)
-        if len(hashes) > 500_000 or len(gaps) > 500_000:
-            hashes, gaps = {}, {}
+        if len(numbers) > 200_000 or len(gaps) > 200_000:
+            lows, codes, numbers, gaps = [""], [0], Numbers({"": 0}), Ends()
     yield told(counts, "w")
     yield told(short, "t")
 
@@ -633,7 +642,14 @@ def fit_ends(records: DataFrame) -> EndModel:
             h = np.zeros(len(at), dtype=np.uint64)
             for k in range(1, CONTEXT + 1):
                 h, at = _longer(h, at, k, word)
-                kinds, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                if k == 1:  # by the words' own ids
+                    n, first = np.bincount(word[at], minlength=len(codes) + 1), np.zeros(len(codes) + 1, dtype=np.int64)
+                    first[word[at]] = np.arange(len(at))
+                    some = np.flatnonzero(n)
+                    back, n, first = (np.cumsum(n > 0) - 1)[word[at]], n[some], first[some]
+                    kinds = h[first]
+                else:
+                    kinds, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 good = n >= (once if k == 2 else LEAST * once) * (1 - 1e-9)
                 where = at[first[good]][:, None] - np.arange(k)[::-1]
                 yield pd.DataFrame({"k": k, "h": kinds[good].view(np.int64), "ids": [x.tobytes() for x in word[where].astype(np.int32)]})
