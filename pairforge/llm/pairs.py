@@ -36,6 +36,8 @@ from pairforge.session import spread, staged, work_dir
 PER_ROWS = 6_000
 #: Words of a piece in which contexts are counted.
 PIECE = 3_000_000
+#: Words of a part, in which texts are handed on.
+PART = 100_000
 #: Rows of the task table, which goes to every executor.
 MAX_SOURCES = 1_000_000
 #: Longer than any stand-in: without a tag, such a text can only be empty of letters.
@@ -523,9 +525,10 @@ def _hash(word: str) -> int:
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of words and of short texts (kind w, t), and the texts as hashes of words, each text after a 0, with marks of ends (kind a).
+    """Counts of words and of short texts (kind w, t), and parts of the texts (kind a): the hashes of a part's words, where each stands, and marks of ends.
 
-    A mark is 1 where a sentence ends, 2 where a text breaks off, so that nothing is known.
+    Each text comes after a 0. A mark is 1 where a sentence ends, 2 where a text breaks off, so that nothing is known. A part
+    is of whole records and about PART words, which is no large object to the JVM.
     """
     class Numbers(dict):
         def __missing__(self, w: str) -> int:
@@ -543,14 +546,25 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     lows, codes, numbers, gaps = [""], [0], Numbers({"": 0}), Ends()
     counts: Counter = Counter()
     short: Counter = Counter()
+    found, marks, rows = [], bytearray(), 0
 
     def told(counter: Counter, kind: str) -> pd.DataFrame:
-        out = pd.DataFrame({"kind": kind, "word": list(counter), "n": list(counter.values()), "hashes": None, "marks": None}, dtype=object)
+        out = pd.DataFrame({"kind": kind, "word": list(counter), "n": list(counter.values()), "hashes": None, "places": None, "marks": None}, dtype=object)
         counter.clear()
         return out
 
+    def part() -> tuple[int, bytes, bytes, bytes]:
+        at = np.array(found, dtype=np.int64)
+        n = np.bincount(at)
+        some = np.flatnonzero(n).tolist()
+        for i, k in zip(some, n[some].tolist()):
+            if i:
+                counts[lows[i]] += k
+        place = (np.cumsum(n > 0) - 1)[at].astype(np.uint16 if len(some) <= 1 << 16 else np.uint32)
+        return rows, np.array([codes[i] for i in some], dtype=np.int64).tobytes(), place.tobytes(), bytes(marks)
+
     for b in batches:
-        found, marks = [], bytearray()
+        parts = []
         for query, texts in zip(b["query"].tolist(), b["texts"].tolist()):
             for k, t in enumerate([query, *texts]):
                 if not isinstance(t, str) or not t:
@@ -564,11 +578,14 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     marks += bytes([gaps[gap] for _, gap in cut])
                     if not marks[-1]:
                         marks[-1] = 2 if k else 1
-        found = np.array(found, dtype=np.int64)
-        for i, n in enumerate(np.bincount(found, minlength=1).tolist()):
-            if i and n:
-                counts[lows[i]] += n
-        yield pd.DataFrame({"kind": ["a"], "word": None, "n": len(b), "hashes": [np.array(codes, dtype=np.int64)[found].tobytes()], "marks": [bytes(marks)]}, dtype=object)
+            rows += 1
+            if len(found) >= PART:
+                parts.append(part())
+                found, marks, rows = [], bytearray(), 0
+        if rows:
+            parts.append(part())
+            found, marks, rows = [], bytearray(), 0
+        yield pd.DataFrame({"kind": "a", "word": None, "n": [x[0] for x in parts], "hashes": [x[1] for x in parts], "places": [x[2] for x in parts], "marks": [x[3] for x in parts]}, dtype=object)
         for counter, kind in ((counts, "w"), (short, "t")):
             if len(counter) > 100_000:
                 yield told(counter, kind)
@@ -578,38 +595,112 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield told(short, "t")
 
 
+def _parts(batches: Iterator[pd.DataFrame], codes: np.ndarray, ids: np.ndarray, strange: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(records, ids of words, marks) of each part. codes: ascending hashes of words that have an id of their own; 0 has -1."""
+    for b in batches:
+        for n, h, p, m in zip(b["n"], b["hashes"], b["places"], b["marks"]):
+            if not m:
+                yield n, np.empty(0, dtype=np.int32), np.empty(0, dtype=np.uint8)
+                continue
+            h = np.frombuffer(h, dtype=np.int64)
+            at = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
+            own = np.where(h == 0, -1, np.where(codes[at] == h, ids[at], strange)).astype(np.int32)
+            yield n, own[np.frombuffer(p, dtype=np.uint16 if len(p) == 2 * len(m) else np.uint32)], np.frombuffer(m, dtype=np.uint8)
+
+
 def _pieces(batches: Iterator[pd.DataFrame], codes: np.ndarray, ids: np.ndarray, strange: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(records, ids of words, marks) of pieces of about PIECE words. codes: ascending hashes of words that have an id of their own; 0 has -1."""
+    """Parts joined to pieces of about PIECE words."""
     held, rows, size, last = [], 0, 0, None
 
     def joined() -> tuple[int, np.ndarray, np.ndarray]:
-        h, m = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-        at = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
-        return rows, np.where(h == 0, -1, np.where(codes[at] == h, ids[at], strange)).astype(np.int32), m
-
-    for b in batches:
-        for n, h, m in zip(b["n"], b["hashes"], b["marks"]):
-            held.append((np.frombuffer(h, dtype=np.int64), np.frombuffer(m, dtype=np.uint8)))
-            rows, size = rows + n, size + len(m)
-            if size >= PIECE:
-                if last is not None:
-                    yield last
-                last = joined()
-                held, rows, size = [], 0, 0
+        return rows, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+
+    for n, word, marks in _parts(batches, codes, ids, strange):
+        held.append((word, marks))
+        rows, size = rows + n, size + len(marks)
+        if size >= PIECE:
+            if last is not None:
+                yield last
+            last = joined()
+            held, rows, size = [], 0, 0
     if size:  # a small piece would take rare contexts for frequent ones
-        rest = joined()
-        last = rest if last is None else (last[0] + rest[0], np.concatenate([last[1], rest[1]]), np.concatenate([last[2], rest[2]]))
+        if last is not None:
+            held.insert(0, last[1:])
+            rows += last[0]
+        last = joined()
+        held = []
     if last is not None:
         yield last
 
 
-def _longer(h: np.ndarray, at: np.ndarray, k: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of k words that end at places `at`, from those of k - 1 words there: (hashes, places); none goes beyond a text."""
-    back = at - (k - 1)
-    inside = (back >= 0) & (word[np.maximum(back, 0)] >= 0)
-    x = (h[inside] ^ (word[back[inside]] + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of contexts that go on with a word."""
+    x = (h ^ (word + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29)), at[inside]
+    return x ^ (x >> np.uint64(29))
+
+
+def _longer(h: np.ndarray, at: np.ndarray, k: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of k words that end at places `at`, from those of k - 1 words there: (hashes, places); none goes beyond a text. Overwrites both."""
+    size = 0
+    for i in range(0, len(at), PART):
+        end = at[i : i + PART]
+        first = word[np.maximum(end - (k - 1), 0)]
+        inside = (first >= 0) & (end >= k - 1)
+        end = end[inside]
+        h[size : size + len(end)] = _mixed(h[i : i + PART][inside], first[inside])
+        at[size : size + len(end)] = end
+        size += len(end)
+    return h[:size], at[:size]
+
+
+def _frequent(batches: Iterator[pd.DataFrame], codes: np.ndarray, ids: np.ndarray, strange: int, once: float) -> Iterator[pd.DataFrame]:
+    """(k, h, ids) of the contexts that are frequent in a piece; once: the cases for each record of it that count as one.
+
+    Beside a piece it holds a place and a hash for each word; what is counted is a sixteenth of the contexts at a time.
+    """
+    for rows, word, marks in _pieces(batches, codes, ids, strange):
+        least = np.array([LEAST, 1]) * once * rows * (1 - 1e-9)
+        known = marks != 2
+        n = np.bincount(word[known], minlength=len(codes) + 1)  # of single words, by their own ids
+        good = n >= least[0]
+        at = np.flatnonzero(known & good[word]).astype(np.int32)
+        del marks, known
+        one = _mixed(np.zeros(len(n), dtype=np.uint64), np.arange(len(n)))
+        yield pd.DataFrame({"k": 1, "h": one[good].view(np.int64), "ids": [x.tobytes() for x in np.flatnonzero(good).astype(np.int32)]})
+        h = one[word[at]]
+        for k in range(2, CONTEXT + 1):
+            h, at = _longer(h, at, k, word)
+            slot, keep, told = (h >> np.uint64(60)).astype(np.uint8), np.zeros(len(h), dtype=bool), []
+            for s in range(16):
+                some = np.flatnonzero(slot == s)
+                kinds, first, back, n = np.unique(h[some], return_index=True, return_inverse=True, return_counts=True)
+                good = n >= least[int(k == 2)]
+                where = at[some[first[good]]][:, None] - np.arange(k)[::-1]
+                told.append(pd.DataFrame({"k": k, "h": kinds[good].view(np.int64), "ids": [x.tobytes() for x in word[where].astype(np.int32)]}))
+                keep[some] = (n >= least[0])[back]
+            yield pd.concat(told)
+            h, at = h[keep], at[keep]
+
+
+def _counted(batches: Iterator[pd.DataFrame], codes: np.ndarray, ids: np.ndarray, strange: int, asked: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """(k, h, n, e): cases and ends of the contexts whose hashes are asked for, by the number of their words, ascending."""
+    n, e = ({k: np.zeros(len(x), dtype=np.int64) for k, x in asked.items()} for _ in range(2))
+    for _, word, marks in _parts(batches, codes, ids, strange):
+        at = np.flatnonzero(marks != 2)
+        h = np.zeros(len(at), dtype=np.uint64)
+        for k in range(1, CONTEXT + 1):
+            h, at = _longer(h, at, k, word)
+            if not len(asked[k]):
+                break
+            place = np.minimum(np.searchsorted(asked[k], h), len(asked[k]) - 1)
+            got = asked[k][place] == h
+            h, at, place = h[got], at[got], place[got]
+            n[k] += np.bincount(place, minlength=len(asked[k]))
+            e[k] += np.bincount(place[marks[at] == 1], minlength=len(asked[k]))
+    for k, x in asked.items():
+        some = np.flatnonzero(n[k])
+        yield pd.DataFrame({"k": k, "h": x[some].view(np.int64), "n": n[k][some], "e": e[k][some]})
 
 
 def fit_ends(records: DataFrame) -> EndModel:
@@ -621,9 +712,9 @@ def fit_ends(records: DataFrame) -> EndModel:
     """
     spark = records.sparkSession
     entries = F.filter(F.concat(F.coalesce("pos", F.array()), F.coalesce("neg", F.array())), lambda x: x.isNotNull())
-    read = spread(records.select("query", entries.alias("texts"))).mapInPandas(_words, "kind STRING, word STRING, n BIGINT, hashes BINARY, marks BINARY")
+    read = spread(records.select("query", entries.alias("texts"))).mapInPandas(_words, "kind STRING, word STRING, n BIGINT, hashes BINARY, places BINARY, marks BINARY")
     read = staged(read, f"{work_dir(spark)}/words")
-    arrays = read.filter("kind = 'a'").select("n", "hashes", "marks")
+    arrays = read.filter("kind = 'a'").select("n", "hashes", "places", "marks")
     total, size = arrays.agg(F.sum("n"), F.sum(F.octet_length("marks"))).first()
     if not total:
         return EndModel([], [])
@@ -635,48 +726,11 @@ def fit_ends(records: DataFrame) -> EndModel:
     own = sorted((_hash(w), i) for i, w in enumerate(names) if i != 1)
     codes, ids = np.array([h for h, _ in own], dtype=np.int64), np.array([i for _, i in own], dtype=np.int64)
 
-    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, word, marks in _pieces(batches, codes, ids, 1):
-            once = scale * rows / total
-            at = np.flatnonzero(marks != 2)
-            h = np.zeros(len(at), dtype=np.uint64)
-            for k in range(1, CONTEXT + 1):
-                h, at = _longer(h, at, k, word)
-                if k == 1:  # by the words' own ids
-                    n, first = np.bincount(word[at], minlength=len(codes) + 1), np.zeros(len(codes) + 1, dtype=np.int64)
-                    first[word[at]] = np.arange(len(at))
-                    some = np.flatnonzero(n)
-                    back, n, first = (np.cumsum(n > 0) - 1)[word[at]], n[some], first[some]
-                    kinds = h[first]
-                else:
-                    kinds, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                good = n >= (once if k == 2 else LEAST * once) * (1 - 1e-9)
-                where = at[first[good]][:, None] - np.arange(k)[::-1]
-                yield pd.DataFrame({"k": k, "h": kinds[good].view(np.int64), "ids": [x.tobytes() for x in word[where].astype(np.int32)]})
-                keep = (n >= LEAST * once * (1 - 1e-9))[back] if k > 1 else good[back]
-                h, at = h[keep], at[keep]
-
-    found = arrays.mapInPandas(frequent, "k INT, h BIGINT, ids BINARY").dropDuplicates(["k", "h"]).toArrow()  # bounded by the thresholds
+    found = arrays.mapInPandas(lambda b: _frequent(b, codes, ids, 1, scale / total), "k INT, h BIGINT, ids BINARY").dropDuplicates(["k", "h"]).toArrow()  # bounded by the thresholds
     of, hashes = found["k"].to_numpy(), found["h"].to_numpy()
     asked = {k: np.sort(hashes[of == k].view(np.uint64)) for k in range(1, CONTEXT + 1)}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, word, marks in _pieces(batches, codes, ids, 1):
-            at = np.flatnonzero(marks != 2)
-            h = np.zeros(len(at), dtype=np.uint64)
-            for k in range(1, CONTEXT + 1):
-                h, at = _longer(h, at, k, word)
-                if not len(asked[k]):
-                    break
-                place = np.minimum(np.searchsorted(asked[k], h), len(asked[k]) - 1)
-                got = asked[k][place] == h
-                h, at, place = h[got], at[got], place[got]
-                n = np.bincount(place, minlength=len(asked[k]))
-                e = np.bincount(place[marks[at] == 1], minlength=len(asked[k]))
-                some = np.flatnonzero(n)
-                yield pd.DataFrame({"k": k, "h": asked[k][some].view(np.int64), "n": n[some], "e": e[some]})
-
-    sums = arrays.mapInPandas(count, "k INT, h BIGINT, n BIGINT, e BIGINT").groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    sums = arrays.mapInPandas(lambda b: _counted(b, codes, ids, 1, asked), "k INT, h BIGINT, n BIGINT, e BIGINT").groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     sums = sums.filter(F.col("n") >= F.when(F.col("k") == 2, 1).otherwise(LEAST) * F.lit(scale)).toArrow()
     place = {x: i for i, x in enumerate(zip(of.tolist(), hashes.tolist()))}
     contexts = []

@@ -180,6 +180,33 @@ def test_ends_are_counted_in_all_records(spark, monkeypatch):
     assert len(few.stats) < len(own.stats) and all(own.stats[c] == (n * 8, e * 8) for c, (n, e) in few.stats.items())
 
 
+def test_ends_are_counted_in_little_memory():
+    """Texts are handed on in small rows; a piece takes few bytes a word, and what is frequent in it is what brute force finds."""
+    import tracemalloc
+
+    import pandas as pd
+
+    words = np.random.default_rng(4).zipf(1.3, (4_000, 100)).clip(0, 3_000)
+    batch = pd.DataFrame({"query": None, "texts": [[" ".join(f"w{i}" for i in t)] for t in words.tolist()]})
+    parts = pd.concat(list(pairs._words(iter([batch]))))
+    parts = parts[parts["kind"] == "a"]
+    sizes = [len(x) for c in set(parts) - {"kind", "word", "n"} for x in parts[c]]
+    assert parts["n"].sum() == len(words) and max(sizes) < 1 << 19  # with regions of 1 MB, the JVM's large objects begin there
+    names = ["#", "§", *(f"w{i}" for i in range(200))]
+    own = sorted((pairs._hash(w), i) for i, w in enumerate(names) if i != 1)
+    tracemalloc.start()
+    found = list(pairs._frequent(iter([parts]), np.array([h for h, _ in own]), np.array([i for _, i in own]), 1, 50 / len(words)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * words.size, peak / words.size
+    seen: Counter = Counter()
+    for t in np.where(words < 200, words + 2, 1).tolist():
+        seen.update(tuple(t[end - k : end]) for end in range(1, len(t)) for k in range(1, min(pairs.CONTEXT, end) + 1))
+    want = {c for c, n in seen.items() if n >= (50 if len(c) == 2 and seen[c[1:]] >= 300 else 300)}
+    got = [tuple(np.frombuffer(x, dtype=np.int32).tolist()) for out in found for x in out["ids"]]
+    assert len(got) == len(want) and set(got) == want and {len(c) for c in want} == {1, 2, 3, 4, 5}
+
+
 def test_ends_of_joining_and_cut_words():
     texts = ["The set ships with the sanding block and the hostel kitchen. It is sorry to read that. " + "Parts that break say that shops that sell them know that it is so. " * 4] * 30
     model = pairs.EndModel(texts, [])
