@@ -64,6 +64,9 @@ _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]{0,15}\s*/?>")
 _LETTER = re.compile(r"[^\W_]")
 _TOKEN = re.compile(r"([\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+)([\W_]*)")
 _WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+")
+_ASCII_WORD = re.compile(r"[A-Za-z0-9]+")
+_CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+_ASCII_PARTS, _PARTS = re.compile(r"([A-Za-z0-9]+)"), re.compile(r"([^\W_]+)")
 _HAN = re.compile(r"[\u3400-\u9fff]")
 _HAN_GAP = re.compile(r"(?<=[\u3400-\u9fff，。])[ \u00a0\u3000]+(?=[\u3400-\u9fff，。！？])")
 _END = re.compile(r"[.!?]+[\"'”’»)\]*]*(?:\s|$)|[。！？]")
@@ -146,9 +149,12 @@ _REQUESTED = {
 }
 _LANGS = ("en", "de", "fr", "es", "zh")
 _VOTES: dict[str, int] = {}
+#: The same in 15 bits a language, so that the sum over fewer words is one machine word.
+_FEW_VOTES: dict[str, int] = {}
 for _k, _lang in enumerate(_LANGS[:4]):
     for _w in set(STOPWORDS[_lang].split()):
         _VOTES[_w] = _VOTES.get(_w, 0) + (1 << 24 * _k)
+        _FEW_VOTES[_w] = _FEW_VOTES.get(_w, 0) + (1 << 15 * _k)
 
 
 def clean(text: str) -> str:
@@ -158,6 +164,23 @@ def clean(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
+def words_in(text: str) -> list[str]:
+    """What _WORD finds."""
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+
+
+def tokens_in(text: str) -> tuple[list[str], list[str]]:
+    """What _TOKEN finds: words, and what stands after each."""
+    if text.isascii():
+        parts = _ASCII_PARTS.split(text)
+    elif not _CJK.search(text):
+        parts = _PARTS.split(text)
+    else:
+        cut = _TOKEN.findall(text)
+        return [w for w, _ in cut], [gap for _, gap in cut]
+    return parts[1::2], parts[2::2]
+
+
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
@@ -264,10 +287,11 @@ def is_copy(query: list[str], entry: list[str], automaton: dict, least: int = 3)
 
 def votes_of(words: list[str]) -> tuple[int, ...]:
     """Votes for en, de, fr, es, zh."""
-    total = sum([_VOTES[w] for w in words if w in _VOTES])
-    han = sum([1 for w in words if "\u3400" <= w <= "\u9fff"])
-    mask = (1 << 24) - 1
-    return total & mask, total >> 24 & mask, total >> 48 & mask, total >> 72 & mask, han // 2
+    bits, votes = (15, _FEW_VOTES) if len(words) < 1 << 15 else (24, _VOTES)
+    total = sum([v for v in map(votes.get, words) if v])
+    han = 0 if "".join(words).isascii() else sum([1 for w in words if "\u3400" <= w <= "\u9fff"])
+    mask = (1 << bits) - 1
+    return total & mask, total >> bits & mask, total >> 2 * bits & mask, total >> 3 * bits & mask, han // 2
 
 
 def _romance(words: list[str]) -> int:
@@ -290,10 +314,13 @@ def languages_of(words: list[str]) -> frozenset[str]:
 
 def foreign(query: str, query_langs: frozenset[str], words: list[str]) -> bool:
     """Is the entry, by a clear vote, in a language that is neither the query's nor asked for?"""
+    if not query_langs:
+        return False
     v = votes_of(words)
-    order = sorted(range(5), key=lambda i: -v[i])
-    lang, first, second = _LANGS[order[0]], v[order[0]], v[order[1]]
-    if not query_langs or lang in query_langs or first < 2 or first < 1.3 * second:
+    first = max(v)
+    at = v.index(first)
+    lang = _LANGS[at]
+    if lang in query_langs or first < 2 or first < 1.3 * max(v[:at] + v[at + 1 :]):
         return False
     if max((v[_LANGS.index(q)] for q in query_langs), default=0) * 1.5 >= first:
         return False
@@ -322,7 +349,7 @@ class RefusalAutomaton:
             text = " ".join(lines)
         for s in _SENTENCE.split(text):
             s = " ".join(s.lower().split())
-            words = _WORD.findall(s)
+            words = words_in(s)
             if len(words) > 1 and (sum(0.5 if _HAN.match(w) else 1 for w in words) > LONGEST_REFUSAL or next(self.find.iter(s), None) is None):
                 return False
         return True
@@ -421,7 +448,7 @@ def truncated(text: str, query_words: list[str], model: EndModel) -> bool:
     if s and s[-1] in ".!?。！？" and s[-2:] != "..":
         return False
     s = _BEFORE.sub("", text)
-    while (t := _AFTER.sub("", s).rstrip(" \t\n\u00a0\u3000")) != s:
+    while not s[-1:].isalpha() and (t := _AFTER.sub("", s).rstrip(" \t\n\u00a0\u3000")) != s:
         if s[len(t) :].strip().lower().startswith("etc"):
             return False
         s = t
@@ -440,7 +467,7 @@ def truncated(text: str, query_words: list[str], model: EndModel) -> bool:
         return False
     if _HANGING.search(s):
         return True
-    tokens = [w for w, _ in _TOKEN.findall(core)]
+    tokens = tokens_in(core)[0]
     if _open(s) and len(tokens) > 3:
         return True
     if not tokens:
@@ -498,11 +525,11 @@ def _judge(model: EndModel):
                             continue
                         if query_words is None:
                             q = clean(query)
-                            query_words = _WORD.findall(q.lower())
+                            query_words = words_in(q.lower())
                             langs, automaton = languages_of(query_words), {}
                         t = clean(text)
                         low = t.lower()
-                        words = _WORD.findall(low)
+                        words = words_in(low)
                         if refusals.refuses(t, low):
                             defect = "refusal"
                         elif is_copy(query_words, words, automaton):
@@ -573,9 +600,10 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 marks.append(2)
                 if k and len(t) < 60:
                     short[re.sub(r"\s+", " ", t).strip().casefold()] += 1
-                if cut := _TOKEN.findall(clean(t)):
-                    found += [numbers[w] for w, _ in cut]
-                    marks += bytes([gaps[gap] for _, gap in cut])
+                own, after = tokens_in(clean(t))
+                if own:
+                    found += map(numbers.__getitem__, own)
+                    marks += bytes(map(gaps.__getitem__, after))
                     if not marks[-1]:
                         marks[-1] = 2 if k else 1
             rows += 1

@@ -207,6 +207,13 @@ def test_ends_are_counted_in_little_memory():
     assert len(got) == len(want) and set(got) == want and {len(c) for c in want} == {1, 2, 3, 4, 5}
 
 
+@given(st.text(st.sampled_from("aZ9_ .-'é\u00df\u03a3\u4e2d\u30a2\u30fb\u3042\u0301\u00b2\u2776\n"), max_size=30))
+@settings(max_examples=500, deadline=None)
+def test_words_are_cut_as_the_patterns_say(text):
+    for t in (text, text.encode("ascii", "ignore").decode()):
+        assert list(zip(*pairs.tokens_in(t))) == pairs._TOKEN.findall(t) and pairs.words_in(t) == pairs._WORD.findall(t)
+
+
 def test_ends_of_joining_and_cut_words():
     texts = ["The set ships with the sanding block and the hostel kitchen. It is sorry to read that. " + "Parts that break say that shops that sell them know that it is so. " * 4] * 30
     model = pairs.EndModel(texts, [])
