@@ -701,19 +701,46 @@ def _frequent(batches: Iterator[pd.DataFrame], codes: np.ndarray, ids: np.ndarra
             h, at = _longer(h, at, k, word)
             slot, keep, told = (h >> np.uint64(60)).astype(np.uint8), np.zeros(len(h), dtype=bool), []
             for s in range(16):
-                some = np.flatnonzero(slot == s)
-                kinds, first, back, n = np.unique(h[some], return_index=True, return_inverse=True, return_counts=True)
-                good = n >= least[int(k == 2)]
-                where = at[some[first[good]]][:, None] - np.arange(k)[::-1]
-                told.append(pd.DataFrame({"k": k, "h": kinds[good].view(np.int64), "ids": [x.tobytes() for x in word[where].astype(np.int32)]}))
-                keep[some] = (n >= least[0])[back]
+                if not len(some := np.flatnonzero(slot == s)):
+                    continue
+                x = h[some]
+                order = np.argsort(x)
+                x, some = x[order], some[order]
+                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                n = np.diff(first, append=len(x))
+                good = first[n >= least[int(k == 2)]]
+                where = at[some[good]][:, None] - np.arange(k)[::-1]
+                told.append(pd.DataFrame({"k": k, "h": x[good].view(np.int64), "ids": [w.tobytes() for w in word[where].astype(np.int32)]}))
+                keep[some] = np.repeat(n >= least[0], n)
+            if not told:
+                break
             yield pd.concat(told)
             h, at = h[keep], at[keep]
 
 
+class _Places:
+    """Of hashes in an ascending array: by their leading bits, which only a few have in common."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(8, len(hashes).bit_length() + 3)
+        self.hashes, self.shift = hashes, np.uint64(64 - bits)
+        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.most = int(np.diff(self.first, append=len(hashes)).max())
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether they hold these hashes)"""
+        place = np.minimum(self.first[(h >> self.shift).view(np.int64)], len(self.hashes) - 1)
+        at = self.hashes[place]
+        for _ in range(self.most - 1):
+            place = np.minimum(place + (at < h), len(self.hashes) - 1)
+            at = self.hashes[place]
+        return place, at == h
+
+
 def _counted(batches: Iterator[pd.DataFrame], codes: np.ndarray, ids: np.ndarray, strange: int, asked: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
     """(k, h, n, e): cases and ends of the contexts whose hashes are asked for, by the number of their words, ascending."""
     n, e = ({k: np.zeros(len(x), dtype=np.int64) for k, x in asked.items()} for _ in range(2))
+    places = {k: _Places(x) for k, x in asked.items() if len(x)}
     for _, word, marks in _parts(batches, codes, ids, strange):
         at = np.flatnonzero(marks != 2)
         h = np.zeros(len(at), dtype=np.uint64)
@@ -721,8 +748,7 @@ def _counted(batches: Iterator[pd.DataFrame], codes: np.ndarray, ids: np.ndarray
             h, at = _longer(h, at, k, word)
             if not len(asked[k]):
                 break
-            place = np.minimum(np.searchsorted(asked[k], h), len(asked[k]) - 1)
-            got = asked[k][place] == h
+            place, got = places[k].of(h)
             h, at, place = h[got], at[got], place[got]
             n[k] += np.bincount(place, minlength=len(asked[k]))
             e[k] += np.bincount(place[marks[at] == 1], minlength=len(asked[k]))
