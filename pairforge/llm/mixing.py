@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import accumulate
+from math import frexp, ldexp
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +62,9 @@ def water_fill(weights: list[float], limits: list[int], size: int) -> list[int]:
     live = [i for i, w in enumerate(weights) if w > 0 and limits[i] > 0]
     amount = [0.0] * len(weights)
     size = min(size, sum(limits[i] for i in live))
+    # Times a power of two, which changes no ratio: of the tiniest weights, limit / weight would be infinite and shares lose digits.
+    up = max(0, 900 - max((frexp(weights[i])[1] for i in live), default=0))
+    weights = [ldexp(w, up) if w > 0 else w for w in weights]
     # The water level rises to the limits in the order of limit / weight; what passes a limit is clamped, one sort for all.
     live.sort(key=lambda i: (limits[i] / weights[i], i))
     left, total = size, list(accumulate(weights[i] for i in reversed(live)))[::-1]  # weights from each one on

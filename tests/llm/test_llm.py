@@ -364,6 +364,12 @@ def test_parallel_vectors_go_by_id(spark):
 # 4. Mixing
 
 
+def test_water_filling_of_tiny_weights():
+    assert mixing.water_fill([2.2250738585e-313, 2.225073858507203e-309], [1, 1], 2) == [1, 1]
+    assert mixing.water_fill([5e-324, 1e-323, 4.0], [10, 10, 3], 9) == [2, 4, 3]
+    assert mixing.water_fill([0.5, 0.25, 0.25], [10, 10, 1], 9) == mixing.water_fill([0.5e-310, 0.25e-310, 0.25e-310], [10, 10, 1], 9)
+
+
 @given(st.lists(st.tuples(st.floats(0, 5), st.integers(0, 50)), min_size=1, max_size=12), st.integers(0, 300))
 @settings(max_examples=300, deadline=None)
 def test_water_filling(entries, size):
