@@ -50,6 +50,21 @@ def test_mining_shuffles_no_candidates(spark):
     assert {len(set(r.neg)) for r in mined.collect()} == {4}
 
 
+def test_neighbours_are_exact_at_any_size(spark):
+    """More than ten million pairs: all records have the negatives that brute force over the whole corpus finds."""
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 400, 6))
+    data = [(i, text(), [text(), text()], [], "s") for i in range(2500)]
+    got = {r.rec_id: r.neg for r in jobs.mine_texts(spark.createDataFrame(data, RECORDS), lo=0, hi=12, negative_number=12).collect()}
+    enc, corpus = retrieval.HashEncoder().encode, sorted({t for d in data for t in d[2]})
+    assert len(got) == len(data) and len(corpus) * len(data) > 10_000_000
+    own, x, q = texts.keys_of(corpus), enc(corpus), enc([d[1] for d in data])
+    for i, query, pos, _, _ in data:
+        d = texts.distances(np.repeat(q[i][None], len(x), axis=0), x)
+        best = np.lexsort((own, np.floor(d * 1e9)))[:12]
+        assert set(got[i]) == {corpus[j] for j in best} - {query, *pos}
+
+
 @pytest.mark.parametrize("lists", [1, 9])
 def test_search_in_files_against_brute_force(spark, lists, tmp_path, monkeypatch):
     """Through first bounds, several groups and pieces; equal texts' ties by key; a bound that is too low is noticed."""
